@@ -95,13 +95,11 @@ def pair_moment_sketch(tokens: DataFrame, model: DataFrame, rows: int | None = N
     )
 
 
-def correct_pair_moment(
-    sketch: DataFrame, model: DataFrame, alpha0: float, n_docs: int, vocab_size: int | None = None
-) -> DataFrame:
+def correct_pair_moment(sketch: DataFrame, model: DataFrame, alpha0: float, n_docs: int) -> DataFrame:
     """``(word_id, mu, y0, ...)``: the Dirichlet-corrected sketch.
 
     y <- (1+alpha0)/N y - alpha0 mu (muᵀ model), mu = mu_sum/N. Reads ``sketch`` twice when
-    alpha0 > 0, so pass a materialised one. ``vocab_size`` adds zero rows for words that never occur.
+    alpha0 > 0, so pass a materialised one.
     """
     cols = matrix_columns(model, "o")
     ys = matrix_columns(sketch, "y")
@@ -111,15 +109,17 @@ def correct_pair_moment(
         row = sketch.join(model, "word_id").agg(*[F.sum(F.col("mu_sum") * F.col(c)).alias(c) for c in cols]).first()
         shift = np.array([v or 0.0 for v in row]) / n_docs
     scale = literal((1.0 + alpha0) / n_docs)
-    out = sketch.select(
+    return sketch.select(
         "word_id",
         F.expr(f"mu_sum / {n}").alias("mu"),
         *[F.expr(f"{y} * {scale} - (mu_sum / {n}) * ({literal(alpha0 * s)})").alias(y) for y, s in zip(ys, shift)],
     )
-    if vocab_size is None:
-        return out
-    every = sketch.sparkSession.range(vocab_size).withColumnRenamed("id", "word_id")
-    return every.join(out, "word_id", "left").na.fill(0.0)
+
+
+def every_word(matrix: DataFrame, vocab_size: int) -> DataFrame:
+    """``matrix`` with zero rows for the words it lacks."""
+    words = matrix.sparkSession.range(vocab_size).withColumnRenamed("id", "word_id")
+    return words.join(matrix, "word_id", "left").na.fill(0.0)
 
 
 def mean_frequency(tokens: DataFrame, n_docs: int, min_len: float = 2) -> DataFrame:

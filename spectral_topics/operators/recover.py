@@ -17,6 +17,8 @@ from spectral_topics.operators.linalg import gram, matmul_small
 LOCAL_GROUPS = 10_000
 # Spark cuts each task's rows to k before the shuffle for k up to this (its own default).
 GROUP_LIMIT_ROWS = 1000
+# Candidate thresholds looked at in one scan.
+GRID_POINTS = 4
 
 
 def dirichlet_prior(lambdas: DataFrame, alpha0: float) -> DataFrame:
@@ -35,41 +37,58 @@ def unwhiten(model: DataFrame, a: np.ndarray, lambdas: np.ndarray, key: str = "w
 def simplex_thresholds(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """``(group..., theta)`` such that the sum of max(value - theta, 0) over each group is 1.
 
-    theta = (sum of values above theta - 1) / (their number), repeated from a lower bound until
-    the set above theta stops shrinking. Each round is one partially aggregated group-by; no
-    group is sorted or brought into one task. Scans ``df`` once per round.
+    From a lower bound, theta moves to (sum of values above theta - 1) / (their number) until the
+    set above it stops shrinking. Each round also looks at a grid of larger candidates up to an
+    upper bound and moves on from the last one that is still too low, so few rounds are needed.
+    A round is one partially aggregated group-by: no group is sorted or brought into one task.
+    Scans ``df`` once per round.
     """
-    spark = df.sparkSession
     group = list(group)
-    keep = [*group, F.col("n"), F.col("theta")]
     bounds = df.groupBy(*group).agg(F.sum(value).alias("s"), F.count(value).alias("n"), F.max(value).alias("top"))
-    state = bounds.select(
-        *group, F.col("n"), F.greatest((F.col("s") - 1.0) / F.col("n"), F.col("top") - 1.0).alias("theta")
-    )
-    state, local = _settle(state)
-    above = F.count_if(F.col(value) > F.col("theta")).alias("n")
-    excess = F.sum(F.when(F.col(value) > F.col("theta"), F.col(value))) - 1.0
+    lower = F.greatest((F.col("s") - 1.0) / F.col("n"), F.col("top") - 1.0)
+    state, rows = _settle(bounds.select(*group, "n", lower.alias("theta"), (F.col("top") - lower).alias("width")))
+    grid = [F.col("theta") + F.col("width") * (b / GRID_POINTS) for b in range(GRID_POINTS)]
+    counts = [F.count_if(F.col(value) > t).alias(f"n{b}") for b, t in enumerate(grid)]
+    sums = [F.coalesce(F.sum(F.when(F.col(value) > t, F.col(value))), F.lit(0.0)).alias(f"s{b}") for b, t in enumerate(grid)]
     while True:
-        old = F.broadcast(state) if local else state
-        rows = df.join(old.withColumnRenamed("n", "before"), group)
-        moved = rows.groupBy(*group, "before", "theta").agg(above, excess.alias("excess")).select(
-            *group,
-            "before",
-            "n",
-            F.when(F.col("n") > 0, F.col("excess") / F.col("n")).otherwise(F.col("theta")).alias("theta"),
-        )
-        moved, local = _settle(moved)
-        if moved.where(F.col("n") != F.col("before")).isEmpty():
+        old = state.withColumnRenamed("n", "before")
+        found = df.join(F.broadcast(old) if rows is not None else old, group).groupBy(
+            *group, "before", "theta", "width"
+        ).agg(*counts, *sums)
+        moved, rows = _settle(found.select(*group, _next_threshold(grid).alias("to")).select(*group, "to.*"))
+        if rows is not None:
+            done = all(r["done"] for r in rows)
+        else:
+            done = moved.where(~F.col("done")).isEmpty()
+        if done:
             return moved.select(*group, "theta")
-        state = moved.select(*keep)
+        state = moved.select(*group, "n", "theta", "width")
+
+
+def _next_threshold(grid: Sequence[Column]) -> Column:
+    """Where theta goes after one round: a struct (n, theta, width, done)."""
+    done = F.struct(
+        F.col("before").alias("n"), F.col("theta"), F.lit(0.0).alias("width"), F.lit(True).alias("done")
+    )
+    step = F.when((F.col("n0") == F.col("before")) | (F.col("n0") == 0), done)
+    for b in reversed(range(len(grid))):
+        count, total = F.col(f"n{b}"), F.col(f"s{b}")
+        theta = (total - 1.0) / count
+        upper = grid[b + 1] if b + 1 < len(grid) else F.col("theta") + F.col("width")
+        move = F.struct(
+            count.alias("n"), theta.alias("theta"), F.greatest(upper - theta, F.lit(0.0)).alias("width"), F.lit(False).alias("done")
+        )
+        too_low = (count > 0) & (total - count * grid[b] >= 1.0) if b else F.lit(True)
+        step = step.when(too_low, move)
+    return step
 
 
-def _settle(table: DataFrame) -> tuple[DataFrame, bool]:
-    """Compute the table now: as a local relation when it has few rows, else in shared storage."""
+def _settle(table: DataFrame) -> tuple[DataFrame, list | None]:
+    """Compute the table now: as a local relation with its rows while small, else in shared storage."""
     rows = table.limit(LOCAL_GROUPS + 1).collect()
     if len(rows) <= LOCAL_GROUPS:
-        return table.sparkSession.createDataFrame(rows, table.schema), True
-    return materialize(table, "thresholds"), False
+        return table.sparkSession.createDataFrame(rows, table.schema), rows
+    return materialize(table, "thresholds"), None
 
 
 def simplex_projection(df: DataFrame, group: str | Sequence[str], id: str, value: str) -> DataFrame:

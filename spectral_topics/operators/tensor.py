@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectral_topics.functions.columns import matrix_columns, named
+from spectral_topics.functions.columns import literal, matrix_columns, named
 from spectral_topics.functions.skew import skew_safe_join
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.linalg import gaussian_matrix, gram, matmul_small, normalize_columns, orthonormalize, require_nonzero
@@ -24,6 +24,8 @@ MODES = ("i", "j", "l")
 PINV_TOLERANCE = 1e-6
 # Factors up to this many cells are kept on the driver between updates.
 LOCAL_FACTOR_CELLS = 1_000_000
+# Two fixed factors up to this many cells are written into the query as constants.
+CONSTANT_CELLS = 20_000
 
 
 def other_modes(mode: int) -> tuple[int, int]:
@@ -60,6 +62,18 @@ def mttkrp(
     )
 
 
+def mttkrp_arrays(tensor: DataFrame, factors: Sequence[np.ndarray | None], mode: int) -> DataFrame:
+    """``mttkrp`` with small factors given as arrays: constant lookups in the aggregate, no join."""
+    (a, b), rank = other_modes(mode), factors[other_modes(mode)[0]].shape[1]
+
+    def entry(other: int, r: int) -> str:
+        return f"get(array({', '.join(map(literal, factors[other][:, r]))}), {MODES[other]})"
+
+    return tensor.groupBy(F.col(MODES[mode]).alias("idx")).agg(
+        *[F.sum(F.expr(f"val * {entry(a, r)} * {entry(b, r)}")).alias(f"f{r}") for r in range(rank)]
+    )
+
+
 def update_matrix(first: np.ndarray, second: np.ndarray, rho: float) -> np.ndarray:
     """Pseudo-inverse of the ridge-regularised Hadamard product of two Gram matrices."""
     product = first * second
@@ -269,7 +283,10 @@ def _updated(tensor, factors, mode, rho, shape, holder):
     """One normalised factor update; ``holder`` says where the result is kept."""
     first, second = other_modes(mode)
     weights = update_matrix(factors[first].gram(), factors[second].gram(), rho)
-    tables = [f.table if f is not None and m != mode else None for m, f in enumerate(factors)]
-    sums = mttkrp(tensor, tables, mode, shape)
+    fixed = [None if m == mode else f for m, f in enumerate(factors)]
+    if isinstance(fixed[first], LocalFactor) and fixed[first].values.size + fixed[second].values.size <= CONSTANT_CELLS:
+        sums = mttkrp_arrays(tensor, [f and f.values for f in fixed], mode)
+    else:
+        sums = mttkrp(tensor, [f and f.table for f in fixed], mode, shape)
     holder = holder or factors[first]
     return holder.updated(sums, weights).normalized()

@@ -9,12 +9,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectral_topics.functions.columns import matrix_columns
+from spectral_topics.functions.columns import matrix_columns, named
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.corpus import block_tokens, check_word_ids
 from spectral_topics.operators.linalg import gaussian_matrix, orthonormalize, ridged, spectral_factor
 from spectral_topics.operators.moments import (
     correct_pair_moment,
+    every_word,
     first_moment,
     pair_moment_sketch,
     project_docs,
@@ -57,10 +58,12 @@ class TopicModel:
 def corrected_sketch(
     tokens: DataFrame, model: DataFrame, alpha0: float, n_docs: int, vocab_size: int
 ) -> DataFrame:
-    """One pass over the corpus: the corrected pair moment times the model, a row for every word."""
+    """One pass over the corpus: ``(word_id, y0, ...)``, the corrected pair moment times the model.
+
+    Words without a usable document have no row, which stands for a zero row.
+    """
     sketch = materialize(pair_moment_sketch(tokens, model, rows=vocab_size), "sketch")
-    corrected = correct_pair_moment(sketch, model, alpha0, n_docs, vocab_size)
-    return materialize(corrected.drop("mu"), "corrected")
+    return correct_pair_moment(sketch, model, alpha0, n_docs).drop("mu")
 
 
 def whiten(
@@ -85,11 +88,11 @@ def whiten(
         raise ValueError(f"the start matrix must have {k_prime} columns")
     start = materialize(start, "start")
     first = corrected_sketch(tokens, start, alpha0, n_docs, vocab_size)
-    basis = orthonormalize(first, "y")
-    basis = materialize(basis.toDF("word_id", *[c.replace("y", "o") for c in basis.columns[1:]]), "basis")
+    basis = orthonormalize(first, "y").toDF("word_id", *named("o", k_prime))
+    basis = materialize(every_word(basis, vocab_size), "basis")
     second = corrected_sketch(tokens, basis, alpha0, n_docs, vocab_size)
     model, sigma = spectral_factor(second, "y", k)
-    return materialize(model, "model"), sigma
+    return materialize(every_word(model, vocab_size), "model"), sigma
 
 
 def project_and_contract(
@@ -157,7 +160,9 @@ def fit(
     n_docs = docs.count()
     if vocab_size is None:
         vocab_size = int(tokens.agg(F.max("word_id")).first()[0]) + 1
-    corpus = block_tokens(check_word_ids(tokens, vocab_size), partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    corpus = block_tokens(check_word_ids(tokens, vocab_size), partitions)
+    # Sorted once here, the joins of every pass need neither shuffle nor sort of the tokens.
+    corpus = corpus.sortWithinPartitions("block", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model, sigma = whiten(corpus, n_docs, vocab_size, k, k_prime, alpha0, seed, start)
         tensor, projection = project_and_contract(corpus, model, sigma, alpha0, n_docs, vocab_size, variant)

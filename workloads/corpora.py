@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectral_topics.functions.storage import materialize
+
 # Size of the hashed word space of the text corpus.
 TEXT_WORDS = 4096
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -42,12 +44,21 @@ def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the documents with hashed ids, one token per distinct word of a document."""
-    words = table(spark, sf_dir, "documents").select(
+    """Words of the documents with hashed ids, one token per distinct word of a document.
+
+    Written once, since every moment query reads its tokens more than once.
+    """
+    words = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")
     )
     counted = words.groupBy("doc_id", F.lower("word").alias("word")).agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    return counted.select("doc_id", hashed_word(F.col("word")).alias("word_id"), "cnt")
+    return materialize(counted.select("doc_id", hashed_word(F.col("word")).alias("word_id"), "cnt"), "text-tokens")
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan with fewer splits than cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def hashed_word(word: Column) -> Column:

@@ -46,17 +46,13 @@ def lookup_model(tokens: DataFrame, model: DataFrame, rows: int | None = None) -
 def _gather_model(tokens: DataFrame, model: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Bring each model row once to every block that uses the word.
 
-    Joining token by token would move one model row per token. Here the tokens of a word in a
-    block are first put into one list (at most one entry per document of the block), so a
-    frequent word costs one row per block and no join key is hot.
+    Tokens stay in their blocks: only the words of a block go out and their model rows come
+    back, one per block and word however often the word occurs. A word is asked for at most
+    once per block, so no join key is hot.
     """
-    flags = [c for c in ("spread",) if c in tokens.columns]
-    merged = tokens.groupBy("block", "doc_id", "word_id").agg(
-        F.sum("cnt").alias("cnt"), *[F.first(c).alias(c) for c in flags]
-    )
-    uses = merged.groupBy("block", "word_id").agg(F.collect_list(F.struct("doc_id", "cnt", *flags)).alias("uses"))
-    joined = uses.join(model, "word_id", "left").repartitionById(block_count(tokens), "block")
-    return joined.select("block", "word_id", *cols, F.inline("uses"))
+    needed = tokens.select("block", "word_id").distinct()
+    fetched = needed.join(model, "word_id", "left").repartitionById(block_count(tokens), "block")
+    return tokens.join(fetched.select("block", "word_id", *cols), ["block", "word_id"], "left")
 
 
 def _projection_sums(cols: Sequence[str]) -> dict:
@@ -158,25 +154,37 @@ def first_moment(proj: DataFrame, n_docs: int) -> DataFrame:
 
 
 def third_moment_sums(proj: DataFrame, alpha0: float) -> DataFrame:
-    """Sums over documents of three words or more, as cells ``(part, i, j, l, val)``.
+    """Sums over documents, as cells ``(part, i, j, l, val)``.
 
-    part ``c3``: s3 xxx for i <= j <= l; ``g2``: s3 xx and ``p2``: s2 xx for i <= j; ``g1``: s3 x;
-    ``h1``: s2 x; ``n3``: the number of documents. Unused indexes are -1. None of them needs the
-    first moment, so one pass over the projected documents serves both.
+    Over documents of three words or more: ``c3``: s3 xxx for i <= j <= l; ``g2``: s3 xx and
+    ``p2``: s2 xx for i <= j; ``g1``: s3 x; ``h1``: s2 x; ``n3``: their number. Over documents of
+    any length but 0: ``x1``: x/len. Unused indexes are -1. None of them needs the first moment,
+    so one pass over the projected documents serves both moments.
     """
     cols = matrix_columns(proj, "x")
     k = len(cols)
     s2, s3 = dirichlet_weights(F.col("len"), alpha0)
-    weighted = proj.where(F.col("len") >= 3).select(s2.alias("s2"), s3.alias("s3"), *cols)
-    if k * (k + 1) * (k + 2) // 6 + k * (k + 1) + 2 * k <= 2 * MAX_SUM_COLUMNS:
+    inverse = F.when(F.col("len") != 0, 1.0 / F.col("len"))
+    weighted = proj.select(s2.alias("s2"), s3.alias("s3"), inverse.alias("s1"), *cols)
+    if k * (k + 1) * (k + 2) // 6 + k * (k + 1) + 3 * k <= 2 * MAX_SUM_COLUMNS:
         return _third_sums_generated(weighted, cols)
     return _third_sums_numpy(weighted, cols)
 
 
+def first_moment_of_sums(sums: DataFrame, k: int, n_docs: int) -> np.ndarray:
+    """The first moment from the ``x1`` cells of ``third_moment_sums``."""
+    m1 = np.zeros(k)
+    for i, val in sums.where(F.col("part") == "x1").select("i", "val").collect():
+        m1[i] = val / n_docs
+    return m1
+
+
 def _third_sums_generated(weighted: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Null weights take a document out of a sum."""
     k = len(cols)
-    terms = {("n3", -1, -1, -1): F.count(F.lit(1)).cast("double")}
+    terms = {("n3", -1, -1, -1): F.count("s3").cast("double")}
     for i in range(k):
+        terms["x1", i, -1, -1] = F.sum(F.col("s1") * F.col(cols[i]))
         terms["g1", i, -1, -1] = F.sum(F.col("s3") * F.col(cols[i]))
         terms["h1", i, -1, -1] = F.sum(F.col("s2") * F.col(cols[i]))
         for j in range(i, k):
@@ -190,31 +198,54 @@ def _third_sums_generated(weighted: DataFrame, cols: Sequence[str]) -> DataFrame
 
 
 def _third_sums_numpy(weighted: DataFrame, cols: Sequence[str]) -> DataFrame:
-    k = len(cols)
-    schema = "part string, i int, j int, l int, val double"
+    """Partial sums per task in numpy. A tensor too large for a worker takes one pass per range of its first index."""
+    source = numpy_partitions(weighted)
+    parts = None
+    for start, stop in _row_ranges(len(cols)):
+        part = source.mapInPandas(_third_partial(cols, start, stop), "part string, i int, j int, l int, val double")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("part", "i", "j", "l").agg(F.sum("val").alias("val"))
+
 
-    def low_orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g2, p2, g1, h1, n3 = np.zeros((k, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k), 0
+def _third_partial(cols: Sequence[str], start: int, stop: int):
+    cols, k = list(cols), len(cols)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((stop - start, k, k))
+        g2, p2, g1, h1, x1, n3 = np.zeros((k, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k), np.zeros(k), 0
         for batch in batches:
-            x, s2, s3 = (batch[c].to_numpy(dtype=float) for c in (list(cols), "s2", "s3"))
-            g2 += x.T @ (x * s3[:, None])
-            p2 += x.T @ (x * s2[:, None])
-            g1 += s3 @ x
-            h1 += s2 @ x
-            n3 += len(x)
-        i, j = np.triu_indices(k)
-        one, none = np.arange(k), np.full(k, -1)
-        yield _cells("n3", [-1], [-1], [-1], [float(n3)])
-        yield _cells("g1", one, none, none, g1)
-        yield _cells("h1", one, none, none, h1)
-        yield _cells("g2", i, j, np.full(len(i), -1), g2[i, j])
-        yield _cells("p2", i, j, np.full(len(i), -1), p2[i, j])
+            every, s1 = batch[cols].to_numpy(dtype=float), batch["s1"].to_numpy(dtype=float)
+            used = batch["s3"].notna().to_numpy()
+            x, s2, s3 = every[used], batch["s2"].to_numpy(dtype=float)[used], batch["s3"].to_numpy(dtype=float)[used]
+            for i in range(start, stop):
+                total[i - start, i:, i:] += x[:, i:].T @ (x[:, i:] * (s3 * x[:, i])[:, None])
+            if start == 0:
+                x1 += np.nan_to_num(s1) @ every
+                g2 += x.T @ (x * s3[:, None])
+                p2 += x.T @ (x * s2[:, None])
+                g1 += s3 @ x
+                h1 += s2 @ x
+                n3 += len(x)
+        if start == 0:
+            i, j = np.triu_indices(k)
+            one, none = np.arange(k), np.full(k, -1)
+            yield _cells("n3", [-1], [-1], [-1], [float(n3)])
+            for name, vector in (("x1", x1), ("g1", g1), ("h1", h1)):
+                yield _cells(name, one, none, none, vector)
+            for name, square in (("g2", g2), ("p2", p2)):
+                yield _cells(name, i, j, np.full(len(i), -1), square[i, j])
+        yield from _cube_cells("c3", total, start)
 
-    source = numpy_partitions(weighted)
-    parts = source.mapInPandas(low_orders, schema)
-    for start, stop in _row_ranges(k):
-        parts = parts.unionByName(source.mapInPandas(_cubic_partial(cols, start, stop), schema))
-    return parts.groupBy("part", "i", "j", "l").agg(F.sum("val").alias("val"))
+    return partial
+
+
+def _cube_cells(part: str, total: np.ndarray, start: int) -> Iterator[pd.DataFrame]:
+    """Cells j, l >= i of the slices of a cube whose first slice is number ``start``."""
+    k = total.shape[1]
+    for offset, square in enumerate(total):
+        i = start + offset
+        j, m = np.triu_indices(k - i)
+        yield _cells(part, np.full(len(j), i), j + i, m + i, square[j + i, m + i])
 
 
 def _row_ranges(k: int) -> list[tuple[int, int]]:
@@ -231,22 +262,6 @@ def _cells(part: str, i, j, m, val) -> pd.DataFrame:
     return frame
 
 
-def _cubic_partial(cols: Sequence[str], start: int, stop: int):
-    k = len(cols)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((stop - start, k, k))
-        for batch in batches:
-            x, s3 = batch[list(cols)].to_numpy(dtype=float), batch["s3"].to_numpy(dtype=float)
-            for i in range(start, stop):
-                total[i - start, i:, i:] += x[:, i:].T @ (x[:, i:] * (s3 * x[:, i])[:, None])
-        for i in range(start, stop):
-            j, m = np.triu_indices(k - i)
-            yield _cells("c3", np.full(len(j), i), j + i, m + i, total[i - start, j + i, m + i])
-
-    return partial
-
-
 def third_moment(sums: DataFrame, m1: np.ndarray, alpha0: float) -> DataFrame:
     """The third-moment tensor ``(i, j, l, val)``, all k³ cells, from the sums of the documents.
 
@@ -333,9 +348,7 @@ def word_correction_sums(words: DataFrame, model: DataFrame) -> DataFrame:
                     outer = (2.0 * f * b[:, i] - z[:, i])[:, None] * b
                     cross = (b[:, i][:, None] * b).T @ z
                     total[i - start] += outer.T @ b - cross - cross.T
-            for i in range(start, stop):
-                j, m = np.triu_indices(k - i)
-                yield _cells("t3", np.full(len(j), i), j + i, m + i, total[i - start, j + i, m + i])
+            yield from _cube_cells("t3", total, start)
 
         return partial
 
@@ -371,6 +384,8 @@ def _low_order_tables(sums: DataFrame, k: int) -> tuple[dict, dict, float]:
     for part, i, j, val in sums.where(F.col("part") != "c3").select("part", "i", "j", "val").collect():
         if part == "n3":
             n3 = val
+        elif part == "x1":
+            continue
         elif j < 0:
             parts[part][i] = val
         else:

@@ -123,26 +123,31 @@ def recover_topic(
 
 
 def recover_topics(factors: DataFrame, iterations: int | None = 20, key: str = "word_id") -> DataFrame:
-    """``(word_id, topic, prob)`` from ``(word_id, f0, ...)``: recover f and -f, keep the closer one.
+    """``(word_id, p0, ...)`` from ``(word_id, f0, ...)``: recover f and -f, keep the closer one.
 
-    Scans ``factors`` several times, so pass a materialised table. It must hold a row for every word.
+    Scans ``factors`` several times, so pass a materialised table. It must hold a row for every
+    word. Only a sign and a threshold per topic come to the driver.
     """
+    cols = matrix_columns(factors, "f")
     scale = literal(admm_scale(iterations))
     cells = columns_to_cells(factors, "f", "topic", "f")
-    both = cells.select(key, "topic", "f", F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
-    signed = both.withColumn("v", F.expr(f"f * side * {scale}"))
+    sides = F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")
+    signed = cells.select("topic", "f", sides).withColumn("v", F.expr(f"f * side * {scale}"))
     theta = simplex_thresholds(signed, ["topic", "side"], "v")
     residual = F.greatest(F.col("v") - F.col("theta"), F.lit(0.0)) - F.col("f") * F.col("side")
-    errors = signed.join(F.broadcast(theta), ["topic", "side"]).groupBy("topic", "side", "theta").agg(
+    errors = signed.join(theta, ["topic", "side"]).groupBy("topic", "side", "theta").agg(
         F.sum(residual * residual).alias("err")
     )
     # The positive side wins only when strictly closer.
-    best = errors.groupBy("topic").agg(
-        F.min_by(F.struct("side", "theta"), F.struct("err", "side")).alias("best")
-    ).select("topic", "best.side", "best.theta")
-    chosen, _ = _settle(best)
-    prob = F.greatest(F.expr(f"f * side * {scale} - theta"), F.lit(0.0))
-    return cells.join(F.broadcast(chosen), "topic").select(key, "topic", prob.alias("prob"))
+    best = {}
+    for row in sorted(errors.collect(), key=lambda r: (r["err"], r["side"]), reverse=True):
+        best[row["topic"]] = (row["side"], row["theta"])
+    probabilities = []
+    for topic, col in enumerate(cols):
+        side, theta = best[topic]
+        shifted = F.expr(f"{col} * {side} * {scale} - ({literal(theta)})")
+        probabilities.append(F.greatest(shifted, F.lit(0.0)).alias(f"p{topic}"))
+    return factors.select(key, *probabilities)
 
 
 def top_k(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], k: int, spread_by: str) -> DataFrame:

@@ -6,7 +6,7 @@ driver arrays and those of long modes as tables in shared storage.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ PINV_TOLERANCE = 1e-6
 # Factors up to this many cells are kept on the driver between updates.
 LOCAL_FACTOR_CELLS = 1_000_000
 # Two fixed factors up to this many cells are written into the query as constants.
-CONSTANT_CELLS = 20_000
+CONSTANT_CELLS = 5_000
 
 
 def other_modes(mode: int) -> tuple[int, int]:
@@ -63,15 +63,39 @@ def mttkrp(
 
 
 def mttkrp_arrays(tensor: DataFrame, factors: Sequence[np.ndarray | None], mode: int) -> DataFrame:
-    """``mttkrp`` with small factors given as arrays: constant lookups in the aggregate, no join."""
-    (a, b), rank = other_modes(mode), factors[other_modes(mode)[0]].shape[1]
+    """``mttkrp`` with small factors given as arrays, without a join.
 
-    def entry(other: int, r: int) -> str:
-        return f"get(array({', '.join(map(literal, factors[other][:, r]))}), {MODES[other]})"
+    Very small ones become constants of the aggregate, others are looked up in numpy batches.
+    """
+    first, second = (factors[m] for m in other_modes(mode))
+    a, b = (MODES[m] for m in other_modes(mode))
+    rank = first.shape[1]
+    index = F.col(MODES[mode]).alias("idx")
+    if first.size + second.size <= CONSTANT_CELLS:
 
-    return tensor.groupBy(F.col(MODES[mode]).alias("idx")).agg(
-        *[F.sum(F.expr(f"val * {entry(a, r)} * {entry(b, r)}")).alias(f"f{r}") for r in range(rank)]
-    )
+        def entry(factor: np.ndarray, at: str, r: int) -> str:
+            return f"get(array({', '.join(map(literal, factor[:, r]))}), {at})"
+
+        products = [f"val * {entry(first, a, r)} * {entry(second, b, r)}" for r in range(rank)]
+        return tensor.groupBy(index).agg(*[F.sum(F.expr(p)).alias(f"f{r}") for r, p in enumerate(products)])
+
+    names = named("f", rank)
+    shared = tensor.sparkSession.sparkContext.broadcast((first, second))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, right = shared.value
+        for batch in batches:
+            terms = left[batch["a"].to_numpy()] * right[batch["b"].to_numpy()] * batch["val"].to_numpy()[:, None]
+            indexes, place = np.unique(batch["idx"].to_numpy(), return_inverse=True)
+            sums = np.zeros((len(indexes), rank))
+            np.add.at(sums, place, terms)
+            out = pd.DataFrame(sums, columns=names)
+            out.insert(0, "idx", indexes)
+            yield out
+
+    cells = tensor.select(index, F.col(a).alias("a"), F.col(b).alias("b"), "val")
+    schema = f"idx {cells.schema['idx'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+    return cells.mapInPandas(partial, schema).groupBy("idx").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def update_matrix(first: np.ndarray, second: np.ndarray, rho: float) -> np.ndarray:
@@ -284,7 +308,7 @@ def _updated(tensor, factors, mode, rho, shape, holder):
     first, second = other_modes(mode)
     weights = update_matrix(factors[first].gram(), factors[second].gram(), rho)
     fixed = [None if m == mode else f for m, f in enumerate(factors)]
-    if isinstance(fixed[first], LocalFactor) and fixed[first].values.size + fixed[second].values.size <= CONSTANT_CELLS:
+    if isinstance(fixed[first], LocalFactor):
         sums = mttkrp_arrays(tensor, [f and f.values for f in fixed], mode)
     else:
         sums = mttkrp(tensor, [f and f.table for f in fixed], mode, shape)

@@ -9,14 +9,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectral_topics.functions.columns import matrix_columns, named
+from spectral_topics.functions.columns import columns_to_cells, matrix_columns, named
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.corpus import block_tokens, check_word_ids
 from spectral_topics.operators.linalg import gaussian_matrix, orthonormalize, ridged, spectral_factor
 from spectral_topics.operators.moments import (
     correct_pair_moment,
     every_word,
-    first_moment,
+    first_moment_of_sums,
     pair_moment_sketch,
     project_docs,
     third_moment,
@@ -35,24 +35,27 @@ VARIANTS = ("reference", "whitened")
 
 @dataclass(frozen=True)
 class TopicModel:
-    """``alpha(topic, value)``, ``beta(word_id, topic, prob)`` and what the fit found on the way."""
+    """``alpha(topic, value)``, ``beta(word_id, topic, prob)`` and what the fit found on the way.
+
+    ``topics(word_id, p0, ...)`` is beta with a column per topic.
+    """
 
     alpha: DataFrame
-    beta: DataFrame
+    topics: DataFrame
     sigma: np.ndarray
     lambdas: np.ndarray
     n_docs: int
     n_iter: int
     converged: bool
 
+    @property
+    def beta(self) -> DataFrame:
+        return columns_to_cells(self.topics, "p", "topic", "prob")
+
     def write_text(self, output: str) -> None:
         """``<output>.alpha`` (k rows) and ``<output>.beta`` (a row per word, a column per topic)."""
         write_matrix_text(self.alpha.select("topic", F.array("value").alias("vec")), f"{output}.alpha", key="topic", files=1)
-        k = len(self.lambdas)
-        wide = self.beta.groupBy("word_id").agg(
-            *[F.max(F.when(F.col("topic") == t, F.col("prob"))).alias(f"p{t}") for t in range(k)]
-        )
-        write_matrix_text(wide, f"{output}.beta", prefix="p", key="word_id")
+        write_matrix_text(self.topics, f"{output}.beta", prefix="p", key="word_id")
 
 
 def corrected_sketch(
@@ -118,14 +121,9 @@ def project_and_contract(
     scaled = model.select("word_id", *[(F.col(c) / F.lit(float(s))).alias(c) for c, s in zip(cols, divisors)])
     if variant == "whitened":
         scaled = materialize(scaled, "whitener")
-    proj = project_docs(tokens, scaled, rows=vocab_size).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        m1 = np.zeros(len(cols))
-        for i, val in first_moment(proj, n_docs).collect():
-            m1[i] = val
-        sums = materialize(third_moment_sums(proj, alpha0), "sums")
-    finally:
-        proj.unpersist()
+    proj = project_docs(tokens, scaled, rows=vocab_size)
+    sums = materialize(third_moment_sums(proj, alpha0), "sums")
+    m1 = first_moment_of_sums(sums, len(cols), n_docs)
     if variant == "reference":
         return third_moment(sums, m1, alpha0), model
     words = materialize(word_corrections(tokens, scaled, alpha0, rows=vocab_size), "words")
@@ -175,5 +173,5 @@ def fit(
         corpus.unpersist()
     weights = [(t, float(v)) for t, v in enumerate(cp.lambdas)]
     alpha = dirichlet_prior(spark.createDataFrame(weights, "topic int, lambda double"), alpha0)
-    beta = recover_topics(factors, iterations)
-    return TopicModel(alpha, beta, sigma, cp.lambdas, n_docs, cp.n_iter, cp.converged)
+    topics = recover_topics(factors, iterations)
+    return TopicModel(alpha, topics, sigma, cp.lambdas, n_docs, cp.n_iter, cp.converged)

@@ -126,7 +126,9 @@ def test_third_moment_against_documents(spark, k):
     m1 = np.divide(x, lengths[:, None], out=np.zeros_like(x), where=lengths[:, None] > 0).mean(axis=0)
     proj = moments.project_docs(data.tokens, data.table)
     assert [v for _, v in sorted(moments.first_moment(proj, data.n).collect())] == pytest.approx(list(m1))
-    t = tensor(moments.third_moment(moments.third_moment_sums(proj, 0.8), m1, 0.8), k)
+    sums = moments.third_moment_sums(proj, 0.8)
+    np.testing.assert_allclose(moments.first_moment_of_sums(sums, k, data.n), m1, atol=1e-12)
+    t = tensor(moments.third_moment(sums, m1, 0.8), k)
     np.testing.assert_allclose(t, projected_tensor(x, lengths, m1, 0.8), atol=1e-9)
     for axes in itertools.permutations(range(3)):
         np.testing.assert_allclose(t, t.transpose(axes), atol=1e-12)

@@ -65,9 +65,7 @@ def test_recovered_topics_pick_the_closer_sign(spark):
     f = np.column_stack([rng.dirichlet(np.ones(40) * 0.2), -rng.dirichlet(np.ones(40) * 0.2), rng.normal(size=40) / 10])
     columns = ", ".join(f"f{j} double" for j in range(3))
     df = spark.createDataFrame([(w, *map(float, v)) for w, v in enumerate(f)], f"word_id long, {columns}")
-    found = np.zeros_like(f)
-    for w, t, p in recover.recover_topics(df).select("word_id", "topic", "prob").collect():
-        found[w, t] = p
+    found = matrix(recover.recover_topics(df), "p")
     for t, col in enumerate(f.T):
         plus, minus = admm(col, 20), admm(-col, 20)
         best = plus if np.linalg.norm(plus - col) < np.linalg.norm(minus + col) else minus

@@ -266,6 +266,7 @@ def third_sums(k: int) -> str:
     s2, s3 = dirichlet_factors()
     selects = ["SELECT 'n3' AS part, -1 AS i, -1 AS j, -1 AS l, count(*)::DOUBLE AS val FROM w"]
     for i in range(k):
+        selects.append(f"SELECT 'x1', {i}, -1, -1, sum(x{i} / len) FROM docs WHERE len <> 0")
         selects += [f"SELECT '{p}', {i}, -1, -1, sum({s} * x{i}) FROM w" for p, s in (("g1", "s3"), ("h1", "s2"))]
         for j in range(i, k):
             selects += [f"SELECT '{p}', {i}, {j}, -1, sum({s} * x{i} * x{j}) FROM w" for p, s in (("g2", "s3"), ("p2", "s2"))]

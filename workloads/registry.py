@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectral_topics.functions.columns import matrix_columns
+from spectral_topics.functions.columns import columns_to_cells, matrix_columns
 from spectral_topics.functions.storage import materialize, scratch_path
 from spectral_topics.operators import corpus, linalg, moments, recover, tensor
 from spectral_topics.plans.model import fit, project_and_contract, whiten
@@ -364,7 +364,8 @@ def recovered_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "factors",
     )
-    return recover.recover_topics(factors, iterations=None).select("word_id", "topic", rounded("prob", 10))
+    found = columns_to_cells(recover.recover_topics(factors, iterations=None), "p", "topic", "prob")
+    return found.select("word_id", "topic", rounded("prob", 10))
 
 
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Driver-side matrices up to this many cells are written into a query as constants.
+CONSTANT_CELLS = 5_000
+
+
 def named(prefix: str, width: int) -> list[str]:
     return [f"{prefix}{j}" for j in range(width)]
 
@@ -31,6 +35,11 @@ def literal(value: float) -> str:
     return f"{value!r}D"
 
 
+def constants(values: Iterable[float]) -> str:
+    """A constant ARRAY<DOUBLE> in SQL text."""
+    return f"array({', '.join(map(literal, values))})"
+
+
 def combination(columns: Sequence[str], weights: Sequence[float]) -> Column:
     """Linear combination of columns with driver-side weights."""
     return F.expr(" + ".join(f"{c} * ({literal(w)})" for c, w in zip(columns, weights)))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectral_topics.functions.columns import literal, matrix_columns, named, row_to_cells
+from spectral_topics.functions.columns import CONSTANT_CELLS, constants, literal, matrix_columns, named, row_to_cells
 from spectral_topics.functions.skew import fits_broadcast
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.corpus import (
@@ -405,20 +405,30 @@ def _expand_symmetric(cells: DataFrame) -> DataFrame:
 
 
 def _attach_low_orders(table: DataFrame, pairs: dict, singles: dict, m1: np.ndarray) -> DataFrame:
-    """Join the k and k×k tables on each index and index pair. They are broadcast while small."""
+    """Columns m_i, g_i, h_i, p_ij, g_ij and so on: the low-order sums at each index and index pair.
+
+    Small ones become constants of the query. Others are joined, broadcast within the limit.
+    """
     spark = table.sparkSession
     k = len(m1)
+    ones = {"m": m1, "g": singles["g"], "h": singles["h"]}
+    twos = {"p": pairs["p"], "g": pairs["g"]}
+    couples = (("i", "j"), ("i", "l"), ("j", "l"))
+    if k * k <= CONSTANT_CELLS:
+        single = [F.expr(f"get({constants(v)}, {at})").alias(f"{n}_{at}") for n, v in ones.items() for at in "ijl"]
+        double = [
+            F.expr(f"get({constants(v.ravel())}, {a} * {k} + {b})").alias(f"{n}_{a}{b}") for n, v in twos.items() for a, b in couples
+        ]
+        return table.select("*", *single, *double)
     a, b = (v.ravel() for v in np.indices((k, k)))
-    pair_rows = pd.DataFrame({"a": a, "b": b, "p": pairs["p"].ravel(), "g": pairs["g"].ravel()})
+    pair_rows = pd.DataFrame({"a": a, "b": b, "p": twos["p"].ravel(), "g": twos["g"].ravel()})
     pair_table = spark.createDataFrame(pair_rows, "a int, b int, p double, g double")
-    one_rows = pd.DataFrame({"a": np.arange(k), "m": m1, "g": singles["g"], "h": singles["h"]})
-    one_table = spark.createDataFrame(one_rows, "a int, m double, g double, h double")
+    one_table = spark.createDataFrame(pd.DataFrame({"a": np.arange(k), **ones}), "a int, m double, g double, h double")
     if fits_broadcast(spark, k * k, 3):
-        pair_table = F.broadcast(pair_table)
+        pair_table, one_table = F.broadcast(pair_table), F.broadcast(one_table)
     for index in ("i", "j", "l"):
-        side = one_table.toDF(index, f"m_{index}", f"g_{index}", f"h_{index}")
-        table = table.join(F.broadcast(side), index)
-    for left, right in (("i", "j"), ("i", "l"), ("j", "l")):
+        table = table.join(one_table.toDF(index, f"m_{index}", f"g_{index}", f"h_{index}"), index)
+    for left, right in couples:
         table = table.join(pair_table.toDF(left, right, f"p_{left}{right}", f"g_{left}{right}"), [left, right])
     return table
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectral_topics.functions.columns import literal, matrix_columns, named
+from spectral_topics.functions.columns import CONSTANT_CELLS, constants, matrix_columns, named
 from spectral_topics.functions.skew import skew_safe_join
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.linalg import gaussian_matrix, gram, matmul_small, normalize_columns, orthonormalize, require_nonzero
@@ -24,8 +24,6 @@ MODES = ("i", "j", "l")
 PINV_TOLERANCE = 1e-6
 # Factors up to this many cells are kept on the driver between updates.
 LOCAL_FACTOR_CELLS = 1_000_000
-# Two fixed factors up to this many cells are written into the query as constants.
-CONSTANT_CELLS = 5_000
 
 
 def other_modes(mode: int) -> tuple[int, int]:
@@ -74,7 +72,7 @@ def mttkrp_arrays(tensor: DataFrame, factors: Sequence[np.ndarray | None], mode:
     if first.size + second.size <= CONSTANT_CELLS:
 
         def entry(factor: np.ndarray, at: str, r: int) -> str:
-            return f"get(array({', '.join(map(literal, factor[:, r]))}), {at})"
+            return f"get({constants(factor[:, r])}, {at})"
 
         products = [f"val * {entry(first, a, r)} * {entry(second, b, r)}" for r in range(rank)]
         return tensor.groupBy(index).agg(*[F.sum(F.expr(p)).alias(f"f{r}") for r, p in enumerate(products)])

@@ -111,7 +111,7 @@ def test_duplicates_partitions_and_unseen_words_change_nothing(spark, data):
     docs, tokens, rows, _ = data
     _, start = start_model(spark, 45, 4)
     halves = tokens.withColumn("cnt", tokens.cnt / 2)
-    settings = dict(k=2, k_prime=4, alpha0=1.0, vocab_size=45, max_iter=3, start=start)
+    settings = dict(k=2, k_prime=4, alpha0=1.0, vocab_size=45, max_iter=1, start=start)
     one = dense(fit(docs, tokens, **settings).beta, 45, 2)
     two = dense(fit(docs, halves.unionByName(halves), partitions=7, **settings).beta, 45, 2)
     assert not np.isnan(one).any()

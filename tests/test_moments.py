@@ -119,8 +119,9 @@ def test_alpha0_zero_still_divides_by_documents(spark):
     np.testing.assert_allclose(matrix(found, "y", rows=data.d), pair_sketch(data.c, data.model)[0] / data.n, atol=1e-12)
 
 
-@pytest.mark.parametrize("k", [2, 4, 11])
-def test_third_moment_against_documents(spark, k):
+@pytest.mark.parametrize("k, constant_cells", [(2, moments.CONSTANT_CELLS), (4, 0), (11, moments.CONSTANT_CELLS)])
+def test_third_moment_against_documents(spark, monkeypatch, k, constant_cells):
+    monkeypatch.setattr(moments, "CONSTANT_CELLS", constant_cells)
     data = Corpus(spark, k)
     x, lengths = data.c @ data.model, data.c.sum(axis=1)
     m1 = np.divide(x, lengths[:, None], out=np.zeros_like(x), where=lengths[:, None] > 0).mean(axis=0)
@@ -134,8 +135,15 @@ def test_third_moment_against_documents(spark, k):
         np.testing.assert_allclose(t, t.transpose(axes), atol=1e-12)
 
 
-@pytest.mark.parametrize("k", [2, 9])
-def test_word_corrected_third_moment_against_positions(spark, layout, k):
+def test_word_corrected_third_moment_in_every_layout(spark, layout):
+    check_word_corrected(spark, layout, 2)
+
+
+def test_word_corrected_third_moment_in_numpy(spark):
+    check_word_corrected(spark, lambda tokens: tokens, 9)
+
+
+def check_word_corrected(spark, layout, k):
     data = Corpus(spark, k)
     tokens = layout(data.tokens)
     x, lengths = data.c @ data.model, data.c.sum(axis=1)

@@ -115,9 +115,9 @@ def test_factors_in_arrays_and_in_tables(spark, local_cells):
     v, weights, values = orthogonal_tensor(np.random.default_rng(9), 3)
     rng = np.random.default_rng(10)
     start = [gram_schmidt(rng.normal(size=(3, 3))) for _ in range(2)]
-    expected, norms, n = reference_als(values, *start, 1e-4, 12)
+    expected, norms, n = reference_als(values, *start, 1e-2, 12)
     found = T.cp_als(
-        cells(spark, values), 3, tol=1e-4, max_iter=12, symmetric=True, local_cells=local_cells,
+        cells(spark, values), 3, tol=1e-2, max_iter=12, symmetric=True, local_cells=local_cells,
         start=tuple(factor(spark, f) for f in start),
     )
     assert found.n_iter == n and found.converged

@@ -77,14 +77,15 @@ def document_sums(
 
     ``enrich`` adds the columns the sums need. Unblocked tokens are summed before the shuffle.
     """
-    rows = enrich(tokens) if enrich else tokens
+    enrich = enrich or (lambda rows: rows)
     columns = [c.alias(name) for name, c in sums.items()]
-    if "block" not in rows.columns:
+    if "spread" in tokens.columns:
+        whole = enrich(tokens.where(~F.col("spread"))).groupBy("block", "doc_id").agg(*columns).drop("block")
+        return whole.unionByName(enrich(tokens.where("spread")).groupBy("doc_id").agg(*columns))
+    rows = enrich(tokens)
+    if "spread" in rows.columns or "block" not in rows.columns:
         return rows.groupBy("doc_id").agg(*columns)
-    if "spread" not in rows.columns:
-        return rows.groupBy("block", "doc_id").agg(*columns).drop("block")
-    whole = rows.where(~F.col("spread")).groupBy("block", "doc_id").agg(*columns).drop("block")
-    return whole.unionByName(rows.where("spread").groupBy("doc_id").agg(*columns))
+    return rows.groupBy("block", "doc_id").agg(*columns).drop("block")
 
 
 def join_document_sums(
@@ -99,11 +100,11 @@ def join_document_sums(
     documents (at most MAX_HOT_KEYS rows) are broadcast to the blocks that hold their tokens.
     """
     blocked = block_tokens(tokens)
-    rows = enrich(blocked) if enrich else blocked
+    enrich = enrich or (lambda rows: rows)
     columns = [c.alias(name) for name, c in sums.items()]
-    per_doc = rows.groupBy("block", "doc_id").agg(*columns)
+    per_doc = enrich(blocked).groupBy("block", "doc_id").agg(*columns)
     if "spread" in blocked.columns:
-        totals = rows.where("spread").groupBy("doc_id").agg(*[c.alias(f"{n}_all") for n, c in sums.items()])
+        totals = enrich(blocked.where("spread")).groupBy("doc_id").agg(*[c.alias(f"{n}_all") for n, c in sums.items()])
         per_doc = per_doc.join(F.broadcast(totals), "doc_id", "left").select(
             "block", "doc_id", *[F.coalesce(f"{n}_all", n).alias(n) for n in sums]
         )

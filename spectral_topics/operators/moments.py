@@ -266,11 +266,11 @@ def third_moment(sums: DataFrame, m1: np.ndarray, alpha0: float) -> DataFrame:
     """The third-moment tensor ``(i, j, l, val)``, all k³ cells, from the sums of the documents.
 
     T = c3 - sym(m1 p2), then on cells with equal indexes the repeated-word terms, then /n3, then
-    + alpha0² m1 m1 m1. Correction terms are taken on projected coordinates.
+    + alpha0² m1 m1 m1. Correction terms are taken on projected coordinates. Reads ``sums`` twice,
+    so pass a materialised table.
     """
     m1 = np.asarray(m1, dtype=float)
     k = len(m1)
-    sums = materialize(sums, "third-sums")
     pairs, singles, n3 = _low_order_tables(sums, k)
     table = _expand_symmetric(sums.where(F.col("part") == "c3"))
     table = _attach_low_orders(table, pairs, singles, m1)

@@ -183,10 +183,9 @@ def third_moment_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def third_moment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proj = materialize(scaled_docs(spark, sf_dir), "proj")
-    n = order_docs(spark, sf_dir).count()
-    m1 = np.array([v for _, v in sorted(moments.first_moment(proj, n).collect())])
-    found = moments.third_moment(moments.third_moment_sums(proj, ALPHA0), m1, ALPHA0)
+    sums = materialize(moments.third_moment_sums(scaled_docs(spark, sf_dir), ALPHA0), "sums")
+    m1 = moments.first_moment_of_sums(sums, 3, order_docs(spark, sf_dir).count())
+    found = moments.third_moment(sums, m1, ALPHA0)
     return found.select("i", "j", "l", rounded("val", 10))
 
 

@@ -1,4 +1,4 @@
-"""``spark-submit -m``-style entry: fit a bag-of-words text corpus and write the model as text.
+"""``python -m spectral_topics``: fit a bag-of-words text corpus and write the model as text.
 
 Memory, cores and the master are Spark settings, not arguments.
 """

@@ -7,42 +7,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectral_topics.functions.batches import merge_small_partitions, numpy_batches
 from spectral_topics.functions.columns import combination, literal, matrix_columns, named, row_to_cells
+from spectral_topics.functions.dense import one_blas_thread
 
 # Wider work goes through numpy per Arrow batch instead of one generated expression per cell.
 MAX_SUM_COLUMNS = 160
 MAX_PRODUCT_TERMS = 1024
 
 
-def numpy_partitions(df: DataFrame) -> DataFrame:
-    """Merge input partitions when there are many more than cores: fewer partial matrices to add."""
-    spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(shuffle, 2 * spark.sparkContext.defaultParallelism))
-
-
 def gaussian_matrix(spark: SparkSession, rows: int, cols: int, seed: int, prefix: str = "o", key: str = "word_id") -> DataFrame:
     """Standard normals that depend on (seed, row, column) only, not on the partitioning.
 
     Each pair of columns is one Box-Muller draw on the two halves of an MD5 digest.
     """
-    out = [F.col("id").alias(key)]
-    digits = 13  # 52 bits per uniform
-    for pair in range((cols + 1) // 2):
-        digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("id"), F.lit(pair)))
-        out.append(digest.alias(f"h{pair}"))
-    drawn = spark.range(rows).select("id", *out[1:])
-    values = []
-    for pair in range((cols + 1) // 2):
-        first = F.conv(F.substring(f"h{pair}", 1, digits), 16, 10).cast("double")
-        second = F.conv(F.substring(f"h{pair}", 1 + digits, digits), 16, 10).cast("double")
-        radius = F.sqrt(-2.0 * F.log((first + 1.0) / float(1 << 52)))
-        angle = second * (2.0 * math.pi / (1 << 52))
-        values += [radius * F.cos(angle), radius * F.sin(angle)]
-    return drawn.select(out[0], *[v.alias(f"{prefix}{j}") for j, v in enumerate(values[:cols])])
+    pairs, scale = (cols + 1) // 2, 1 << 52
+    digests = F.transform(
+        F.sequence(F.lit(0), F.lit(pairs - 1)), lambda p: F.md5(F.concat_ws(":", F.lit(seed), F.col("id"), p))
+    )
+
+    def uniform(digest: Column, start: int) -> Column:
+        return F.conv(F.substring(digest, start, 13), 16, 10).cast("double")  # 52 bits
+
+    def polar(digest: Column) -> Column:
+        radius = F.sqrt(-2.0 * F.log((uniform(digest, 1) + 1.0) / float(scale)))
+        return F.struct(radius.alias("r"), (uniform(digest, 14) * (2.0 * math.pi / scale)).alias("t"))
+
+    drawn = spark.range(rows).select("id", F.transform(digests, polar).alias("draws"))
+    values = [
+        F.col("draws")[j // 2]["r"] * (F.sin if j % 2 else F.cos)(F.col("draws")[j // 2]["t"]) for j in range(cols)
+    ]
+    return drawn.select(F.col("id").alias(key), *[v.alias(f"{prefix}{j}") for j, v in enumerate(values)])
 
 
 def gram_table(df: DataFrame, prefix: str) -> DataFrame:
@@ -63,11 +61,12 @@ def gram_table(df: DataFrame, prefix: str) -> DataFrame:
         a, b = np.triu_indices(width)
         yield pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"), "val": total[a, b]})
 
-    parts = numpy_partitions(df.select(*cols)).mapInPandas(partial, "a int, b int, val double")
+    parts = numpy_batches(merge_small_partitions(df.select(*cols)), partial, "a int, b int, val double")
     return parts.groupBy("a", "b").agg(F.sum("val").alias("val"))
 
 
 def gram(df: DataFrame, prefix: str) -> np.ndarray:
+    one_blas_thread()
     width = len(matrix_columns(df, prefix))
     out = np.zeros((width, width))
     for a, b, val in gram_table(df, prefix).collect():
@@ -95,7 +94,7 @@ def matmul_small(df: DataFrame, prefix: str, matrix: np.ndarray, out_prefix: str
 
     key_type = df.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, " + ", ".join(f"{o} double" for o in outs)
-    return df.select(key, *cols).mapInPandas(multiply, schema)
+    return numpy_batches(df.select(key, *cols), multiply, schema)
 
 
 def column_norms(df: DataFrame, prefix: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectral_topics.functions.batches import merge_small_partitions, numpy_batches
 from spectral_topics.functions.columns import CONSTANT_CELLS, constants, literal, matrix_columns, named, row_to_cells
 from spectral_topics.functions.skew import fits_broadcast
 from spectral_topics.functions.storage import materialize
@@ -20,7 +21,7 @@ from spectral_topics.operators.corpus import (
     join_document_sums,
     pair_weight,
 )
-from spectral_topics.operators.linalg import MAX_SUM_COLUMNS, numpy_partitions
+from spectral_topics.operators.linalg import MAX_SUM_COLUMNS
 
 # Memory for one partial tensor in a Python worker.
 TENSOR_BYTES = 256 << 20
@@ -199,10 +200,10 @@ def _third_sums_generated(weighted: DataFrame, cols: Sequence[str]) -> DataFrame
 
 def _third_sums_numpy(weighted: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Partial sums per task in numpy. A tensor too large for a worker takes one pass per range of its first index."""
-    source = numpy_partitions(weighted)
+    source = merge_small_partitions(weighted)
     parts = None
     for start, stop in _row_ranges(len(cols)):
-        part = source.mapInPandas(_third_partial(cols, start, stop), "part string, i int, j int, l int, val double")
+        part = numpy_batches(source, _third_partial(cols, start, stop), "part string, i int, j int, l int, val double")
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("part", "i", "j", "l").agg(F.sum("val").alias("val"))
 
@@ -352,10 +353,10 @@ def word_correction_sums(words: DataFrame, model: DataFrame) -> DataFrame:
 
         return partial
 
-    source = numpy_partitions(rows)
-    parts = source.mapInPandas(pair_part, schema)
+    source = merge_small_partitions(rows)
+    parts = numpy_batches(source, pair_part, schema)
     for start, stop in _row_ranges(k):
-        parts = parts.unionByName(source.mapInPandas(cubic_part(start, stop), schema))
+        parts = parts.unionByName(numpy_batches(source, cubic_part(start, stop), schema))
     return parts.groupBy("part", "i", "j", "l").agg(F.sum("val").alias("val"))
 
 

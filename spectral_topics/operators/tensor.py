@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectral_topics.functions.batches import numpy_batches
 from spectral_topics.functions.columns import CONSTANT_CELLS, constants, matrix_columns, named
+from spectral_topics.functions.dense import one_blas_thread
 from spectral_topics.functions.skew import skew_safe_join
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.linalg import gaussian_matrix, gram, matmul_small, normalize_columns, orthonormalize, require_nonzero
@@ -93,7 +95,7 @@ def mttkrp_arrays(tensor: DataFrame, factors: Sequence[np.ndarray | None], mode:
 
     cells = tensor.select(index, F.col(a).alias("a"), F.col(b).alias("b"), "val")
     schema = f"idx {cells.schema['idx'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
-    return cells.mapInPandas(partial, schema).groupBy("idx").agg(*[F.sum(n).alias(n) for n in names])
+    return numpy_batches(cells, partial, schema).groupBy("idx").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def update_matrix(first: np.ndarray, second: np.ndarray, rho: float) -> np.ndarray:
@@ -261,6 +263,7 @@ def cp_als(
     with ``max_iter=M`` after M updates of A and M-1 of B and C (0: until converged, at most
     ``hard_cap``). ``start`` gives the first B and C. ``symmetric`` applies the sign vote to A.
     """
+    one_blas_thread()
     spark = tensor.sparkSession
     tensor = materialize(tensor.select("i", "j", "l", "val"), "tensor").persist()
     try:

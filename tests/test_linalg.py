@@ -18,10 +18,10 @@ def gram_schmidt(a):
     return q * np.where(np.diag(r) < 0, -1, 1)
 
 
-@pytest.mark.parametrize("width", [3, 20, 40])
+@pytest.mark.parametrize("width", [3, 20, 120])
 def test_gram_product_and_orthonormal(spark, width):
     """Generated code for narrow matrices, numpy batches for wide ones."""
-    a = np.random.default_rng(1).normal(size=(90, width))
+    a = np.random.default_rng(1).normal(size=(2 * width + 50, width))
     df = tall(spark, a)
     np.testing.assert_allclose(linalg.gram(df, "y"), a.T @ a, atol=1e-11)
     m = np.random.default_rng(2).normal(size=(width, width))

@@ -229,7 +229,7 @@ def recovered(source: str, topics: int) -> dict[str, str]:
 
 
 SALES = f"""SELECT list_position([{', '.join(f"'{s}'" for s in SEGMENTS)}], c_mktsegment) - 1 AS i,
-    replace(p_brand, 'Brand#', '')::INT - 1 AS j, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS l,
+    replace(p_brand, 'Brand#', '')::INT - 1 AS j, ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::INT AS l,
     sum(l_quantity) AS val FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"""
 
@@ -489,7 +489,7 @@ def build() -> dict[str, str]:
         ),
         "top_words": """SELECT topic, rank, word_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY prob DESC, word_id)::INT AS rank
             FROM (SELECT l_suppkey AS topic, l_partkey AS word_id, sum(l_quantity) AS prob FROM lineitem GROUP BY 1, 2)) WHERE rank <= 10""",
-        "running_sum": """SELECT event_type, event_id, sum(cents) OVER w AS running, row_number() OVER w AS position
+        "running_sum": """SELECT event_type, event_id, (sum(cents) OVER w)::BIGINT AS running, row_number() OVER w AS position
             FROM (SELECT event_type, event_id, round(value * 100)::BIGINT AS cents FROM events)
             WINDOW w AS (PARTITION BY event_type ORDER BY cents DESC, event_id ROWS UNBOUNDED PRECEDING)""",
         "fit_topics": fit_two_topics(),

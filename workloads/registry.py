@@ -48,21 +48,21 @@ def rounded_columns(df: DataFrame, digits: int, *prefixes: str, also: tuple[str,
 
 
 def bow_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = bow_text(spark, sf_dir)
-    docs, tokens = text.read_bow_text(spark, path)
-    return docs.join(corpus.doc_terms(tokens), "doc_id", "left").select("doc_id", "word_id", "cnt")
+    docs, tokens = text.read_bow_text(spark, bow_text(spark, sf_dir))
+    return docs.distinct().join(corpus.doc_terms(tokens), "doc_id", "left").select("doc_id", "word_id", "cnt")
 
 
 def bow_text(spark: SparkSession, sf_dir: str) -> str:
-    """The order-part corpus written as bag-of-words text, orders without lines included."""
-    lines = order_lines(spark, sf_dir)
-    pairs = corpus.doc_terms(lines).groupBy("doc_id").agg(
-        F.concat_ws(" ", F.collect_list(F.format_string("%d:%s", "word_id", F.col("cnt").cast("string")))).alias("pairs"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    every = order_docs(spark, sf_dir).join(pairs, "doc_id", "left").na.fill({"pairs": "", "n": 0})
+    """The order-part corpus as bag-of-words text: a line per order and part, and one per order without lines.
+
+    Each count is split over two tokens, so that the reader meets several pairs and repeats in a line.
+    """
+    pairs = corpus.doc_terms(order_lines(spark, sf_dir))
+    rest = (F.col("cnt") - 1).cast("string")
+    filled = pairs.select(F.format_string("%d 2 %d:%s %d:1", "doc_id", "word_id", rest, "word_id").alias("line"))
+    empty = order_docs(spark, sf_dir).join(pairs, "doc_id", "left_anti").select(F.format_string("%d 0", "doc_id").alias("line"))
     path = scratch_path(spark, "bow-text")
-    every.select(F.format_string("%d %d %s", "doc_id", "n", "pairs")).write.text(path)
+    filled.unionByName(empty).write.text(path)
     return path
 
 
@@ -96,8 +96,7 @@ def matrix_text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = order_lines(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("word_id", "cnt")).alias("tokens"))
-    return corpus.flatten_documents(nested)
+    return corpus.doc_terms(order_lines(spark, sf_dir))
 
 
 def min_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

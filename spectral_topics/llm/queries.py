@@ -77,8 +77,9 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keep, sha1(html) AS h FROM t)
         SELECT page_id, strlen(html) AS payload_bytes,
-               array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                   ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '')
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+                   FOR i IN range(0, 32)], '')
                    AS payload_digest,
                CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> keep THEN keep END AS refers_to

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectral_topics.llm import exact_dedup, mixing, simhash, token_counts, token_output, toxicity, warc
+from spectral_topics.llm import exact_dedup, language_id, mixing, simhash, token_counts, token_output, toxicity, warc
 from spectral_topics.llm.common import crc_bucket, table
 
 END_ID = 2
@@ -64,6 +64,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict_languages(docs, language_id.fit_languages(docs))
+    return found.select(F.col("id").alias("doc_id"), (crc_bucket("id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
 }
 

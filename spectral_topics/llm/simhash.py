@@ -9,6 +9,12 @@ around it, whatever the input, because equal fingerprints are merged first.
 
 Copies of a text share a fingerprint: a group of a third of all rows is one row here.
 
+``near_unique`` keeps one document of each group of similar ones. Texts whose word shingles have a
+similarity (Jaccard) of 0.8 differ in about 15 of 100 bits, too many for a ball around 64 of them.
+So it takes several fingerprints (more bits from the same shingle hashes), cuts them into blocks,
+lets blocks meet within 2 bits of each other as above, and keeps the links whose fingerprints, over
+all bits, differ as little as those of texts of that similarity do.
+
 Defined results
 - A null text is empty. A text without words has fingerprint 0 and is linked like any other.
 - ``component_id`` is the smallest id reachable; null ids count only where a component has no other.
@@ -17,6 +23,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, id_and_text, join_groups, text_bytes
+from spectral_topics.llm.common import arrow_map, id_and_text, join_groups, quoted, text_bytes
 from spectral_topics.llm.components import connected_components
 
 SEED = 42
@@ -36,13 +44,16 @@ BITS = 64
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, width: int, seed: int = SEED) -> int:
-    """The SimHash of a text's word shingles as an unsigned number. A-Z are lower-cased."""
+def fingerprint(text: bytes, width: int, seed: int = SEED, prints: int = 1) -> np.ndarray:
+    """SimHash fingerprints of a text's word shingles as unsigned numbers. A-Z are lower-cased.
+
+    The first is made from the shingles' XXH64, each further one from these hashes mixed anew.
+    """
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(prints, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -50,27 +61,44 @@ def fingerprint(text: bytes, width: int, seed: int = SEED) -> int:
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     spans = zip(starts[:n].tolist(), last.tolist(), strict=True)
     hashes = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in spans), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, CHUNK):
-        part = np.ascontiguousarray(hashes[at : at + CHUNK]).astype("<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int = SEED) -> DataFrame:
-    """``(id, fp)``: fingerprints as signed 64-bit numbers."""
+    found = np.zeros(prints, np.uint64)
+    for k in range(prints):
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, n, CHUNK):
+            part = mixed(hashes[at : at + CHUNK], k).astype("<u8")
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        found[k] = np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]
+    return found
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th hash of what has these hashes; the hashes themselves for 0."""
+    if not k:
+        return np.ascontiguousarray(hashes)
+    out = (hashes + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(30)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def fingerprints(rows: DataFrame, width: int, prints: int = 1, seed: int = SEED) -> DataFrame:
+    """``rows`` with ``fp0``, ``fp1``, ... (signed 64-bit numbers) in place of ``text``."""
+    carried = [c for c in rows.columns if c != "text"]
+    names = [f"fp{k}" for k in range(prints)]
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            found = np.array([fingerprint(t, width, seed) for t in text_bytes(rows.column("text"))], np.uint64)
-            yield pa.record_batch([rows.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+        for batch in batches:
+            found = np.array([fingerprint(t, width, seed, prints) for t in text_bytes(batch.column("text"))], np.uint64)
+            columns = [pa.array(np.ascontiguousarray(c)) for c in found.reshape(-1, prints).view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *columns], names=[*carried, *names])
 
-    return arrow_map(id_and_text(docs, id_col, text_col), hashes, "id long, fp long")
+    schema = StructType([rows.schema[c] for c in carried] + [StructField(n, LongType()) for n in names])
+    return arrow_map(rows, hashes, schema)
 
 
-def ball(radius: int) -> list[int]:
-    """All signed 64-bit masks with at most ``radius`` bits set."""
-    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(BITS), r)]
+def ball(radius: int, bits: int = BITS) -> list[int]:
+    """All masks of ``bits`` bits, at most ``radius`` of them set, as signed 64-bit numbers."""
+    masks = [sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(range(bits), r)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
@@ -93,7 +121,7 @@ def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2
 ) -> DataFrame:
     """``(id, fp, component_id)`` for each row of ``docs``."""
-    prints = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    prints = materialize(fingerprints(id_and_text(docs, id_col, text_col), width).withColumnRenamed("fp0", "fp"), "fingerprints")
     distinct = materialize(
         prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints"
     )
@@ -104,3 +132,72 @@ def simhash_components(
     named = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = materialize(nodes.join(named, "root").select("fp", "component_id", "n"), "fingerprint-components")
     return join_groups(prints, groups, "fp", "n", "id").select("id", "fp", "component_id")
+
+
+#: Fingerprints of 64 bits for ``near_unique``, and the bits of the blocks that meet.
+PRINTS = 3
+BLOCK = 32
+LAST_ID = (1 << 63) - 1
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """Expected differing bits of texts whose shingle sets have this Jaccard similarity."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def block_links(distinct: DataFrame, prints: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: links between nodes of ``distinct(node, fp0, ...)`` that meet in a block and are similar.
+
+    A block's variants are shared by chance by about 33 in 2^32 of all other fingerprints; for more
+    than some 10^8 distinct texts take wider blocks. All at a variant are linked to its first node.
+    """
+    pieces = [
+        F.shiftrightunsigned(F.shiftleft(F.col(f"fp{k}"), BITS - block - at), BITS - block)
+        for k in range(prints)
+        for at in range(0, BITS, block)
+    ]
+    # The block's number stands above its bits, and masks leave it as it is.
+    numbered = F.array(*[p.bitwiseOR(F.lit(i << block)) for i, p in enumerate(pieces)])
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(1, block)])
+    variants = (
+        distinct.select("node", F.explode(numbered).alias("block"))
+        .select("node", "block", F.explode(masks).alias("mask"))
+        .select("node", F.col("block").bitwiseXOR(F.col("mask")).alias("variant"))
+    )
+    least = F.min("node").over(Window.partitionBy("variant"))
+    met = materialize(
+        variants.withColumn("least", least).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(),
+        "met",
+    )
+    names = [f"fp{k}" for k in range(prints)]
+    a = distinct.select(F.col("node").alias("a"), *[F.col(n).alias("a" + n) for n in names])
+    b = distinct.select(F.col("node").alias("b"), *[F.col(n).alias("b" + n) for n in names])
+    apart = sum((F.bit_count(F.col("a" + n).bitwiseXOR(F.col("b" + n))) for n in names), F.lit(0))
+    return met.join(a, "a").join(b, "b").where(apart <= bits_apart(similarity, prints * BITS)).select("a", "b")
+
+
+def near_unique(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    prints: int = PRINTS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row of each group of similar texts: that of the smallest id (null ids last), all columns as they are."""
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    key = [F.coalesce(quoted(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("tie")]
+    names = [f"fp{k}" for k in range(prints)]
+    found = materialize(fingerprints(docs.select(*key, text.alias("text")), width, prints), "fingerprints")
+    distinct = materialize(
+        found.groupBy(*names).agg(F.min(F.struct("doc", "tie")).alias("first")).withColumn("node", F.monotonically_increasing_id()),
+        "distinct-fingerprints",
+    )
+    roots = connected_components(block_links(distinct, prints, similarity, block))
+    nodes = distinct.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    kept = materialize(nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept-documents")
+    # A repeated row has its twin's key: one of them stays.
+    copy = F.row_number().over(Window.partitionBy("doc", "tie").orderBy(F.lit(1)))
+    rows = docs.select(*key, F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    return rows.join(kept, ["doc", "tie"], "left_semi").withColumn("copy", copy).where("copy = 1").select("row.*")

@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rho", type=float, default=0.0, help="ridge weight")
     p.add_argument("--tolerance", type=float, default=1e-4)
     p.add_argument("--max_iterations", type=int, default=0, help="0: until converged")
+    p.add_argument("--hard_cap", type=int, help="bound on iterations until convergence; reaching it is an error")
     p.add_argument("--seed", type=int, default=SEED)
     p.add_argument("--variant", choices=VARIANTS, default="reference")
     p.add_argument("--mode", choices=("failfast", "permissive"), default="failfast")
@@ -48,8 +49,11 @@ def main(argv: list[str] | None = None) -> None:
         partitions=args.partitions,
         seed=args.seed,
         variant=args.variant,
+        hard_cap=args.hard_cap,
     )
     model.write_text(args.output)
+    if not model.converged and args.max_iterations <= 0:
+        raise SystemExit(f"no convergence after {model.n_iter} iterations; the model written is that of the last one")
 
 
 if __name__ == "__main__":

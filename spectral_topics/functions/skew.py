@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,22 +27,20 @@ def fits_broadcast(spark: SparkSession, rows: int, doubles: int) -> bool:
     return rows * (16 + 8 * doubles) <= broadcast_limit(spark)
 
 
-def hot_keys(
-    df: DataFrame, key: str, min_rows: int | None = None, max_keys: int | None = None
-) -> DataFrame | None:
-    """Keys holding more than ``max(min_rows, total / max_keys)`` rows, at most ``max_keys`` of them.
+def hot_keys(df: DataFrame, key: str, limit: Callable[[int], int] | None = None) -> tuple[int, DataFrame | None]:
+    """The number of rows, and the keys holding more than ``limit(rows)`` of them.
 
-    Returns a small local table, or None when no key is hot.
+    By default a key is hot with more than MIN_HOT_ROWS and 1/MAX_HOT_KEYS of all rows. The keys
+    are a small local table (fewer than rows / limit), None when no key is hot.
     """
-    min_rows = MIN_HOT_ROWS if min_rows is None else min_rows
-    max_keys = MAX_HOT_KEYS if max_keys is None else max_keys
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    limit = max(min_rows, (total or 0) // max_keys)
-    if largest is None or largest <= limit:
-        return None
-    found = counts.where(F.col("n") > limit).select(key).collect()
-    return df.sparkSession.createDataFrame(found, df.select(key).schema)
+    total = total or 0
+    most = limit(total) if limit else max(MIN_HOT_ROWS, total // MAX_HOT_KEYS)
+    if largest is None or largest <= most:
+        return total, None
+    found = counts.where(F.col("n") > most).select(key).collect()
+    return total, df.sparkSession.createDataFrame(found, df.select(key).schema)
 
 
 def skew_safe_join(
@@ -63,7 +62,7 @@ def skew_safe_join(
     spark = big.sparkSession
     if fits_broadcast(spark, rows, doubles):
         return big.join(F.broadcast(table), key, how)
-    hot = hot_keys(big, key)
+    hot = hot_keys(big, key)[1]
     if hot is None:
         return big.join(table, key, how)
     pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))

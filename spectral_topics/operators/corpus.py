@@ -14,7 +14,10 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectral_topics.functions.skew import hot_keys
+from spectral_topics.functions.skew import MIN_HOT_ROWS, fits_broadcast, hot_keys
+
+# Tokens in a block: blocks grow in number with the corpus, not in size.
+BLOCK_ROWS = 4_000_000
 
 
 def flatten_documents(documents: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -38,27 +41,34 @@ def check_word_ids(tokens: DataFrame, vocab_size: int) -> DataFrame:
 
 
 def block_tokens(
-    tokens: DataFrame, partitions: int | None = None, min_hot_rows: int | None = None
+    tokens: DataFrame, partitions: int | None = None, min_hot_rows: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Partition tokens by document. Already blocked tokens are returned unchanged.
+    """Partition tokens by document, every row as it is. Already blocked tokens are returned unchanged.
 
-    Documents that ``hot_keys`` finds are merged first (copies of a word collapse before the
-    shuffle) and spread over all blocks by word. Rows without a word id are no tokens.
+    There are ``partitions`` blocks, by default one for ``block_rows`` tokens and at least
+    ``spark.sql.shuffle.partitions``. Documents with more tokens than an average block (and than
+    ``min_hot_rows``) are spread over all blocks by word; there are fewer of them than blocks.
+    A null document or word id fails the job.
     """
     if "block" in tokens.columns:
         return tokens
-    n = partitions or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = F.col("doc_id").isNotNull() & F.col("word_id").isNotNull()
     tokens = tokens.select("doc_id", "word_id", F.col("cnt").cast("double").alias("cnt")).where(
-        F.col("doc_id").isNotNull() & F.col("word_id").isNotNull()
+        F.when(known, True).otherwise(F.raise_error(F.lit("a token without a document or word id")))
+    )
+    least = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, hot = hot_keys(
+        tokens,
+        "doc_id",
+        lambda rows: max(MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows, rows // (partitions or max(least, -(-rows // block_rows)))),
     )
-    hot = hot_keys(tokens, "doc_id", min_rows=min_hot_rows)
+    n = partitions or max(least, -(-total // block_rows))
     if hot is None:
         place = F.xxhash64("doc_id")
     else:
         marked = F.broadcast(hot.withColumn("spread", F.lit(True)))
-        tokens = doc_terms(tokens).join(marked, "doc_id", "left").withColumn(
-            "spread", F.coalesce("spread", F.lit(False))
-        )
+        spread = F.coalesce("spread", F.lit(False)).alias("spread", metadata={"documents": hot.count()})
+        tokens = tokens.join(marked, "doc_id", "left").select("doc_id", "word_id", "cnt", spread)
         place = F.when(F.col("spread"), F.xxhash64("doc_id", "word_id")).otherwise(F.xxhash64("doc_id"))
     block = F.pmod(place, F.lit(n)).cast("int").alias("block", metadata={"blocks": n})
     return tokens.select("*", block).repartitionById(n, "block")
@@ -97,7 +107,7 @@ def join_document_sums(
     """Attach per-document sums to every token of the document.
 
     ``shape`` filters or rewrites the per-document rows before the join. Sums of spread
-    documents (at most MAX_HOT_KEYS rows) are broadcast to the blocks that hold their tokens.
+    documents (fewer than blocks) are broadcast to the blocks that hold their tokens if they fit.
     """
     blocked = block_tokens(tokens)
     enrich = enrich or (lambda rows: rows)
@@ -105,7 +115,10 @@ def join_document_sums(
     per_doc = enrich(blocked).groupBy("block", "doc_id").agg(*columns)
     if "spread" in blocked.columns:
         totals = enrich(blocked.where("spread")).groupBy("doc_id").agg(*[c.alias(f"{n}_all") for n, c in sums.items()])
-        per_doc = per_doc.join(F.broadcast(totals), "doc_id", "left").select(
+        few = blocked.schema["spread"].metadata["documents"]
+        if fits_broadcast(tokens.sparkSession, few, len(sums)):
+            totals = F.broadcast(totals)
+        per_doc = per_doc.join(totals, "doc_id", "left").select(
             "block", "doc_id", *[F.coalesce(f"{n}_all", n).alias(n) for n in sums]
         )
     if shape:
@@ -121,6 +134,15 @@ def doc_stats(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
+def count_documents(docs: DataFrame) -> int:
+    """The number of documents; an id that occurs twice, or is null, is an error."""
+    per_id = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    total, most, nulls = per_id.agg(F.sum("n"), F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
+    if nulls or (most or 0) > 1:
+        raise ValueError("documents need ids that differ and are not null")
+    return total or 0
+
+
 def corpus_counts(stats: DataFrame) -> DataFrame:
     """One row: all documents, documents usable for pair moments, for triple moments."""
     return stats.agg(

@@ -97,6 +97,10 @@ def matmul_small(df: DataFrame, prefix: str, matrix: np.ndarray, out_prefix: str
     return numpy_batches(df.select(key, *cols), multiply, schema)
 
 
+# A column is independent of those before it if this share of its norm, or more, is new.
+INDEPENDENT = 1e-13
+
+
 def column_norms(df: DataFrame, prefix: str) -> DataFrame:
     """``(a, val)``: the 2-norm of every column."""
     cols = matrix_columns(df, prefix)
@@ -138,7 +142,7 @@ def orthonormalize(df: DataFrame, prefix: str, key: str = "word_id") -> DataFram
         diagonal *= np.diag(upper)
         current = matmul_small(current, prefix, np.linalg.inv(upper), prefix, key)
         if near:
-            if (diagonal <= 1e-13 * scale).any():
+            if (diagonal <= INDEPENDENT * scale).any():
                 break
             return current
         product = gram(current, prefix)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spectral_topics.functions.batches import merge_small_partitions, numpy_batches
 from spectral_topics.functions.columns import CONSTANT_CELLS, constants, literal, matrix_columns, named, row_to_cells
-from spectral_topics.functions.skew import fits_broadcast
+from spectral_topics.functions.skew import fits_broadcast, skew_safe_join
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.corpus import (
     block_count,
@@ -28,20 +28,24 @@ TENSOR_BYTES = 256 << 20
 
 
 def lookup_model(tokens: DataFrame, model: DataFrame, rows: int | None = None) -> DataFrame:
-    """Attach row ``word_id`` of the model (columns o0, o1, ...) to every token.
+    """Attach row ``word_id`` of the model (columns o0, o1, ...) to every token, all its rows and columns kept.
 
-    A model within the broadcast limit is broadcast and the tokens do not move. ``rows`` is its
-    row count if known. A word without a model row fails the job.
+    A model within the broadcast limit is broadcast and the tokens do not move. A larger one is
+    fetched by the blocks of blocked tokens, and joined by a shuffle with others, rows of hot words
+    spread. ``rows`` is its row count if known. A word without a model row fails the job.
     """
     cols = matrix_columns(model, "o")
     model = model.select("word_id", *cols)
     rows = model.count() if rows is None else rows
     if fits_broadcast(tokens.sparkSession, rows, len(cols)):
         found = tokens.join(F.broadcast(model), "word_id", "left")
+    elif "block" in tokens.columns:
+        found = _gather_model(tokens, model, cols)
     else:
-        found = _gather_model(block_tokens(tokens), model, cols)
-    missing = F.raise_error(F.format_string("word id %d has no row in the model", F.col("word_id")))
-    return found.withColumn("o0", F.coalesce("o0", missing.cast("double")))
+        spread_by = F.struct(*[c for c in tokens.columns if c != "word_id"])
+        found = skew_safe_join(tokens, model, "word_id", rows, len(cols), spread_by, how="left")
+    missing = F.raise_error(F.concat(F.lit("no row in the model for word id "), F.coalesce(F.col("word_id").cast("string"), F.lit("null"))))
+    return found.select(*tokens.columns, F.coalesce("o0", missing.cast("double")).alias("o0"), *cols[1:])
 
 
 def _gather_model(tokens: DataFrame, model: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -440,7 +444,10 @@ def _finish(table: DataFrame, value, n3: float, alpha0: float) -> DataFrame:
 
 
 def sum_matrices(*matrices: DataFrame, prefix: str | None = None, key: str = "row_id") -> DataFrame:
-    """Cell-by-cell sum of tall matrices ``(key, vec)``, or ``(key, prefix0, ...)`` when a prefix is given."""
+    """Cell-by-cell sum of tall matrices ``(key, vec)``, or ``(key, prefix0, ...)`` when a prefix is given.
+
+    Vectors of unequal length are an error, found in a pass over the vectors' sizes.
+    """
     if not matrices:
         raise ValueError("no matrix to add")
     total = matrices[0]
@@ -449,6 +456,12 @@ def sum_matrices(*matrices: DataFrame, prefix: str | None = None, key: str = "ro
     if prefix:
         cols = matrix_columns(total, prefix)
         return total.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols])
+    least, width = total.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if least != width:
+        raise ValueError(f"vectors of {least} to {width} values cannot be added")
+    if width is not None and width <= MAX_SUM_COLUMNS:
+        sums = [F.sum(F.col("vec")[j]) for j in range(width)]
+        return total.groupBy(key).agg(F.array(*sums).alias("vec"))
     cells = total.select(key, F.posexplode("vec").alias("at", "val"))
     summed = cells.groupBy(key, "at").agg(F.sum("val").alias("val"))
     ordered = F.array_sort(F.collect_list(F.struct("at", "val")))

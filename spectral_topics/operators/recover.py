@@ -35,7 +35,7 @@ def unwhiten(model: DataFrame, a: np.ndarray, lambdas: np.ndarray, key: str = "w
 
 
 def simplex_thresholds(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """``(group..., theta)`` such that the sum of max(value - theta, 0) over each group is 1.
+    """``(group..., theta)``, marked for broadcast if they are few, such that the sum of max(value - theta, 0) over each group is 1.
 
     From a lower bound, theta moves to (sum of values above theta - 1) / (their number) until the
     set above it stops shrinking. Each round also looks at a grid of larger candidates up to an
@@ -52,7 +52,7 @@ def simplex_thresholds(df: DataFrame, group: Sequence[str], value: str) -> DataF
     sums = [F.coalesce(F.sum(F.when(F.col(value) > t, F.col(value))), F.lit(0.0)).alias(f"s{b}") for b, t in enumerate(grid)]
     while True:
         old = state.withColumnRenamed("n", "before")
-        found = df.join(F.broadcast(old) if rows is not None else old, group).groupBy(
+        found = with_thresholds(df, old, rows is not None, group).groupBy(
             *group, "before", "theta", "width"
         ).agg(*counts, *sums)
         moved, rows = _settle(found.select(*group, _next_threshold(grid).alias("to")).select(*group, "to.*"))
@@ -61,7 +61,8 @@ def simplex_thresholds(df: DataFrame, group: Sequence[str], value: str) -> DataF
         else:
             done = moved.where(~F.col("done")).isEmpty()
         if done:
-            return moved.select(*group, "theta")
+            theta = moved.select(*group, "theta")
+            return F.broadcast(theta) if rows is not None else theta
         state = moved.select(*group, "n", "theta", "width")
 
 
@@ -83,6 +84,11 @@ def _next_threshold(grid: Sequence[Column]) -> Column:
     return step
 
 
+def with_thresholds(df: DataFrame, thresholds: DataFrame, few: bool, group: Sequence[str]) -> DataFrame:
+    """Join by group: few thresholds are broadcast; with many groups Spark's own join splits large ones at run time."""
+    return df.join(F.broadcast(thresholds) if few else thresholds, list(group))
+
+
 def _settle(table: DataFrame) -> tuple[DataFrame, list | None]:
     """Compute the table now: as a local relation with its rows while small, else in shared storage."""
     rows = table.limit(LOCAL_GROUPS + 1).collect()

@@ -6,6 +6,7 @@ driver arrays and those of long modes as tables in shared storage.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,11 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectral_topics.functions.batches import numpy_batches
-from spectral_topics.functions.columns import CONSTANT_CELLS, constants, matrix_columns, named
+from spectral_topics.functions.columns import matrix_columns, named
 from spectral_topics.functions.dense import one_blas_thread
 from spectral_topics.functions.skew import skew_safe_join
 from spectral_topics.functions.storage import materialize
-from spectral_topics.operators.linalg import gaussian_matrix, gram, matmul_small, normalize_columns, orthonormalize, require_nonzero
+from spectral_topics.operators.linalg import (
+    INDEPENDENT,
+    gaussian_matrix,
+    gram,
+    matmul_small,
+    normalize_columns,
+    orthonormalize,
+    require_nonzero,
+)
 
 MODES = ("i", "j", "l")
 # Singular values below this are treated as zero in the pseudo-inverse (fixed value).
@@ -38,7 +47,7 @@ def lookup_factors(
 ) -> DataFrame:
     """Attach to every cell the factor rows of the two other modes, as columns p0.. and q0...
 
-    ``sizes`` gives the row counts of the factors if known.
+    ``sizes`` gives the row counts of the factors if known. A cell without a factor row fails the job.
     """
     joined = tensor
     for name, other in zip("pq", other_modes(mode)):
@@ -47,7 +56,9 @@ def lookup_factors(
         side = factor.select(F.col("idx").alias(index), *[F.col(c).alias(f"{name}{r}") for r, c in enumerate(cols)])
         rows = sizes[other] if sizes else factor.count()
         spread_by = F.struct(*[m for m in MODES if m != index])
-        joined = skew_safe_join(joined, side, index, rows, len(cols), spread_by)
+        joined = skew_safe_join(joined, side, index, rows, len(cols), spread_by, how="left")
+        missing = F.raise_error(F.concat(F.lit(f"no factor row for {index} = "), F.coalesce(F.col(index).cast("string"), F.lit("null"))))
+        joined = joined.withColumn(f"{name}0", F.coalesce(f"{name}0", missing.cast("double")))
     return joined
 
 
@@ -62,40 +73,42 @@ def mttkrp(
     )
 
 
-def mttkrp_arrays(tensor: DataFrame, factors: Sequence[np.ndarray | None], mode: int) -> DataFrame:
-    """``mttkrp`` with small factors given as arrays, without a join.
+def mttkrp_arrays(tensor: DataFrame, factors: Sequence[np.ndarray | None], mode: int, rows: int) -> np.ndarray:
+    """``mttkrp`` with small factors given as arrays, without a join: one array of ``rows`` rows.
 
-    Very small ones become constants of the aggregate, others are looked up in numpy batches.
+    Every task adds up its cells in one array and sends its nonzero rows. An index without cells is
+    a zero row; a cell without a factor row fails the job.
     """
     first, second = (factors[m] for m in other_modes(mode))
     a, b = (MODES[m] for m in other_modes(mode))
     rank = first.shape[1]
-    index = F.col(MODES[mode]).alias("idx")
-    if first.size + second.size <= CONSTANT_CELLS:
-
-        def entry(factor: np.ndarray, at: str, r: int) -> str:
-            return f"get({constants(factor[:, r])}, {at})"
-
-        products = [f"val * {entry(first, a, r)} * {entry(second, b, r)}" for r in range(rank)]
-        return tensor.groupBy(index).agg(*[F.sum(F.expr(p)).alias(f"f{r}") for r, p in enumerate(products)])
-
     names = named("f", rank)
     shared = tensor.sparkSession.sparkContext.broadcast((first, second))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left, right = shared.value
+        sums = np.zeros((rows, rank))
         for batch in batches:
-            terms = left[batch["a"].to_numpy()] * right[batch["b"].to_numpy()] * batch["val"].to_numpy()[:, None]
-            indexes, place = np.unique(batch["idx"].to_numpy(), return_inverse=True)
-            sums = np.zeros((len(indexes), rank))
-            np.add.at(sums, place, terms)
-            out = pd.DataFrame(sums, columns=names)
-            out.insert(0, "idx", indexes)
-            yield out
-
-    cells = tensor.select(index, F.col(a).alias("a"), F.col(b).alias("b"), "val")
-    schema = f"idx {cells.schema['idx'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
-    return numpy_batches(cells, partial, schema).groupBy("idx").agg(*[F.sum(n).alias(n) for n in names])
+            at = [batch[m].to_numpy() for m in ("idx", "a", "b")]
+            for index, size, name in zip(at, (rows, len(left), len(right)), (MODES[mode], a, b)):
+                if len(index) and not ((index >= 0) & (index < size)).all():
+                    raise ValueError(f"no factor row for a cell's {name}: the factor has {size} rows")
+            terms = left[at[1]] * right[at[2]] * batch["val"].to_numpy()[:, None]
+            for r in range(rank):
+                sums[:, r] += np.bincount(at[0], terms[:, r], rows)
+        used = np.flatnonzero((sums != 0).any(axis=1))
+        out = pd.DataFrame(sums[used], columns=names)
+        out.insert(0, "idx", used)
+        yield out
+
+    cells = tensor.select(F.col(MODES[mode]).alias("idx"), F.col(a).alias("a"), F.col(b).alias("b"), "val")
+    schema = "idx long, " + ", ".join(f"{n} double" for n in names)
+    parts = numpy_batches(cells, partial, schema).groupBy("idx").agg(*[F.sum(n).alias(n) for n in names])
+    found = parts.toPandas()
+    shared.destroy()
+    out = np.zeros((rows, rank))
+    out[found["idx"].to_numpy(np.int64)] = found[names].to_numpy(float)
+    return out
 
 
 def update_matrix(first: np.ndarray, second: np.ndarray, rho: float) -> np.ndarray:
@@ -146,9 +159,12 @@ def sign_vote(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
     Only meaningful for a symmetric tensor, whose factors agree up to sign.
     """
     cols = matrix_columns(a, "f")
-    first_rows = [np.array(f.where(F.col("idx") == 0).select(*cols).first(), dtype=float) for f in (a, b, c)]
-    joined = a.alias("a0").join(b.alias("a1"), "idx").join(c.alias("a2"), "idx")
-    chosen = [F.col(f"a{source}.{col}").alias(col) for source, col in zip(vote_signs(first_rows), cols)]
+    zeros = [0.0] * len(cols)
+    first_rows = [np.array(f.where(F.col("idx") == 0).select(*cols).first() or zeros, dtype=float) for f in (a, b, c)]
+    # A row that a factor lacks is a zero row.
+    sides = [f.select("idx", *[F.col(col).alias(f"a{n}_{col}") for col in cols]) for n, f in enumerate((a, b, c))]
+    joined = sides[0].join(sides[1], "idx", "full").join(sides[2], "idx", "full")
+    chosen = [F.coalesce(f"a{source}_{col}", F.lit(0.0)).alias(col) for source, col in zip(vote_signs(first_rows), cols)]
     return joined.select("idx", *chosen)
 
 
@@ -179,11 +195,8 @@ class LocalFactor:
     def gram(self) -> np.ndarray:
         return self.values.T @ self.values
 
-    def updated(self, sums: DataFrame, weights: np.ndarray) -> LocalFactor:
-        values = np.zeros_like(self.values)
-        for row in sums.collect():
-            values[row[0]] = row[1:]
-        return LocalFactor(self.spark, values @ weights)
+    def updated(self, sums: np.ndarray, weights: np.ndarray) -> LocalFactor:
+        return LocalFactor(self.spark, sums @ weights)
 
     def normalized(self) -> tuple[LocalFactor, np.ndarray]:
         norms = np.linalg.norm(self.values, axis=0)
@@ -192,6 +205,7 @@ class LocalFactor:
 
     def orthonormal(self) -> LocalFactor:
         q, r = np.linalg.qr(self.values)
+        require_independent(np.abs(np.diag(r)), np.linalg.norm(self.values, axis=0))
         return LocalFactor(self.spark, q * np.where(np.diag(r) < 0, -1.0, 1.0))
 
     def change(self, previous: LocalFactor) -> float:
@@ -201,23 +215,26 @@ class LocalFactor:
 class TableFactor:
     """A factor of a long mode, kept as a table in shared storage."""
 
-    def __init__(self, table: DataFrame):
-        self.table = table
+    def __init__(self, table: DataFrame, rows: int):
+        self.table, self.rows = table, rows
         self.columns = matrix_columns(table, "f")
 
     def gram(self) -> np.ndarray:
         return gram(self.table, "f")
 
     def updated(self, sums: DataFrame, weights: np.ndarray) -> TableFactor:
-        rows = matmul_small(sums, "f", weights, "f", key="idx")
-        return TableFactor(materialize(rows, "factor"))
+        """``sums`` may lack indexes without cells; they become zero rows, as in arrays."""
+        found = matmul_small(sums, "f", weights, "f", key="idx")
+        every = found.sparkSession.range(self.rows).select(F.col("id").cast(found.schema["idx"].dataType).alias("idx"))
+        filled = every.join(found, "idx", "left").select("idx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in self.columns])
+        return TableFactor(materialize(filled, "factor"), self.rows)
 
     def normalized(self) -> tuple[TableFactor, np.ndarray]:
         table, norms = normalize_columns(self.table, "f", key="idx")
-        return TableFactor(table), norms
+        return TableFactor(table, self.rows), norms
 
     def orthonormal(self) -> TableFactor:
-        return TableFactor(materialize(orthonormalize(self.table, "f", key="idx"), "factor"))
+        return TableFactor(materialize(orthonormalize(self.table, "f", key="idx"), "factor"), self.rows)
 
     def change(self, previous: TableFactor) -> float:
         old = previous.table.toDF("idx", *[f"old_{c}" for c in self.columns])
@@ -239,7 +256,7 @@ def _start(spark: SparkSession, given: DataFrame | None, rows: int, rank: int, s
             values[row[0]] = row[1:]
         factor = LocalFactor(spark, values)
     else:
-        factor = TableFactor(materialize(table, "factor"))
+        factor = TableFactor(materialize(table, "factor"), rows)
     return factor if given is not None else factor.orthonormal()
 
 
@@ -249,26 +266,26 @@ def cp_als(
     tol: float = 1e-4,
     max_iter: int = 0,
     rho: float = 0.0,
-    seed: int = 1412218460,
+    seed: int = 20_011,
     start: tuple[DataFrame, DataFrame] | None = None,
     symmetric: bool = False,
     shape: tuple[int, int, int] | None = None,
-    hard_cap: int = 1000,
+    hard_cap: int | None = None,
     local_cells: int = LOCAL_FACTOR_CELLS,
 ) -> CPResult:
     """Rank-``rank`` CP decomposition by alternating least squares.
 
     Factors are updated in the order A, B, C; every update is normalised, B and C are also
     orthonormalised. The loop stops when A changes by less than ``tol`` between iterations, or
-    with ``max_iter=M`` after M updates of A and M-1 of B and C (0: until converged, at most
-    ``hard_cap``). ``start`` gives the first B and C. ``symmetric`` applies the sign vote to A.
+    with ``max_iter=M`` after M updates of A and M-1 of B and C (0: until converged). ``hard_cap``
+    bounds a run until convergence; a run that it ends gives a warning. ``start`` gives the first B
+    and C. ``symmetric`` applies the sign vote to A. A cell outside ``shape`` is an error.
     """
     one_blas_thread()
     spark = tensor.sparkSession
     tensor = materialize(tensor.select("i", "j", "l", "val"), "tensor").persist()
     try:
-        if shape is None:
-            shape = tuple((v or 0) + 1 for v in tensor.agg(*[F.max(m) for m in MODES]).first())
+        shape = _checked_shape(tensor, shape)
         if rank > min(shape[1:]):
             raise ValueError(f"rank {rank} exceeds a mode of {shape}: B and C must hold orthonormal columns")
         local = max(shape) * rank <= local_cells
@@ -281,7 +298,7 @@ def cp_als(
         empty_a = LocalFactor(spark, np.zeros((shape[0], rank))) if local else None
         lambdas, previous, converged, n_iter = np.zeros(rank), None, False, 0
         limit = max_iter if max_iter > 0 else hard_cap
-        while not converged and n_iter < limit:
+        while not converged and (limit is None or n_iter < limit):
             n_iter += 1
             if previous is not None and n_iter > 2 and factors[0].change(previous) < tol:
                 converged = True
@@ -292,6 +309,8 @@ def cp_als(
                 break
             for mode in (1, 2):
                 factors[mode] = _updated(tensor, factors, mode, rho, shape, factors[mode])[0].orthonormal()
+        if not converged and max_iter <= 0:
+            warnings.warn(f"stopped after {n_iter} iterations without convergence", stacklevel=2)
         a, b, c = (f.table for f in factors)
         if symmetric and local:
             chosen = vote_signs([f.values[0] for f in factors])
@@ -304,14 +323,31 @@ def cp_als(
         tensor.unpersist()
 
 
+def _checked_shape(tensor: DataFrame, shape: tuple[int, int, int] | None) -> tuple[int, int, int]:
+    """The given shape, or that of the largest indexes; every cell must lie inside."""
+    bounds = [f(m) for m in MODES for f in (F.min, F.max)] + [F.count_if(F.col(m).isNull()) for m in MODES]
+    row = tensor.agg(*bounds).first()
+    low, high, absent = row[0:6:2], row[1:6:2], row[6:]
+    shape = shape or tuple((v or 0) + 1 for v in high)
+    for m, least, most, size, nulls in zip(MODES, low, high, shape, absent):
+        if nulls or (least is not None and not 0 <= least <= most < size):
+            raise ValueError(f"cells with {m} from {least} to {most} and {nulls} nulls do not fit a mode of {size} rows")
+    return shape
+
+
+def require_independent(diagonal: np.ndarray, norms: np.ndarray) -> None:
+    if (diagonal <= INDEPENDENT * norms).any():
+        raise ValueError(f"the {len(diagonal)} columns are linearly dependent; use a smaller rank")
+
+
 def _updated(tensor, factors, mode, rho, shape, holder):
     """One normalised factor update; ``holder`` says where the result is kept."""
     first, second = other_modes(mode)
     weights = update_matrix(factors[first].gram(), factors[second].gram(), rho)
     fixed = [None if m == mode else f for m, f in enumerate(factors)]
     if isinstance(fixed[first], LocalFactor):
-        sums = mttkrp_arrays(tensor, [f and f.values for f in fixed], mode)
+        sums = mttkrp_arrays(tensor, [f and f.values for f in fixed], mode, shape[mode])
     else:
         sums = mttkrp(tensor, [f and f.table for f in fixed], mode, shape)
-    holder = holder or factors[first]
+    holder = holder or TableFactor(factors[first].table, shape[mode])
     return holder.updated(sums, weights).normalized()

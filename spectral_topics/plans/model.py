@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spectral_topics.functions.columns import columns_to_cells, matrix_columns, named
 from spectral_topics.functions.storage import materialize
-from spectral_topics.operators.corpus import block_tokens, check_word_ids
+from spectral_topics.operators.corpus import block_tokens, check_word_ids, count_documents
 from spectral_topics.operators.linalg import gaussian_matrix, orthonormalize, ridged, spectral_factor
 from spectral_topics.operators.moments import (
     correct_pair_moment,
@@ -29,7 +29,7 @@ from spectral_topics.operators.recover import dirichlet_prior, factor_array, rec
 from spectral_topics.operators.tensor import cp_als
 from spectral_topics.sources.text import write_matrix_text
 
-SEED = 1412218259
+SEED = 20_010
 VARIANTS = ("reference", "whitened")
 
 
@@ -121,7 +121,8 @@ def project_and_contract(
     scaled = model.select("word_id", *[(F.col(c) / F.lit(float(s))).alias(c) for c, s in zip(cols, divisors)])
     if variant == "whitened":
         scaled = materialize(scaled, "whitener")
-    proj = project_docs(tokens, scaled, rows=vocab_size)
+    # Stored: the sums may read it once for each range of the tensor.
+    proj = materialize(project_docs(tokens, scaled, rows=vocab_size), "projected")
     sums = materialize(third_moment_sums(proj, alpha0), "sums")
     m1 = first_moment_of_sums(sums, len(cols), n_docs)
     if variant == "reference":
@@ -146,16 +147,17 @@ def fit(
     start: DataFrame | None = None,
     als_start: tuple[DataFrame, DataFrame] | None = None,
     iterations: int | None = 20,
-    hard_cap: int = 1000,
+    hard_cap: int | None = None,
 ) -> TopicModel:
     """Fit a topic model to ``docs(doc_id)`` and ``tokens(doc_id, word_id, cnt)``.
 
-    ``vocab_size`` defaults to the largest word id + 1; a word id outside it fails the job.
+    ``vocab_size`` defaults to the largest word id + 1; a word id outside it fails the job, and so do
+    repeated document ids. ``hard_cap`` bounds a decomposition that would run until it converges.
     ``start`` and ``als_start`` replace the seeded random starts. ``iterations`` is the number of
     ADMM rounds in recovery (None: exact projection).
     """
     spark = tokens.sparkSession
-    n_docs = docs.count()
+    n_docs = count_documents(docs)
     if vocab_size is None:
         vocab_size = int(tokens.agg(F.max("word_id")).first()[0]) + 1
     corpus = block_tokens(check_word_ids(tokens, vocab_size), partitions)

@@ -45,7 +45,8 @@ def _pairs(documents: DataFrame) -> DataFrame:
 def read_bow_text(spark: SparkSession, path: str, mode: str = "failfast") -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id)`` and ``tokens(doc_id, word_id, cnt)`` of lines ``docId nUnique id:count id:count ...``.
 
-    The second field is not used. A document may have no tokens. ``failfast`` fails the job on a
+    The second field is not used. A line is a document, so ids must differ (``fit`` checks them). A
+    document may have no tokens. ``failfast`` fails the job on a
     malformed line or token, ``permissive`` skips it; ``bow_text_quality`` counts them.
     """
     strict = _require_mode(mode)

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectral_topics.functions.storage import materialize
-
-# Size of the hashed word space of the text corpus.
-TEXT_WORDS = 4096
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+from spectral_topics.operators.recover import running_sum
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,16 +40,26 @@ def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id")
 
 
-def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the documents with hashed ids, one token per distinct word of a document.
+def text_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``tokens(doc_id, word_id, cnt)`` of the documents' words, and ``vocabulary(word_id)``.
 
-    Written once, since every moment query reads its tokens more than once.
+    A word's id is its place among all distinct words in byte order, numbered over ranges. Both are
+    written once, since every moment query reads its tokens more than once.
     """
     words = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")
+        "doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     )
     counted = words.groupBy("doc_id", F.lower("word").alias("word")).agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    return materialize(counted.select("doc_id", hashed_word(F.col("word")).alias("word_id"), "cnt"), "text-tokens")
+    counted = materialize(counted, "text-words")
+    numbered = materialize(numbered_values(counted, "word", "word_id"), "vocabulary")
+    tokens = materialize(counted.join(numbered, "word").select("doc_id", "word_id", "cnt"), "text-tokens")
+    return tokens, numbered.select("word_id")
+
+
+def numbered_values(df: DataFrame, column: str, number: str) -> DataFrame:
+    """``(column, number)``: the distinct values in ascending order, from 0, numbered over ranges."""
+    distinct = df.select(column).distinct().select(column, F.lit(0).alias("all"), F.lit(1).alias("one"))
+    return running_sum(distinct, "all", [F.asc(column)], "one").select(column, (F.col("position") - 1).cast("long").alias(number))
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
@@ -61,19 +68,13 @@ def spread_scan(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def hashed_word(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % TEXT_WORDS
-
-
-def text_model(spark: SparkSession, width: int) -> DataFrame:
-    word = F.col("id")
-    return spark.range(TEXT_WORDS).select(
-        word.alias("word_id"), *[wave(word, j).alias(f"o{j}") for j in range(width)]
-    )
+def text_model(vocabulary: DataFrame, width: int) -> DataFrame:
+    word = F.col("word_id")
+    return vocabulary.select(word, *[wave(word, j).alias(f"o{j}") for j in range(width)])
 
 
 def sales_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity by customer segment (i), part brand (j) and ship month (l)."""
+    """Quantity by customer segment (i, in order of name), part brand (j) and ship month (l)."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -83,11 +84,12 @@ def sales_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(customer, orders.o_custkey == customer.c_custkey)
     )
-    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment")) - 1
+    segments = numbered_values(customer, "c_mktsegment", "segment")
+    joined = joined.join(segments, "c_mktsegment")
     brand = F.regexp_replace("p_brand", "Brand#", "").cast("int") - 1
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
     return joined.groupBy(
-        segment.cast("int").alias("i"), brand.alias("j"), month.cast("int").alias("l")
+        F.col("segment").cast("int").alias("i"), brand.alias("j"), month.cast("int").alias("l")
     ).agg(F.sum("l_quantity").alias("val"))
 
 

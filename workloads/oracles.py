@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from workloads.corpora import SEGMENTS, TEXT_WORDS
-from workloads.registry import ALPHA0, B_START, C_START, SIGMA
+from workloads.registry import ALPHA0, ALS_TOLERANCE, B_START, C_START, FIT_TOLERANCE, SIGMA
 
 
 def num(value: float) -> str:
@@ -15,14 +14,12 @@ def num(value: float) -> str:
 
 A0 = num(ALPHA0)
 LINES = "SELECT l_orderkey AS doc_id, l_partkey AS word_id, sum(l_quantity)::DOUBLE AS cnt FROM lineitem GROUP BY 1, 2"
-WORDS = f"""SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % {TEXT_WORDS} AS word_id, sum(1)::DOUBLE AS cnt
-    FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents) GROUP BY 1, 2"""
 N_ORDERS = "(SELECT count(*) FROM orders)::DOUBLE"
 N_TEXTS = "(SELECT count(*) FROM documents)::DOUBLE"
 
 
 def ctes(parts: dict[str, str], final: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in parts.items()) + "\n" + final
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in parts.items()) + "\n" + final
 
 
 def rnd(expr: str, digits: int, name: str) -> str:
@@ -43,9 +40,15 @@ def part_model(width: int, prefix: str = "o", key: str = "word_id") -> str:
     return f"SELECT p_partkey AS {key}, {waves} FROM part"
 
 
-def text_model(width: int) -> str:
-    waves = ", ".join(f"{wave('range', j)} AS o{j}" for j in range(width))
-    return f"SELECT range AS word_id, {waves} FROM range({TEXT_WORDS})"
+def text_corpus(width: int) -> dict[str, str]:
+    """Words of the documents, numbered in byte order, and the wave matrix over them."""
+    waves = ", ".join(f"{wave('word_id', j)} AS o{j}" for j in range(width))
+    return {
+        "words": "SELECT doc_id, lower(unnest(regexp_extract_all(text, '\\p{L}+'))) AS word FROM documents",
+        "vocabulary": "SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM words)",
+        "tokens": "SELECT doc_id, word_id, count(*)::DOUBLE AS cnt FROM words JOIN vocabulary USING (word) GROUP BY 1, 2",
+        "model": f"SELECT word_id, {waves} FROM vocabulary",
+    }
 
 
 def projection(width: int, tokens: str = "tokens", model: str = "model", divisors: list[str] | None = None) -> str:
@@ -146,6 +149,8 @@ def first_moments(k: int, docs: str, n: str) -> str:
 
 
 MODES = "ijl"
+# Iterations that the twins write out; the decompositions stop before.
+ALS_ITERATIONS, FIT_ITERATIONS = 8, 12
 
 
 def factor_pair(mode: int) -> tuple[int, int]:
@@ -180,20 +185,34 @@ def unit(source: str, out: str) -> dict[str, str]:
     }
 
 
-def als_sweep(cells: str, b: str, c: str) -> dict[str, str]:
-    """A, B, C, A: what two iterations do."""
-    return {
-        **als_step(cells, ["", b, c], 0, "a1"),
-        **unit("a1", "ua1"),
-        **als_step(cells, ["ua1", "", c], 1, "b1"),
-        **unit("b1", "ub1"),
-        **orthonormal2("ub1", "qb", "f", "idx", "f"),
-        **als_step(cells, ["ua1", "qb", ""], 2, "c1"),
-        **unit("c1", "uc1"),
-        **orthonormal2("uc1", "qc", "f", "idx", "f"),
-        **als_step(cells, ["", "qb", "qc"], 0, "a2"),
-        **unit("a2", "ua2"),
-    }
+def als_until(cells: str, b: str, c: str, tolerance: float, most: int) -> dict[str, str]:
+    """Iterations until A changes by less than the tolerance, written out up to ``most`` of them.
+
+    ``fa_end``, ``fb_end``, ``fc_end`` and ``norms_end`` are the factors and weights of the iteration that stops.
+    """
+    out: dict[str, str] = {}
+    for n in range(1, most + 1):
+        out |= {
+            **als_step(cells, ["", b, c], 0, f"a{n}"),
+            **unit(f"a{n}", f"ua{n}"),
+            **als_step(cells, [f"ua{n}", "", c], 1, f"b{n}"),
+            **unit(f"b{n}", f"ub{n}"),
+            **orthonormal2(f"ub{n}", f"qb{n}", "f", "idx", "f"),
+            **als_step(cells, [f"ua{n}", f"qb{n}", ""], 2, f"c{n}"),
+            **unit(f"c{n}", f"uc{n}"),
+            **orthonormal2(f"uc{n}", f"qc{n}", "f", "idx", "f"),
+        }
+        b, c = f"qb{n}", f"qc{n}"
+    changes = " UNION ALL ".join(
+        f"""SELECT {n} AS n, sqrt(sum((p.f0 - q.f0) ** 2 + (p.f1 - q.f1) ** 2) / sum(p.f0 * p.f0 + p.f1 * p.f1)) AS change
+        FROM ua{n} p JOIN ua{n - 1} q USING (idx)"""
+        for n in range(2, most + 1)
+    )
+    out["stop"] = f"SELECT min(n) AS n FROM ({changes}) WHERE change < {num(tolerance)}"
+    for name, source in (("fa_end", "ua{}"), ("fb_end", "qb{}"), ("fc_end", "qc{}"), ("norms_end", "ua{}_n")):
+        rows = " UNION ALL ".join(f"SELECT *, {n} AS n FROM {source.format(n)}" for n in range(2, most + 1))
+        out[name] = f"SELECT * EXCLUDE (n) FROM ({rows}) WHERE n = (SELECT n FROM stop)"
+    return out
 
 
 def values_factor(rows: list[tuple]) -> str:
@@ -228,14 +247,14 @@ def recovered(source: str, topics: int) -> dict[str, str]:
     }
 
 
-SALES = f"""SELECT list_position([{', '.join(f"'{s}'" for s in SEGMENTS)}], c_mktsegment) - 1 AS i,
-    replace(p_brand, 'Brand#', '')::INT - 1 AS j, ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::INT AS l,
+SEGMENTS = "SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS i FROM (SELECT DISTINCT c_mktsegment FROM customer)"
+SALES = """SELECT i, replace(p_brand, 'Brand#', '')::INT - 1 AS j, ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::INT AS l,
     sum(l_quantity) AS val FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-    JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"""
+    JOIN customer ON o_custkey = c_custkey JOIN segments USING (c_mktsegment) GROUP BY 1, 2, 3"""
 
 
 def sales_factors(rank: int = 2) -> dict[str, str]:
-    out = {"sales": SALES}
+    out = {"segments": SEGMENTS, "sales": SALES}
     for name, mode in zip(("fa", "fb", "fc"), MODES):
         waves = ", ".join(f"{wave('idx', r)} AS f{r}" for r in range(rank))
         out[name] = f"SELECT idx, {waves} FROM (SELECT DISTINCT {mode} AS idx FROM sales)"
@@ -274,24 +293,23 @@ def third_sums(k: int) -> str:
     return f"SELECT *, {s2} AS s2, {s3} AS s3 FROM docs WHERE len >= 3", " UNION ALL ".join(selects)
 
 
-def word_corrected_tensor() -> str:
+def word_corrected_cells(n: str) -> tuple[dict[str, str], str]:
     """The two-topic third moment with repeated words removed in word space, from its definition.
 
-    A document's cell is s3 times the sum over distinct token positions plus the Dirichlet terms.
+    Takes ``tokens`` and the whitener ``w``. A document's cell is s3 times the sum over distinct
+    token positions plus the Dirichlet terms.
     """
-    sigma = [1.25, 0.5]
     s2, s3 = dirichlet_factors()
+    known = "SELECT doc_id, cnt, " + ", ".join(f"coalesce(o{j}, 0) AS o{j}" for j in range(2)) + " FROM tokens LEFT JOIN w USING (word_id)"
     parts = {
-        "tokens": LINES,
-        "model": part_model(2),
-        "w": "SELECT word_id, " + ", ".join(f"o{j} / {num(s * s)} AS o{j}" for j, s in enumerate(sigma)) + " FROM model",
-        "docs": projection(2, model="w"),
-        "m1": first_moments(2, "docs", N_ORDERS),
+        "known": known,
+        "docs": "SELECT doc_id, sum(cnt) AS len, " + ", ".join(f"sum(cnt * o{j}) AS x{j}" for j in range(2)) + " FROM known GROUP BY doc_id",
+        "m1": first_moments(2, "docs", n),
         "own": "SELECT doc_id, "
         + ", ".join(f"sum(cnt * o{a} * o{b}) AS b{a}{b}" for a in range(2) for b in range(2))
         + ", "
         + ", ".join(f"sum(cnt * o{a} * o{b} * o{c}) AS c{a}{b}{c}" for a, b, c in product(range(2), repeat=3))
-        + " FROM tokens JOIN w USING (word_id) GROUP BY doc_id",
+        + " FROM known GROUP BY doc_id",
         "weighted": f"SELECT *, {s2} AS s2, {s3} AS s3 FROM docs JOIN own USING (doc_id), m1 WHERE len >= 3",
     }
     selects = []
@@ -301,43 +319,63 @@ def word_corrected_tensor() -> str:
             f"m{a} * (x{b} * x{c} - b{b}{c})" for a, b, c in ((i, j, m), (j, i, m), (m, i, j))
         )
         cell = f"avg(s3 * ({triples}) - s2 * ({pairs})) + {A0} * {A0} * any_value(m{i} * m{j} * m{m})"
-        selects.append(f"SELECT {i} AS i, {j} AS j, {m} AS l, {rnd(cell, 10, 'val')} FROM weighted")
-    return ctes(parts, " UNION ALL ".join(selects))
+        selects.append(f"SELECT {i} AS i, {j} AS j, {m} AS l, {cell} AS val FROM weighted")
+    return parts, " UNION ALL ".join(selects)
+
+
+def word_corrected_tensor() -> str:
+    sigma = [1.25, 0.5]
+    parts, cells = word_corrected_cells(N_ORDERS)
+    whitener = "SELECT word_id, " + ", ".join(f"o{j} / {num(s * s)} AS o{j}" for j, s in enumerate(sigma)) + " FROM model"
+    return ctes(
+        {"tokens": LINES, "model": part_model(2), "w": whitener, **parts, "cells": cells}, f"SELECT i, j, l, {rnd('val', 10, 'val')} FROM cells"
+    )
 
 
-def fit_two_topics() -> str:
-    """The whole job for two topics in closed form."""
-    divisors = ["(s0 * (1 + 1e-6::DOUBLE))", "(s1 + 1e-6::DOUBLE * s0)"]
+def fit_two_topics(whitened: bool) -> str:
+    """The whole job for two topics, the decomposition written out until it converges."""
+    if whitened:
+        parts, cells = word_corrected_cells(N_TEXTS)
+        middle = {
+            "w": "SELECT word_id, " + ", ".join(f"o{j} / (s{j} * s{j}) AS o{j}" for j in range(2)) + " FROM factor",
+            **parts,
+            "cells": cells,
+        }
+    else:
+        divisors = ["(s0 * (1 + 1e-6::DOUBLE))", "(s1 + 1e-6::DOUBLE * s0)"]
+        middle = {
+            "w": "SELECT word_id, o0, o1 FROM factor",
+            "docs": "SELECT doc_id, sum(cnt) AS len, "
+            + ", ".join(f"sum(cnt * coalesce(o{j} / {s}, 0)) AS x{j}" for j, s in enumerate(divisors))
+            + " FROM tokens LEFT JOIN factor USING (word_id) GROUP BY doc_id",
+            "m1": first_moments(2, "docs", N_TEXTS),
+            "cells": tensor_cells(2, "docs", "m1"),
+        }
     parts = {
-        "tokens": WORDS,
-        "model": text_model(2),
+        **text_corpus(2),
         **range2(N_TEXTS),
-        "docs": "SELECT doc_id, sum(cnt) AS len, "
-        + ", ".join(f"sum(cnt * coalesce(o{j} / {s}, 0)) AS x{j}" for j, s in enumerate(divisors))
-        + " FROM tokens LEFT JOIN factor USING (word_id) GROUP BY doc_id",
-        "m1": first_moments(2, "docs", N_TEXTS),
-        "cells": tensor_cells(2, "docs", "m1"),
+        **middle,
         "b0": values_factor(B_START),
         "c0": values_factor(C_START),
-        **als_sweep("cells", "b0", "c0"),
+        **als_until("cells", "b0", "c0", FIT_TOLERANCE, FIT_ITERATIONS),
         "votes": "SELECT "
         + ", ".join(
-            f"(SELECT sign(f{r}) FROM ua2 WHERE idx = 0) AS a{r}, (SELECT sign(f{r}) FROM qb WHERE idx = 0) AS b{r}, (SELECT sign(f{r}) FROM qc WHERE idx = 0) AS c{r}"
+            f"(SELECT sign(f{r}) FROM fa_end WHERE idx = 0) AS a{r}, (SELECT sign(f{r}) FROM fb_end WHERE idx = 0) AS b{r}, (SELECT sign(f{r}) FROM fc_end WHERE idx = 0) AS c{r}"
             for r in range(2)
         ),
         "voted": "SELECT a.idx, "
         + ", ".join(f"CASE WHEN a{r} = c{r} AND a{r} <> b{r} THEN b.f{r} WHEN a{r} = b{r} AND a{r} <> c{r} THEN c.f{r} ELSE a.f{r} END AS f{r}" for r in range(2))
-        + " FROM ua2 a JOIN qb b USING (idx) JOIN qc c USING (idx), votes",
-        "og": gram2("factor", "o"),
+        + " FROM fa_end a JOIN fb_end b USING (idx) JOIN fc_end c USING (idx), votes",
+        "og": gram2("w", "o"),
         "small": """SELECT max(CASE WHEN idx = 0 THEN f0 END) * n0 AS a00, max(CASE WHEN idx = 0 THEN f1 END) * n1 AS a01,
             max(CASE WHEN idx = 1 THEN f0 END) * n0 AS a10, max(CASE WHEN idx = 1 THEN f1 END) * n1 AS a11
-            FROM voted, ua2_n GROUP BY n0, n1""",
+            FROM voted, norms_end GROUP BY n0, n1""",
         "found": """SELECT word_id, (o0 * (g11 * a00 - g01 * a10) + o1 * (g00 * a10 - g01 * a00)) / (g00 * g11 - g01 * g01) AS f0,
-            (o0 * (g11 * a01 - g01 * a11) + o1 * (g00 * a11 - g01 * a01)) / (g00 * g11 - g01 * g01) AS f1 FROM factor, og, small""",
-        "factors": f"SELECT range AS word_id, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1 FROM range({TEXT_WORDS}) LEFT JOIN found ON range = word_id",
+            (o0 * (g11 * a01 - g01 * a11) + o1 * (g00 * a11 - g01 * a01)) / (g00 * g11 - g01 * g01) AS f1 FROM w, og, small""",
+        "factors": "SELECT word_id, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1 FROM vocabulary LEFT JOIN found USING (word_id)",
         **recovered("factors", 2),
         "prior": """SELECT t.topic, power(CASE WHEN t.topic = 0 THEN n0 ELSE n1 END, -2) / (power(n0, -2) + power(n1, -2)) AS alpha
-            FROM ua2_n, (VALUES (0), (1)) t(topic)""",
+            FROM norms_end, (VALUES (0), (1)) t(topic)""",
     }
     return ctes(parts, f"SELECT word_id, topic, {rnd('prob', 8, 'prob')}, {rnd(f'alpha * {A0}', 6, 'alpha')} FROM topics JOIN prior USING (topic)")
 
@@ -365,7 +403,7 @@ def build() -> dict[str, str]:
     w_sql, sums_sql = third_sums(3)
     sales = sales_factors()
     factor_names = ["fa", "fb", "fc"]
-    text = {"tokens": WORDS, "model": text_model(2)}
+    text = text_corpus(2)
     events = {"ev": "SELECT event_type, event_id, value / 1000 AS value FROM events"}
 
     out = {
@@ -409,8 +447,8 @@ def build() -> dict[str, str]:
             {**scaled, "m1": first_moments(3, "docs", N_ORDERS), "cells": tensor_cells(3, "docs", "m1")}, f"SELECT i, j, l, {rnd('val', 10, 'val')} FROM cells"
         ),
         "third_moment_word_corrected": word_corrected_tensor(),
-        "matrix_sum": "SELECT l_partkey AS row_id, sum(l_quantity) AS v0, count(*)::DOUBLE AS v1 FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1",
-        "gaussian_matrix": gaussian(5, 1412218259),
+        "matrix_sum": "SELECT l_partkey AS row_id, sum(l_quantity) AS v0, count(*)::DOUBLE AS v1 FROM lineitem GROUP BY 1",
+        "gaussian_matrix": gaussian(5, 20_010),
         "gram_matrix": ctes(
             {"y": vectors(4)},
             " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, {rnd(f'sum(y{a} * y{b})', 7, 'val')} FROM y" for a in range(4) for b in range(a, 4)),
@@ -439,9 +477,9 @@ def build() -> dict[str, str]:
         ),
         "range_finder": ctes(
             {**text, **range2(N_TEXTS)},
-            f"""SELECT range AS word_id, {rnd('coalesce(o0, 0)', 8, 'o0')}, {rnd('coalesce(o1, 0)', 8, 'o1')},
+            f"""SELECT word_id, {rnd('coalesce(o0, 0)', 8, 'o0')}, {rnd('coalesce(o1, 0)', 8, 'o1')},
             {rnd('(SELECT any_value(s0) FROM factor)', 8, 's0')}, {rnd('(SELECT any_value(s1) FROM factor)', 8, 's1')}
-            FROM range({TEXT_WORDS}) LEFT JOIN factor ON range = word_id""",
+            FROM vocabulary LEFT JOIN factor USING (word_id)""",
         ),
         "factor_lookup": ctes(
             sales,
@@ -457,10 +495,10 @@ def build() -> dict[str, str]:
         "als_update": ctes({**sales, **als_step("sales", factor_names, 1, "b1", rho=0.01)}, f"SELECT idx, {cols('f', 2, 7)} FROM b1"),
         "slice_merge": ctes({"f": part_model(2, "f", "idx")}, f"SELECT idx, {cols('f', 2, 10)} FROM f"),
         "cp_als": ctes(
-            {**sales, **als_sweep("sales", "fb", "fc")},
+            {**sales, **als_until("sales", "fb", "fc", ALS_TOLERANCE, ALS_ITERATIONS)},
             " UNION ALL ".join(
-                f"SELECT '{name}' AS factor, idx, {cols('f', 2, 8)}, {rnd('n0', 4, 'lambda0')}, {rnd('n1', 4, 'lambda1')} FROM {source}, ua2_n"
-                for name, source in (("A", "ua2"), ("B", "qb"), ("C", "qc"))
+                f"SELECT '{name}' AS factor, idx, {cols('f', 2, 8)}, {rnd('n0', 4, 'lambda0')}, {rnd('n1', 4, 'lambda1')} FROM {source}, norms_end"
+                for name, source in (("A", "fa_end"), ("B", "fb_end"), ("C", "fc_end"))
             ),
         ),
         "sign_vote": f"""SELECT p_partkey AS idx, {rnd('sin(p_partkey + 4)', 10, 'f0')}, {rnd('sin(p_partkey + 4)', 10, 'f1')},
@@ -478,7 +516,7 @@ def build() -> dict[str, str]:
         "simplex_projection": ctes(
             {**events, **simplex("ev", "event_type", "event_id", "value", "p")}, f"SELECT event_type, event_id, {rnd('value', 10, 'value')} FROM p"
         ),
-        "topic_recovery_rounds": admm(4),
+        "topic_recovery_rounds": admm(20),
         "recovered_topics": ctes(
             {
                 "factors": f"""SELECT p_partkey AS word_id, p_retailprice / ({num(1000)} * d) + {wave('p_partkey', 0)} / d AS f0,
@@ -492,6 +530,7 @@ def build() -> dict[str, str]:
         "running_sum": """SELECT event_type, event_id, (sum(cents) OVER w)::BIGINT AS running, row_number() OVER w AS position
             FROM (SELECT event_type, event_id, round(value * 100)::BIGINT AS cents FROM events)
             WINDOW w AS (PARTITION BY event_type ORDER BY cents DESC, event_id ROWS UNBOUNDED PRECEDING)""",
-        "fit_topics": fit_two_topics(),
+        "fit_topics": fit_two_topics(whitened=False),
+        "fit_topics_whitened": fit_two_topics(whitened=True),
     }
     return out

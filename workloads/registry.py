@@ -14,15 +14,14 @@ from spectral_topics.operators import corpus, linalg, moments, recover, tensor
 from spectral_topics.plans.model import fit, project_and_contract, whiten
 from spectral_topics.sources import text
 from workloads.corpora import (
-    TEXT_WORDS,
     order_docs,
     order_lines,
     part_model,
     sales_tensor,
     table,
+    text_corpus,
     text_docs,
     text_model,
-    text_tokens,
     wave,
     wave_factor,
 )
@@ -31,6 +30,9 @@ ALPHA0 = 1.0
 # Orthonormal 2x2 starts for the topic-sized factors B and C.
 B_START = [(0, 0.8, -0.6), (1, 0.6, 0.8)]
 C_START = [(0, 0.6, 0.8), (1, -0.8, 0.6)]
+# Change of A at which the decompositions compared with SQL stop.
+ALS_TOLERANCE = 0.1
+FIT_TOLERANCE = 1e-3
 SIGMA = np.array([2.0, 1.5, 0.75])
 
 
@@ -49,20 +51,23 @@ def rounded_columns(df: DataFrame, digits: int, *prefixes: str, also: tuple[str,
 
 def bow_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokens = text.read_bow_text(spark, bow_text(spark, sf_dir))
-    return docs.distinct().join(corpus.doc_terms(tokens), "doc_id", "left").select("doc_id", "word_id", "cnt")
+    return docs.join(corpus.doc_terms(tokens), "doc_id", "left").select("doc_id", "word_id", "cnt")
 
 
 def bow_text(spark: SparkSession, sf_dir: str) -> str:
-    """The order-part corpus as bag-of-words text: a line per order and part, and one per order without lines.
+    """The order-part corpus as bag-of-words text, a line per order; orders without lines have no tokens.
 
-    Each count is split over two tokens, so that the reader meets several pairs and repeats in a line.
+    Each count is split over two tokens, so that the reader meets repeated words in a line.
     """
     pairs = corpus.doc_terms(order_lines(spark, sf_dir))
     rest = (F.col("cnt") - 1).cast("string")
-    filled = pairs.select(F.format_string("%d 2 %d:%s %d:1", "doc_id", "word_id", rest, "word_id").alias("line"))
-    empty = order_docs(spark, sf_dir).join(pairs, "doc_id", "left_anti").select(F.format_string("%d 0", "doc_id").alias("line"))
+    token = F.format_string("%d:%s %d:1", "word_id", rest, "word_id")
+    words = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(token)), " ").alias("words"))
+    lines = order_docs(spark, sf_dir).join(words, "doc_id", "left").select(
+        F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce("n", F.lit(0)).cast("string"), "words")
+    )
     path = scratch_path(spark, "bow-text")
-    filled.unionByName(empty).write.text(path)
+    lines.write.text(path)
     return path
 
 
@@ -197,12 +202,13 @@ def third_moment_word_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three matrices, of the lines that the order's number modulo 3 picks."""
     lines = table(spark, sf_dir, "lineitem")
     parts = [
-        lines.where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("row_id")).agg(
+        lines.where(F.pmod("l_orderkey", F.lit(3)) == part).groupBy(F.col("l_partkey").alias("row_id")).agg(
             F.array(F.sum("l_quantity"), F.count(F.lit(1)).cast("double")).alias("vec")
         )
-        for flag in ("A", "N", "R")
+        for part in range(3)
     ]
     total = moments.sum_matrices(*parts)
     return total.select("row_id", F.col("vec")[0].alias("v0"), F.col("vec")[1].alias("v1"))
@@ -213,7 +219,7 @@ def matrix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gaussian_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "part").count()
-    return rounded_columns(linalg.gaussian_matrix(spark, d, 5, seed=1412218259), 8, "o")
+    return rounded_columns(linalg.gaussian_matrix(spark, d, 5, seed=20_010), 8, "o")
 
 
 def part_vectors(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
@@ -247,8 +253,9 @@ def tall_small_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrected pair moment of the text corpus times the 2-column wave matrix."""
     n = text_docs(spark, sf_dir).count()
-    model = text_model(spark, 2)
-    sketch = materialize(moments.pair_moment_sketch(text_tokens(spark, sf_dir), model, rows=TEXT_WORDS), "sketch")
+    tokens, vocabulary = text_corpus(spark, sf_dir)
+    model = text_model(vocabulary, 2)
+    sketch = materialize(moments.pair_moment_sketch(tokens, model, rows=vocabulary.count()), "sketch")
     return materialize(moments.correct_pair_moment(sketch, model, ALPHA0, n), "corrected")
 
 
@@ -260,8 +267,9 @@ def spectral_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = text_docs(spark, sf_dir).count()
-    tokens = corpus.block_tokens(text_tokens(spark, sf_dir)).persist()
-    model, sigma = whiten(tokens, n, TEXT_WORDS, 2, 2, ALPHA0, start=text_model(spark, 2))
+    tokens, vocabulary = text_corpus(spark, sf_dir)
+    tokens = corpus.block_tokens(tokens).sortWithinPartitions("block", "doc_id").persist()
+    model, sigma = whiten(tokens, n, vocabulary.count(), 2, 2, ALPHA0, start=text_model(vocabulary, 2))
     tokens.unpersist()
     out = model.select("*", *[F.lit(float(s)).alias(f"s{j}") for j, s in enumerate(sigma)])
     return rounded_columns(out, 8, "o", "s")
@@ -302,7 +310,7 @@ def slice_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cp_als(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = materialize(sales_tensor(spark, sf_dir), "sales")
-    found = tensor.cp_als(cells, 2, max_iter=2, start=(wave_factor(cells, "j", 2), wave_factor(cells, "l", 2)))
+    found = tensor.cp_als(cells, 2, tol=ALS_TOLERANCE, start=(wave_factor(cells, "j", 2), wave_factor(cells, "l", 2)))
     named = [f.select(F.lit(name).alias("factor"), F.col("idx").cast("int").alias("idx"), "f0", "f1") for name, f in zip("ABC", (found.a, found.b, found.c))]
     weights = [F.lit(float(v)).alias(f"lambda{r}") for r, v in enumerate(found.lambdas)]
     out = named[0].unionByName(named[1]).unionByName(named[2]).select("*", *weights)
@@ -347,7 +355,7 @@ def simplex_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_recovery_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recover.recover_topic(event_values(spark, sf_dir), "event_type", "event_id", "value", iterations=4)
+    found = recover.recover_topic(event_values(spark, sf_dir), "event_type", "event_id", "value", iterations=20)
     return found.select("event_type", "event_id", rounded("value", 10))
 
 
@@ -381,39 +389,35 @@ def running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job from fixed starts: probabilities and the prior of two topics of the text corpus."""
+    """The whole job from fixed starts until convergence: probabilities and the prior of two topics of the text corpus."""
+    return two_topics(spark, sf_dir, "reference")
+
+
+def fit_topics_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with full whitening and corrections in word space."""
+    return two_topics(spark, sf_dir, "whitened")
+
+
+def two_topics(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
     starts = tuple(spark.createDataFrame(rows, "idx int, f0 double, f1 double") for rows in (B_START, C_START))
+    tokens, vocabulary = text_corpus(spark, sf_dir)
     model = fit(
         text_docs(spark, sf_dir),
-        text_tokens(spark, sf_dir),
+        tokens,
         k=2,
         k_prime=2,
         alpha0=ALPHA0,
-        vocab_size=TEXT_WORDS,
-        max_iter=2,
-        start=text_model(spark, 2),
+        vocab_size=vocabulary.count(),
+        tol=FIT_TOLERANCE,
+        start=text_model(vocabulary, 2),
         als_start=starts,
         iterations=None,
+        variant=variant,
     )
     joined = model.beta.join(F.broadcast(model.alpha.withColumnRenamed("value", "alpha")), "topic")
     return joined.select("word_id", "topic", rounded("prob", 8), rounded("alpha", 6))
 
 
-def fit_topics_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job from seeded random starts, run to convergence: the ten top words of three topics."""
-    model = fit(
-        text_docs(spark, sf_dir),
-        text_tokens(spark, sf_dir),
-        k=3,
-        k_prime=8,
-        alpha0=ALPHA0,
-        vocab_size=TEXT_WORDS,
-        variant="whitened",
-        hard_cap=60,
-    )
-    return recover.top_words(model.beta, 10)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -460,7 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_words,
         running_sum,
         fit_topics,
-        fit_topics_seeded,
+        fit_topics_whitened,
     )
 }
 

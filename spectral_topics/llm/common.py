@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +69,18 @@ def run_alone(df: DataFrame) -> None:
     environment.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+_kept: dict = {}
+
+
+def worker_memory(key, make):
+    """What a Python worker keeps from task to task, one thing at a time: another key drops what was kept."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     run_alone(df)
     return df.mapInArrow(function, schema)
@@ -91,9 +105,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    import uuid
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does so once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
+def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 

@@ -3,8 +3,8 @@
 ``write_tokens`` range partitions documents by id; each range tokenizes its documents in order,
 appends the end id to each, and writes two Arrow stream files into a folder that all executors share:
 
-- ``<name>.arrow``: record batches of ``ids: fixed_size_list<uint32>[length]`` and ``mask:
-  fixed_size_list<bool>[length]``. Documents run on from one sequence into the next; the last
+- ``<name>.arrow``: record batches of ``ids: fixed_size_list<uint16>[length]`` (uint32 for
+  vocabularies beyond 65,536 ids) and ``mask: fixed_size_list<bool>[length]``. Documents run on from one sequence into the next; the last
   sequence of a file is padded and its mask is false there.
 - ``<name>.docs.arrow``: ``doc_id`` and ``n_tokens`` of each document, in file order.
 
@@ -22,25 +22,32 @@ Defined results
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, file_bytes, filesystem, id_and_text, new_folder, text_bytes
+from spectral_topics.llm.common import arrow_map, file_bytes, filesystem, id_and_text, new_folder, text_bytes, worker_memory
+from spectral_topics.llm.token_counts import printable_bytes
 
 #: Ids in a sequence, sequences in a record batch.
 LENGTH = 2048
 BATCH = 64
 PAD = 0
-#: Distinct words whose ids a worker remembers.
-MEMO = 400_000
+#: Distinct words, and pre-tokens, whose ids a worker remembers.
+WORDS = 300_000
+PIECES = 250_000
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
@@ -50,7 +57,9 @@ class WordEncoder:
 
     The tokenizer's own rules never join what white space separates, so a text's ids are those of
     its words, one after the other. Only ASCII white space is used to separate: it is white space
-    for every tokenizer of this kind. Words not seen before go to the library.
+    for every tokenizer of this kind. Words of Latin-1 characters are lower-cased and cut into
+    pre-tokens here, all new ones at once, and the library's model merges each new pre-token. Other
+    words, and those that hold a special token, go through the whole library.
     """
 
     def __init__(self, vocabulary: bytes) -> None:
@@ -59,26 +68,68 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[bytes, bytes] = {}
+        spec = json.loads(vocabulary)
+        self.type = id_type(spec)
+        self.code = "H" if self.type == "<u2" else "I"
+        self.merge = self.tokenizer.model.tokenize
+        kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.pattern = None
+        if kinds == ["NFC", "Replace", "Lowercase"]:
+            self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        special = "".join("|" + re.escape(t["content"]) for t in spec["added_tokens"])
+        # Beyond Latin-1, its further white space, the character that marks ends below, or a special token.
+        self.odd = re.compile(r"[^\x01-\x84\x86-\x9f\xa1-\xff]" + special)
+        self.written = {b: c for c, b in printable_bytes().items()}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.split() for t in texts]
-        known = self.known
-        if len(known) > MEMO:
+        """Little-endian ids of each text, of ``self.type``."""
+        split = [t.split() for t in texts]
+        known = self.words
+        new = {w for ws in split for w in ws if w not in known}
+        if len(known) + len(new) > WORDS:
             known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            new = set(chain.from_iterable(split))
+        self._learn(list(new))
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+
+    def _learn(self, new: list[bytes]) -> None:
+        if not new:
+            return
+        text = b"\n".join(new).decode("utf-8", "replace")
+        if self.pattern is None or self.odd.search(text):
+            plain, others = [], []
+            for word, written in zip(new, text.split("\n"), strict=True):
+                (others if self.pattern is None or self.odd.search(written) else plain).append(word)
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
+            self.words.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(others, found, strict=True))
+            if not plain:
+                return
+            new, text = plain, b"\n".join(plain).decode()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        known, words = self.pieces, self.words
+        marked = self.pattern.sub("\\g<0>\0", text.lower()).split("\n")
+        for word, line in zip(new, marked, strict=True):
+            parts = line.split("\0")
+            parts.pop()
+            words[word] = b"".join([known[p] if p in known else self._piece(p) for p in parts])
+
+    def _piece(self, piece: str) -> bytes:
+        written = piece if piece.isascii() and piece.isprintable() else "".join(map(self.written.__getitem__, piece.encode()))
+        self.pieces[piece] = ids = array(self.code, [t.id for t in self.merge(written)]).tobytes()
+        return ids
+
+
+def id_type(spec: dict) -> str:
+    """The smallest unsigned type that holds every id of a vocabulary."""
+    largest = max(chain(spec["model"]["vocab"].values(), (t["id"] for t in spec["added_tokens"])))
+    return "<u2" if largest < 1 << 16 else "<u4"
 
 
 def splits_at_white_space(vocabulary: bytes) -> bool:
     """Whether a tokenizer file is of the kind that ``WordEncoder`` is right for."""
-    import json
-
     spec = json.loads(vocabulary)
     pre = spec.get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
@@ -96,30 +147,26 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.type = id_type(json.loads(vocabulary))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-
-_encoders: dict[int, object] = {}
+        return [np.array(e.ids, self.type).tobytes() for e in found]
 
 
 def encoder(vocabulary: bytes):
     """The worker's encoder for this vocabulary; its memory of words lasts over tasks."""
-    key = zlib.crc32(vocabulary)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = (WordEncoder if splits_at_white_space(vocabulary) else TextEncoder)(vocabulary)
-    return _encoders[key]
+    kind = WordEncoder if splits_at_white_space(vocabulary) else TextEncoder
+    return worker_memory(("ids", zlib.crc32(vocabulary)), lambda: kind(vocabulary))
 
 
 class StreamWriter:
     """Writes one shard's stream of ids, a batch of sequences at a time."""
 
-    def __init__(self, path: str, length: int, batch: int) -> None:
-        self.length, self.batch = length, batch
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    def __init__(self, path: str, length: int, batch: int, kind: str) -> None:
+        self.length, self.batch, self.kind = length, batch, np.dtype(kind)
+        ids = pa.uint16() if self.kind.itemsize == 2 else pa.uint32()
+        self.schema = pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
         fs, place = filesystem(path)
         fs.create_dir(place.rpartition("/")[0], recursive=True)
         self.sink = fs.open_output_stream(place)
@@ -128,13 +175,13 @@ class StreamWriter:
         self.count = 0
 
     def add(self, ids: bytes) -> None:
-        self.held.append(np.frombuffer(ids, "<u4"))
-        self.count += len(ids) // 4
+        self.held.append(np.frombuffer(ids, self.kind))
+        self.count += len(self.held[-1])
         if self.count >= self.length * self.batch:
             self._flush(last=False)
 
     def _flush(self, last: bool) -> None:
-        stream = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        stream = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
         whole = self.length * self.batch
         at = 0
         while len(stream) - at >= whole:
@@ -143,7 +190,7 @@ class StreamWriter:
         stream = stream[at:]
         if last and len(stream):
             real = len(stream)
-            padded = np.full(-(-real // self.length) * self.length, PAD, np.uint32)
+            padded = np.full(-(-real // self.length) * self.length, PAD, self.kind)
             padded[:real] = stream
             self._write(padded, real)
             stream = stream[:0]
@@ -194,7 +241,7 @@ class SequenceFile:
             part = self.ids[b][at : at + n]
             parts.append(part)
             start, n = start + len(part), n - len(part)
-        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
 def _flat(lists: pa.FixedSizeListArray) -> np.ndarray:
@@ -216,7 +263,6 @@ def write_tokens(
     ``vocabulary`` is a tokenizer file's content (a few MB whatever the input).
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -224,7 +270,8 @@ def write_tokens(
         shard = TaskContext.get().partitionId()
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}"
         out, tokens = None, 0
-        encode = encoder(shared.value).encode
+        tokenizer = encoder(shared.value)
+        end = np.array([end_id], tokenizer.type).tobytes()
         index = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
         docs_sink = docs_writer = None
         n_docs = 0
@@ -232,16 +279,16 @@ def write_tokens(
             if not rows.num_rows:
                 continue
             if out is None:
-                out = StreamWriter(f"{name}.arrow", length, batch)
+                out = StreamWriter(f"{name}.arrow", length, batch, tokenizer.type)
                 fs, place = filesystem(f"{name}.docs.arrow")
                 docs_sink = fs.open_output_stream(place)
                 docs_writer = pa.ipc.new_stream(docs_sink, index)
             counts = []
             texts = text_bytes(rows.column("text"))
             for at in range(0, len(texts), 256):
-                for ids in encode(texts[at : at + 256]):
+                for ids in tokenizer.encode(texts[at : at + 256]):
                     out.add(ids + end)
-                    counts.append(len(ids) // 4 + 1)
+                    counts.append(len(ids) // len(end) + 1)
             docs_writer.write_batch(pa.record_batch([rows.column("id"), pa.array(counts, pa.int64())], schema=index))
             tokens += sum(counts)
             n_docs += rows.num_rows
@@ -276,7 +323,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         starts, crcs = [], []
                         for n in part.column("n_tokens").to_pylist():
                             starts.append(first + at)
-                            crcs.append(zlib.crc32(np.ascontiguousarray(sequences.stream(at, n))))
+                            crcs.append(zlib.crc32(sequences.stream(at, n).astype("<u4")))
                             at += n
                         columns = [part.column("doc_id"), pa.array(starts, pa.int64()), part.column("n_tokens"), pa.array(crcs, pa.int64())]
                         yield pa.record_batch(columns, names=["id", "start", "n_tokens", "ids_crc32"])

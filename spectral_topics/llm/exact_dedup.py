@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import id_and_text, join_groups
+from spectral_topics.llm.common import id_and_text, join_groups, quoted
 
 #: Pieces into which the local winners of one digest are dealt before they are combined globally.
 SALTS = 16
@@ -75,12 +75,10 @@ def exact_dedup(
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept; a repeated kept row is returned once."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias("__kept"))
-    first = Window.partitionBy(F.col(id_col)).orderBy(F.lit(1))
-    return (
-        docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-        .withColumn("__copy", F.row_number().over(first))
-        .where("__copy = 1")
-        .drop("__copy")
-    )
+    """The rows of ``docs`` that stay, all columns as they are; a repeated kept row is returned once."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    digest = sha256_text(F.coalesce(quoted(text_col).cast("string"), F.lit("")))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), digest.alias("digest"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    copy = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(1)))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    return rows.join(kept, same, "left_semi").withColumn("copy", copy).where("copy = 1").select("row.*")

@@ -20,9 +20,18 @@ def db():
     return connection
 
 
+@pytest.fixture(scope="module")
+def compiled(spark):
+    """A session that generates code, as users' sessions do."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.codegen.wholeStage", "true")
+    session.conf.set("spark.sql.codegen.factoryMode", "FALLBACK")
+    return session
+
+
 @pytest.mark.parametrize("name", list(spark_entry.queries()))
-def test_query(spark, db, name):
-    found = spark_entry.queries()[name](spark, SF).toPandas()
+def test_query(compiled, db, name):
+    found = spark_entry.queries()[name](compiled, SF).toPandas()
     assert len(found)
     if name in spark_entry.oracle_sql():
         expected = db.execute(spark_entry.oracle_sql()[name]).df()

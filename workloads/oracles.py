@@ -262,9 +262,8 @@ def sales_factors(rank: int = 2) -> dict[str, str]:
 
 
 def vectors(width: int) -> str:
-    columns = [f"{wave('p_partkey', 0)} + {num(0.5)}"]
-    for j in range(1, width):
-        columns.append(f"{wave('p_partkey', j)} + {num(0.5)} * {wave('p_partkey', j - 1)}")
+    size, price = f"p_size / {num(50)}", f"p_retailprice / {num(1000)}"
+    columns = [size, price, f"{wave('p_partkey', 0)} + {size}", f"{wave('p_partkey', 1)} + {price}"][:width]
     return "SELECT p_partkey AS word_id, " + ", ".join(f"{c} AS y{j}" for j, c in enumerate(columns)) + " FROM part"
 
 

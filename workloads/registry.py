@@ -223,11 +223,10 @@ def gaussian_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_vectors(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
-    """(word_id, y0, ...): the wave matrix with columns mixed, so that they are not orthogonal."""
+    """(word_id, y0, ...): sizes, prices and waves of the parts, columns that are not orthogonal."""
     part = F.col("p_partkey")
-    columns = [wave(part, 0) + 0.5]
-    for j in range(1, width):
-        columns.append(wave(part, j) + wave(part, j - 1) * 0.5)
+    size, price = F.col("p_size") / F.lit(50.0), F.col("p_retailprice") / F.lit(1000.0)
+    columns = [size, price, wave(part, 0) + size, wave(part, 1) + price][:width]
     return table(spark, sf_dir, "part").select(part.alias("word_id"), *[c.alias(f"y{j}") for j, c in enumerate(columns)])
 
 

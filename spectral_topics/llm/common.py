@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -37,6 +38,14 @@ def crc_bucket(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(quoted(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+HASHES = 1 << 40
+
+
+def hash_share(column: str, share: Column | float) -> Column:
+    """Whether a row's hash is among the lowest ``share`` of all hashes: about that share of the rows, the same ones each time."""
+    return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(HASHES)) <= F.lit(float(HASHES)) * share
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread_by: str) -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (one row per ``key``, its number of rows in ``size``).
 
@@ -61,8 +70,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread_
     )
 
 
-def run_alone(df: DataFrame) -> None:
-    """One thread per Python worker: Spark already runs a task on each core."""
+#: Rows sent to a Python worker at a time; Spark's own default suits rows of numbers rather than texts.
+BATCH_ROWS = 1000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def run_lean(df: DataFrame) -> None:
+    """One thread for each Python worker, as Spark already runs a task on each core, and small batches.
+
+    The session's batch size is lowered where it has its default, so a size of the user's own stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     environment = df.sparkSession.sparkContext.environment
     for name in ("OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "OMP_NUM_THREADS", "RAYON_NUM_THREADS"):
         environment.setdefault(name, "1")
@@ -81,8 +101,13 @@ def worker_memory(key, make):
     return _kept[key]
 
 
+def forget() -> None:
+    """Drop what this worker keeps for another operator; for functions that keep nothing."""
+    worker_memory(None, lambda: None)
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    run_alone(df)
+    run_lean(df)
     return df.mapInArrow(function, schema)
 
 
@@ -106,9 +131,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are over: it does so once the driver's JVM has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs that are over.
+
+    It does so once the driver's JVM has collected their plans. The first collection ends what
+    Python still refers to; Spark's cleaner works beside us, so it gets a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

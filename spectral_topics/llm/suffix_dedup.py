@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, id_and_text, text_bytes
+from spectral_topics.llm.common import arrow_map, forget, id_and_text, release_shuffles, text_bytes
 from spectral_topics.llm.suffix_sort import (
     Records,
     Shape,
@@ -49,10 +49,11 @@ from spectral_topics.llm.suffix_sort import (
 )
 
 #: Bytes of text whose places are hashed at once, and whose suffixes are compared before they are sent.
-CHUNK = 2 << 20
-GROUP = 8 << 20
-#: Bytes of text for each bucket, and sampled suffixes for each.
-BUCKET = 8 << 20
+CHUNK = 1 << 20
+GROUP = 4 << 20
+#: Bytes of text for each bucket, and sampled suffixes for each. A task takes about 40 times as much
+#: memory as its bucket has text; with larger executors take larger buckets.
+BUCKET = 4 << 20
 SAMPLES = 32
 #: Suffixes of hot grams that a task spells out at once.
 HOT_BLOCK = 4096
@@ -67,6 +68,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def suffixes(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[Records]:
     """Records of about GROUP bytes of text at a time, by document and place."""
+    forget()
     texts, docs, ties, offsets = [], [], [], []
     parts: list[Records] = []
     size = group = 0
@@ -160,13 +162,15 @@ def strings_of(records: Records, shape: Shape) -> Records:
     return Records(rows, records.doc[row], records.tie[row], records.start[row] + step, none, none)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, bucket_bytes: int = BUCKET
+) -> DataFrame:
     """``(doc, tie, start, end)``: stored spans to remove, in bytes; those of one document may overlap."""
     shape = Shape(length, min(28, max(8, length // 2)))
     rows = prepared(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     shared = spark.sparkContext.broadcast(splitters(rows, shape, buckets, total))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +231,11 @@ def _span_batch(arrays: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()) for a in arrays], names=["doc", "tie", "start", "end"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(id, n_bytes, spans, kept)``: for each row its size, the merged removed spans, and the bytes that stay."""
-    spans = repeated_spans(docs, id_col, text_col, length)
+    spans = repeated_spans(docs, id_col, text_col, **options)
+    # The suffixes' shuffle is the largest there is, and over: its files go before the texts' begins.
+    release_shuffles(docs.sparkSession)
     listed = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = prepared(docs, id_col, text_col).join(listed, ["doc", "tie"], "left").select("id", "text", "spans")
 

@@ -211,7 +211,7 @@ def later_in_groups(new: np.ndarray, order: np.ndarray, records_doc, records_tie
 
 
 #: Strings that are spelled out at once.
-BLOCK = 300_000
+BLOCK = 100_000
 
 
 def repeated_strings(records: Records, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,10 +237,11 @@ def repeated_strings(records: Records, shape: Shape) -> tuple[np.ndarray, np.nda
     # A string that another record has too reaches no further behind the anchor than that.
     strings = np.clip(records.left[heads] + longest - shape.length + 1, 0, records.extra[heads].astype(np.int64) + 1)
     heads, group, strings = heads[strings > 0], group[strings > 0], strings[strings > 0]
-    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(heads)) if len(heads) else []
     total = np.concatenate(([0], np.cumsum(strings)))
+    ends = [*(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(heads)] if len(heads) else []
     at = 0
-    for end, after in zip(ends, [*ends[1:], None], strict=True):
+    for k, end in enumerate(ends):
+        after = ends[k + 1] if k + 1 < len(ends) else None
         # Whole groups, as many as make a block.
         if after is None or total[after] - total[at] > BLOCK:
             place = np.argsort(heads[at:end])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectral_topics.llm.common import arrow_map, id_and_text, quoted, text_bytes
+from spectral_topics.llm.common import arrow_map, forget, id_and_text, quoted, text_bytes
 from spectral_topics.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -178,6 +178,7 @@ def mark_contamination(
         shared = docs.sparkSession.sparkContext.broadcast(phrases(chunk, window))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, later=k > 0) -> Iterator[pa.RecordBatch]:
+            forget()
             for rows in shards(batches, place, shard_bytes):
                 spans, items, counts = search_shard(text_bytes(rows.column(place)), shared.value)
                 if later:

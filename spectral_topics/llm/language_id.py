@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.dense import one_blas_thread
-from spectral_topics.llm.common import arrow_map, crc_bucket, id_and_text, quoted, text_bytes
+from spectral_topics.functions.storage import materialize
+from spectral_topics.llm.common import arrow_map, crc_bucket, hash_share, id_and_text, quoted, text_bytes, worker_memory
 
 NGRAMS = (1, 2, 3, 4)
 SLOTS = 1 << 16
@@ -176,9 +177,13 @@ def fit_languages(
         quoted(id_col).cast("long").alias("id"), quoted(lang_col).cast("string").alias("lang"), F.octet_length(quoted(text_col)).alias("size")
     )
     order = [F.xxhash64("id"), F.col("id")]
-    # Only ids are ranked, and every task cuts its own rows to per_language before the shuffle.
+    # Only ids are ranked, and a language's rows are cut by their hash to a few times what is taken, so
+    # that what meets in a task doesn't grow with the input. The stored table has a row for each language.
+    fitting = labelled.where(F.col("size").between(1, FIT_BYTES))
+    counts = materialize(fitting.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    few = fitting.join(counts, "lang").where(hash_share("id", F.lit(3.0 * per_language) / F.col("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    ids = labelled.where(F.col("size").between(1, FIT_BYTES)).withColumn("rank", rank).where(F.col("rank") <= per_language)
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= per_language)
     ids = ids.orderBy("rank", *order).limit(most_rows).select("id", "lang")
     rows = (
         id_and_text(docs, id_col, text_col)
@@ -193,21 +198,17 @@ def fit_languages(
     return fit(texts, rows.column("lang").to_pylist())
 
 
-_presences: list[Presences] = []
-
-
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score)`` of every row. The model's size is that of its table, whatever the input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _presences:
-            _presences.append(Presences())
+        presences = worker_memory("presences", Presences)
         for rows in batches:
             for at in range(0, rows.num_rows, 1024):
                 part = rows.slice(at, 1024)
                 texts = [t.decode("utf-8", "replace") for t in text_bytes(part.column("text"))]
-                found, scores = predict(shared.value, texts, _presences[0])
+                found, scores = predict(shared.value, texts, presences)
                 yield pa.record_batch([part.column("id"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     return arrow_map(id_and_text(docs, id_col, text_col), find, "id long, lang_pred string, score double")

@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, id_and_text, join_groups, quoted, text_bytes
+from spectral_topics.llm.common import arrow_map, forget, id_and_text, join_groups, quoted, text_bytes
 from spectral_topics.llm.components import connected_components
 
 SEED = 42
@@ -87,6 +87,7 @@ def fingerprints(rows: DataFrame, width: int, prints: int = 1, seed: int = SEED)
     names = [f"fp{k}" for k in range(prints)]
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = np.array([fingerprint(t, width, seed, prints) for t in text_bytes(batch.column("text"))], np.uint64)
             columns = [pa.array(np.ascontiguousarray(c)) for c in found.reshape(-1, prints).view(np.int64).T]

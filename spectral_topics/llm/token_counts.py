@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spectral_topics.llm.common import arrow_map, file_bytes, id_and_text, text_bytes
+from spectral_topics.llm.common import arrow_map, file_bytes, id_and_text, text_bytes, worker_memory
 
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies (public; also given with the vocabulary files).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -128,9 +128,6 @@ class TokenCounter:
         return n
 
 
-_counters: dict[int, TokenCounter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_tokens)`` for each row of ``docs``, in one pass without a shuffle.
 
@@ -140,11 +137,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, whole_tokens(vocabulary)))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = zlib.crc32(shared.value[0])
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = TokenCounter(*shared.value)
-        count = _counters[key].count
+        vocabulary, whole = shared.value
+        count = worker_memory(("counts", zlib.crc32(vocabulary)), lambda: TokenCounter(vocabulary, whole)).count
         for rows in batches:
             texts = text_bytes(rows.column("text"))
             tokens = [count(t.decode("utf-8", "replace")) for t in texts]

@@ -32,7 +32,8 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -42,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectral_topics.llm.common import arrow_map, crc_bucket, id_and_text, quoted, text_bytes
+from spectral_topics.llm.common import arrow_map, crc_bucket, hash_share, id_and_text, quoted, text_bytes, worker_memory
 
 #: At most this many labelled documents of each label are fitted, each of at most so many bytes.
-PER_CLASS = 2000
+PER_CLASS = 1500
 FIT_BYTES = 16_384
 #: Sentences fitted: all with a toxic token, and so many for each of them without.
 CLEAN_SENTENCES = 6
@@ -62,7 +63,7 @@ COMMON = 0.02
 LEAST_COMMON = 4
 #: Words in a chain at most: sentences are fitted, and documents scored, in pieces of this length.
 PIECE = 60
-MEMO = 400_000
+MEMO = 120_000
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -132,13 +133,13 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model = model
-        self.own = model.own.tolist()
+        self.own = array("f", model.own)
         self._forget()
 
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.parts: dict[bytes, tuple[int, ...]] = {}
-        self.adds: list[tuple[float, float, float]] = []
+        self.adds = array("f")
 
     def _part(self, part: bytes) -> tuple[int, ...]:
         found = []
@@ -147,7 +148,7 @@ class Scorer:
             if row is None:
                 slots = word_features(word)
                 m, own = self.model, self.own
-                self.adds.append((sum([own[s] for s in slots]), float(m.before[slots[0]]), float(m.after[slots[0]])))
+                self.adds.extend((sum([own[s] for s in slots]), m.before[slots[0]], m.after[slots[0]]))
                 row = self.rows[word] = len(self.rows)
             found.append(row)
         self.parts[part] = tuple(found)
@@ -162,18 +163,12 @@ class Scorer:
         for text in texts:
             found = [known[p] if p in known else part(p) for p in text.split()]
             words.append(np.fromiter(chain.from_iterable(found), np.int64))
-        return chain_marginals(self.model, words, np.array(self.adds or [(0.0, 0.0, 0.0)]))
-
-
-_scorers: dict[str, Scorer] = {}
+        return chain_marginals(self.model, words, np.array(self.adds, np.float64).reshape(-1, 3))
 
 
 def scorer_of(model: ToxicityModel) -> Scorer:
     """The worker's scorer for this model; what it remembers lasts over tasks."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+    return worker_memory(("toxicity", model.name), lambda: Scorer(model))
 
 
 def chain_marginals(model: ToxicityModel, words: list[np.ndarray], adds: np.ndarray) -> list[np.ndarray]:
@@ -218,36 +213,36 @@ def spans_of(text: bytes, marginals: np.ndarray) -> list[dict]:
 # --- fitting ---
 
 
-def toxic_beginnings(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Word beginnings that explain the toxic documents, given the words of each document."""
+def toxic_beginnings(toxic: list[str], clean: list[str]) -> set[str]:
+    """Word beginnings (or whole words, marked $) that explain toxic documents. Lower-cased texts are given."""
 
-    def keys(words: set[str]) -> set[str]:
+    def keys(text: str) -> set[str]:
+        words = set(WORD.findall(text))
         return {w[:n] for w in words for n in BEGINNINGS if len(w) >= n} | {w + "$" for w in words}
 
-    where = defaultdict(list)
-    for i, words in enumerate(toxic):
-        for k in keys(words):
-            where[k].append(i)
-    where = {k: set(v) for k, v in where.items() if len(v) >= LEAST_GAIN}
-    seen = defaultdict(int)
-    for words in clean:
-        for k in keys(words) & where.keys():
-            seen[k] += 1
+    counts = Counter()
+    for text in toxic:
+        counts.update(keys(text))
+    often = {k: n for k, n in counts.items() if n >= LEAST_GAIN}
+    del counts
+    seen = Counter()
+    for text in clean:
+        seen.update(keys(text) & often.keys())
     rare = CLEAN_PART * len(clean) / max(1, len(toxic))
-    open_keys = {k: v for k, v in where.items() if seen[k] <= rare * len(v)}
+    where: dict[str, set[int]] = {k: set() for k, n in often.items() if seen[k] <= rare * n}
+    for i, text in enumerate(toxic):
+        for k in keys(text) & where.keys():
+            where[k].add(i)
     least = max(LEAST_GAIN, len(toxic) // 200)
     common = max(LEAST_COMMON, COMMON * len(toxic))
-    picked = {k for k, v in open_keys.items() if len(v) >= common}
-    while open_keys:
-        best = max(open_keys, key=lambda k: (len(open_keys[k]), len(k), k))
-        covered = open_keys.pop(best)
+    picked = {k for k, v in where.items() if len(v) >= common}
+    while where:
+        best = max(where, key=lambda k: (len(where[k]), len(k), k))
+        covered = where.pop(best)
         if len(covered) < least:
             break
         picked.add(best)
-        for k in list(open_keys):
-            open_keys[k] = open_keys[k] - covered
-            if len(open_keys[k]) < least:
-                del open_keys[k]
+        where = {k: left for k, v in where.items() if len(left := v - covered) >= least}
     return picked
 
 
@@ -276,22 +271,30 @@ def fit(texts: list[bytes], labels: list[int], counts: dict[int, int]) -> Toxici
     unique = dict(zip(texts, labels, strict=True))
     unique = {t: unique[t] for t in without_near_copies(list(unique))}
     docs = [(t.decode("utf-8", "replace").lower(), y) for t, y in unique.items()]
-    words = [set(WORD.findall(t)) for t, _ in docs]
-    picked = toxic_beginnings([w for w, (_, y) in zip(words, docs, strict=True) if y], [w for w, (_, y) in zip(words, docs, strict=True) if not y])
+    picked = toxic_beginnings([t for t, y in docs if y], [t for t, y in docs if not y])
     if not picked or len({y for _, y in docs}) < 2:
         return model
+    rows: dict[str, int] = {}
+    marks: list[bool] = []
     with_toxic, without = [], []
     for text, y in docs:
         for sentence in SENTENCE.split(text):
-            words_of = WORD.findall(sentence)
-            for at in range(0, len(words_of), PIECE):
-                tokens = words_of[at : at + PIECE]
-                tags = [int(y and is_toxic_word(w, picked)) for w in tokens]
-                (with_toxic if any(tags) else without).append((tokens, tags))
+            found = WORD.findall(sentence)
+            for word in found:
+                if word not in rows:
+                    rows[word] = len(rows)
+                    marks.append(is_toxic_word(word, picked))
+            ids = np.array([rows[w] for w in found], np.int32)
+            tags = np.array([y and marks[i] for i in ids], bool)
+            for at in range(0, len(ids), PIECE):
+                part = ids[at : at + PIECE], tags[at : at + PIECE]
+                (with_toxic if part[1].any() else without).append(part)
+    del docs
     generator = np.random.default_rng(1)
     with_toxic = [with_toxic[i] for i in generator.permutation(len(with_toxic))[: MAX_SENTENCES // 2]]
     taken = generator.permutation(len(without))[: min(CLEAN_SENTENCES * len(with_toxic), MAX_SENTENCES - len(with_toxic))]
-    _fit_chain(model, with_toxic + [without[i] for i in taken])
+    _fit_chain(model, list(rows), with_toxic + [without[i] for i in taken])
+    del rows, with_toxic, without
     model.fitted = True
     scorer = Scorer(model)
     found = np.array([summary(m) for m in scorer.marginals(list(unique))])
@@ -301,19 +304,18 @@ def fit(texts: list[bytes], labels: list[int], counts: dict[int, int]) -> Toxici
     return model
 
 
-def _fit_chain(model: ToxicityModel, sentences: list[tuple[list[str], list[int]]]) -> None:
-    """Gradient steps (Adam) on the regularised likelihood of tagged sentences."""
+def _fit_chain(model: ToxicityModel, words: list[str], sentences: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Gradient steps (Adam) on the regularised likelihood of sentences, given as word numbers and tags."""
     sentences = sorted(sentences, key=lambda s: -len(s[0]))
     lengths = np.array([len(s[0]) for s in sentences])
     shape = (len(sentences), int(lengths.max()))
     inside = np.arange(shape[1]) < lengths[:, None]
-    rows: dict[str, int] = {}
-    ids = np.array([rows.setdefault(w, len(rows)) for s in sentences for w in s[0]])
+    used, ids = np.unique(np.concatenate([s[0] for s in sentences]), return_inverse=True)
     tags = np.zeros(shape)
-    tags[inside] = np.array([t for s in sentences for t in s[1]])
-    slots = [word_features(w) for w in rows]
+    tags[inside] = np.concatenate([s[1] for s in sentences])
+    slots = [np.array(word_features(words[i]), np.int32) for i in used]
     owner = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    flat = np.array(list(chain.from_iterable(slots)))
+    flat = np.concatenate(slots)
     first = np.array([s[0] for s in slots])
     cell = np.full(shape, -1)
     cell[inside] = ids
@@ -397,8 +399,10 @@ def fit_toxicity(
     texts, tags = [], []
     for y in sorted(counts):
         order = [F.xxhash64("id"), F.col("id")]
-        # Some labelled ids may have no document, or one too long: twice as many ids as needed.
-        ids = known.where(F.col("y") == y).orderBy(*order).limit(2 * per_class).select("id")
+        # Some labelled ids may have no document, or one too long: twice as many ids as needed. They are
+        # cut to a few times that by their hash first, so that the tasks together don't send more with more input.
+        few = hash_share("id", 4 * per_class / counts[y])
+        ids = known.where((F.col("y") == y) & few).orderBy(*order).limit(2 * per_class).select("id")
         rows = (
             id_and_text(docs, id_col, text_col)
             .where(F.octet_length("text") <= max_bytes)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, filesystem, join_groups, new_folder, quoted
+from spectral_topics.llm.common import arrow_map, filesystem, forget, join_groups, new_folder, quoted
 
 FRAME = 1 << 18
 LEVEL = 3
@@ -190,6 +190,7 @@ def write_warc(
     """Write a record for each page into bundles; the stored manifest ``(path, n_records)``."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         path, out, n = f"{folder}/{uuid.uuid4().hex}.warc.zst", None, 0
         for rows in batches:
             payloads = rows.column("payload")

@@ -9,14 +9,20 @@ around it, whatever the input, because equal fingerprints are merged first.
 
 Copies of a text share a fingerprint: a group of a third of all rows is one row here.
 
-``near_unique`` keeps one document of each group of similar ones. Texts whose word shingles have a
-similarity (Jaccard) of 0.8 differ in about 15 of 100 bits, too many for a ball around 64 of them.
-So it takes several fingerprints (more bits from the same shingle hashes), cuts them into blocks,
-lets blocks meet within 2 bits of each other as above, and keeps the links whose fingerprints, over
-all bits, differ as little as those of texts of that similarity do.
+``near_unique`` keeps one document of each group of similar ones: texts are linked if the sets of their
+word shingles have a Jaccard similarity of at least 0.8, and linked texts form groups. Fingerprints
+tell such texts apart too coarsely, so this is an exact join of the sets by their rare shingles:
+
+1. Texts of one set are one node. A set of n shingles shares at least 0.8 n of them with a similar one,
+   so nodes with fewer shingles that occur in another node go. Shingles are counted in buckets of hashes.
+2. The shingles of the nodes left are ordered by how many of these nodes have them. Similar sets share one
+   of their first n - ceil(0.8 n) + 1 shingles: nodes that do are candidates, and every candidate
+   link is verified with the whole sets.
+3. Candidates of large groups are compared with the most shared node of a shingle first, in rounds. Then all pairs
+   of nodes with a common shingle that aren't connected yet are compared, so no link between groups is missed.
 
 Defined results
-- A null text is empty. A text without words has fingerprint 0 and is linked like any other.
+- A null text is empty. A text without words has fingerprint 0 and no shingles and is linked like any other.
 - ``component_id`` is the smallest id reachable; null ids count only where a component has no other.
 - Repeated rows give repeated rows. An empty table gives an empty result. Other columns are not read.
 """
@@ -35,7 +41,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, forget, id_and_text, join_groups, quoted, text_bytes
+from spectral_topics.llm.common import arrow_map, forget, id_and_text, join_groups, quoted, slices, text_bytes
 from spectral_topics.llm.components import connected_components
 
 SEED = 42
@@ -44,23 +50,29 @@ BITS = 64
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, width: int, seed: int = SEED, prints: int = 1) -> np.ndarray:
-    """SimHash fingerprints of a text's word shingles as unsigned numbers. A-Z are lower-cased.
-
-    The first is made from the shingles' XXH64, each further one from these hashes mixed anew.
-    """
+def shingles(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each of a text's word shingles (one for a text of fewer words, none without). A-Z are lower-cased."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return np.zeros(prints, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     spans = zip(starts[:n].tolist(), last.tolist(), strict=True)
-    hashes = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in spans), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in spans), np.uint64, n)
+
+
+def fingerprint(text: bytes, width: int, seed: int = SEED, prints: int = 1) -> np.ndarray:
+    """SimHash fingerprints of a text's word shingles as unsigned numbers.
+
+    The first is made from the shingles' XXH64, each further one from these hashes mixed anew.
+    """
+    hashes = shingles(text, width, seed)
+    n = len(hashes)
     found = np.zeros(prints, np.uint64)
     for k in range(prints):
         counts = np.zeros(BITS, np.int64)
@@ -135,10 +147,12 @@ def simhash_components(
     return join_groups(prints, groups, "fp", "n", "id").select("id", "fp", "component_id")
 
 
-#: Fingerprints of 64 bits for ``near_unique``, and the bits of the blocks that meet.
-PRINTS = 3
-BLOCK = 32
 LAST_ID = (1 << 63) - 1
+#: Shingles counted in one bucket, and bytes of texts whose shingles are sorted at once.
+BUCKET_SHINGLES = 2_000_000
+SLICE_BYTES = 1 << 23
+#: A round of comparing with leaders that links less than this share of the nodes is the last one.
+LAST_ROUND = 0.01
 
 
 def bits_apart(similarity: float, bits: int) -> int:
@@ -146,59 +160,214 @@ def bits_apart(similarity: float, bits: int) -> int:
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def block_links(distinct: DataFrame, prints: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: links between nodes of ``distinct(node, fp0, ...)`` that meet in a block and are similar.
+def least_overlap(size: Column, similarity: float) -> Column:
+    """Shingles that a set of this size has in common with any set as similar as this."""
+    return F.ceil(size * F.lit(similarity) - F.lit(1e-9))
+
+
+def shingle_set(text: bytes, width: int) -> tuple[int, np.ndarray]:
+    """A name for the set (XXH64 of its sorted hashes, as a signed number), and the hashes."""
+    from xxhash import xxh64_intdigest
+
+    found = np.unique(shingles(text, width))
+    return int(np.uint64(xxh64_intdigest(found.astype("<u8").tobytes(), SEED)).astype(np.int64)), found
 
-    A block's variants are shared by chance by about 33 in 2^32 of all other fingerprints; for more
-    than some 10^8 distinct texts take wider blocks. All at a variant are linked to its first node.
+
+def set_nodes(texts: DataFrame, width: int) -> DataFrame:
+    """``(doc, tie, node, size)`` of the rows of ``texts(doc, tie, text)``: the name and size of the shingle set."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            found = [(node, len(h)) for node, h in (shingle_set(t, width) for t in text_bytes(batch.column("text")))]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), *columns], names=["doc", "tie", "node", "size"])
+
+    schema = StructType([texts.schema["doc"], texts.schema["tie"], StructField("node", LongType()), StructField("size", LongType())])
+    return arrow_map(texts, named, schema)
+
+
+def shared_shingles(texts: DataFrame, width: int, buckets: int) -> DataFrame:
+    """``(node, shared)``: how many of its shingles another node has as well; never too few.
+
+    A shingle that several nodes of a batch have is counted for them there, and its bucket gets it once, so a shingle
+    of most texts doesn't fill its bucket. A node whose copies lie in several batches may then count it repeatedly.
     """
-    pieces = [
-        F.shiftrightunsigned(F.shiftleft(F.col(f"fp{k}"), BITS - block - at), BITS - block)
-        for k in range(prints)
-        for at in range(0, BITS, block)
-    ]
-    # The block's number stands above its bits, and masks leave it as it is.
-    numbered = F.array(*[p.bitwiseOR(F.lit(i << block)) for i, p in enumerate(pieces)])
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(1, block)])
-    variants = (
-        distinct.select("node", F.explode(numbered).alias("block"))
-        .select("node", "block", F.explode(masks).alias("mask"))
-        .select("node", F.col("block").bitwiseXOR(F.col("mask")).alias("variant"))
-    )
-    least = F.min("node").over(Window.partitionBy("variant"))
-    met = materialize(
-        variants.withColumn("least", least).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(),
-        "met",
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                sets = dict(shingle_set(t, width) for t in text_bytes(batch.column("text")))
+                nodes = np.fromiter(sets, np.int64, len(sets))
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
+                owner = np.repeat(np.arange(len(nodes)), [len(h) for h in sets.values()])
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                first = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+                times = np.diff(np.append(np.flatnonzero(first), len(flat)))
+                common = np.repeat(times > 1, times)
+                credit = np.bincount(owner[common], minlength=len(nodes))
+                some = np.flatnonzero(credit)
+                rows = []
+                if len(some):
+                    rows.append((int(nodes[some[0]]) % buckets, nodes[some], credit[some], None, None))
+                bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                low = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                order = np.lexsort((owner, bucket))
+                order = order[(~common | first)[order]]
+                bucket, low, owner, common = bucket[order], low[order], owner[order], common[order]
+                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
+                for start, end in zip(cuts[:-1], cuts[1:]):
+                    alone = ~common[start:end]
+                    own, counts = np.unique(owner[start:end][alone], return_counts=True)
+                    rows.append((int(bucket[start]), nodes[own], counts, low[start:end][alone], low[start:end][~alone]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[0] for r in rows], pa.int32()),
+                        pa.array([r[1].astype("<i8").tobytes() for r in rows], pa.binary()),
+                        pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary()),
+                        pa.array([None if r[3] is None else r[3].astype("<u4").tobytes() for r in rows], pa.binary()),
+                        pa.array([None if r[4] is None else r[4].astype("<u4").tobytes() for r in rows], pa.binary()),
+                    ],
+                    names=["bucket", "nodes", "counts", "alone", "common"],
+                )
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held: dict[int, list[tuple]] = {}
+        found = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                nodes, counts = np.frombuffer(r["nodes"], "<i8"), np.frombuffer(r["counts"], "<u4")
+                if r["alone"] is None:
+                    found.append((nodes, counts.astype(np.int64)))
+                else:
+                    held.setdefault(r["bucket"], []).append(
+                        (nodes, counts, np.frombuffer(r["alone"], "<u4"), np.frombuffer(r["common"], "<u4"))
+                    )
+        for bucket in sorted(held):
+            parts = held.pop(bucket)
+            node = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+            low = np.concatenate([p[2] for p in parts])
+            sure = np.unique(np.concatenate([p[3] for p in parts]))
+            order = np.lexsort((node, low))
+            node, low = node[order], low[order]
+            first = np.append(True, (low[1:] != low[:-1]) | (node[1:] != node[:-1]))[: len(low)]
+            node, low = node[first], low[first]
+            starts = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)])
+            times = np.diff(np.append(starts, len(low)))
+            shared = np.repeat((times > 1) | np.isin(low[starts], sure), times)
+            found.append((node[shared], np.ones(int(shared.sum()), np.int64)))
+        if found:
+            nodes, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([f[1] for f in found]), len(nodes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sums)], names=["node", "shared"])
+
+    blobs = arrow_map(texts.select("text"), dealt, "bucket int, nodes binary, counts binary, alone binary, common binary")
+    sums = arrow_map(blobs.repartitionById(buckets, F.col("bucket")), counted, "node long, shared long")
+    return sums.groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(node, size, hashes)`` of ``texts(node, text)``."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                sets = [shingle_set(t, width)[1].view(np.int64) for t in text_bytes(batch.column("text"))]
+                sizes = np.array([len(h) for h in sets], np.int64)
+                hashes = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+                )
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), hashes], names=["node", "size", "hashes"])
+
+    return arrow_map(texts, listed, "node long, size long, hashes array<long>")
+
+
+def first_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(shingle, node, size, rank)``: the rarest shingles of each set, one of which every similar set has among its own.
+
+    Shingles that no other set has come first and have no partner, so they only count. The lower
+    its rank, the larger the part of a set that others have as well.
+    """
+    each = sets.select("node", "size", F.explode("hashes").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("found"))
+    length = F.size("found") - least_overlap(F.col("size"), similarity) + 1
+    taken = shared.where(length > 0).select(
+        "node", "size", (-F.size("found") / F.col("size")).alias("rank"), F.slice("found", F.lit(1), length.cast("int")).alias("found")
     )
-    names = [f"fp{k}" for k in range(prints)]
-    a = distinct.select(F.col("node").alias("a"), *[F.col(n).alias("a" + n) for n in names])
-    b = distinct.select(F.col("node").alias("b"), *[F.col(n).alias("b" + n) for n in names])
-    apart = sum((F.bit_count(F.col("a" + n).bitwiseXOR(F.col("b" + n))) for n in names), F.lit(0))
-    return met.join(a, "a").join(b, "b").where(apart <= bits_apart(similarity, prints * BITS)).select("a", "b")
+    return taken.select("node", "size", "rank", F.explode("found.shingle").alias("shingle"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose sets have at least this Jaccard similarity."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
+    total = F.size("a_hashes") + F.size("b_hashes")
+    overlap = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    near = overlap * (1 + similarity) >= total * F.lit(similarity) - F.lit(1e-9)
+    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+
+
+def set_components(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` of the nodes of ``sets(node, size, hashes)`` that are linked to others."""
+    postings = materialize(first_shingles(sets, similarity), "first-shingles")
+    n = postings.agg(F.count_distinct("node")).first()[0]
+    links = None
+
+    def placed() -> DataFrame:
+        if links is None:
+            return postings.withColumn("root", F.col("node"))
+        return postings.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def near(x: str, y: str) -> Column:
+        return F.least(F.col(x), F.col(y)) >= F.greatest(F.col(x), F.col(y)) * similarity - 1e-9
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        found = materialize(similar(pairs, sets, similarity), "links")
+        return found if links is None else links.unionByName(found)
+
+    before = 0
+    while True:
+        now = materialize(placed(), "placed")
+        leaders = now.groupBy("shingle").agg(F.min(F.struct("rank", "node", "size", "root")).alias("leader"))
+        met = now.join(leaders, "shingle").where(F.col("root") != F.col("leader.root")).where(near("size", "leader.size"))
+        # One leader a round, so that a node of a large group isn't compared with one for each of its shingles.
+        links = linked(met.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("l")).select("a", F.col("l.node").alias("b")))
+        after = links.count()
+        if after - before <= n * LAST_ROUND:
+            break
+        before = after
+    now = materialize(placed(), "placed")
+    a, b = (now.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "root")]) for x in "ab")
+    met = a.join(b, "shingle").where("a_node < b_node and a_root <> b_root").where(near("a_size", "b_size"))
+    links = linked(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    return connected_components(links)
 
 
 def near_unique(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    similarity: float = 0.8,
-    prints: int = PRINTS,
-    block: int = BLOCK,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """One row of each group of similar texts: that of the smallest id (null ids last), all columns as they are."""
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     key = [F.coalesce(quoted(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("tie")]
-    names = [f"fp{k}" for k in range(prints)]
-    found = materialize(fingerprints(docs.select(*key, text.alias("text")), width, prints), "fingerprints")
+    texts = docs.select(*key, text.alias("text"))
+    named = materialize(set_nodes(texts, width), "shingle-sets")
     distinct = materialize(
-        found.groupBy(*names).agg(F.min(F.struct("doc", "tie")).alias("first")).withColumn("node", F.monotonically_increasing_id()),
-        "distinct-fingerprints",
+        named.groupBy("node").agg(F.first("size").alias("size"), F.min(F.struct("doc", "tie")).alias("first")), "distinct-sets"
     )
-    roots = connected_components(block_links(distinct, prints, similarity, block))
+    buckets = 1 + (named.agg(F.sum("size")).first()[0] or 0) // BUCKET_SHINGLES
+    shared = shared_shingles(texts, width, buckets)
+    enough = distinct.join(shared, "node").where(F.col("shared") >= least_overlap(F.col("size"), similarity))
+    left = materialize(enough.select("node", "first.doc", "first.tie"), "nodes-left")
+    # A repeated row has its twin's key, and the same set.
+    sets = materialize(shingle_sets(texts.join(left, ["doc", "tie"]).select("node", "text"), width).dropDuplicates(["node"]), "sets-left")
+    roots = set_components(sets, similarity)
     nodes = distinct.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = materialize(nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept-documents")
-    # A repeated row has its twin's key: one of them stays.
+    # One of the rows of a key stays.
     copy = F.row_number().over(Window.partitionBy("doc", "tie").orderBy(F.lit(1)))
     rows = docs.select(*key, F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
     return rows.join(kept, ["doc", "tie"], "left_semi").withColumn("copy", copy).where("copy = 1").select("row.*")

@@ -442,6 +442,17 @@ def test_near_unique_of_templated_texts(spark):
     assert kept_ids(spark, texts) == expected
 
 
+def test_near_unique_of_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    base = " ".join(f"w{rng.integers(1 << 40)}" for _ in range(200))
+    # Copies near the base, not near each other; chains; texts that are nearly all template.
+    texts = [changed(rng, base, 3) for _ in range(80)] + [base]
+    for _ in range(5):
+        texts.append(changed(rng, texts[-1], 3))
+    texts += [changed(rng, base, k) for k in (5, 6, 7) for _ in range(30)]
+    assert kept_ids(spark, texts) == kept_by_hand(texts)
+
+
 # repeated substrings
 
 

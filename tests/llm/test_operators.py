@@ -442,6 +442,16 @@ def test_near_unique_of_templated_texts(spark):
     assert kept_ids(spark, texts) == expected
 
 
+def test_near_unique_finds_all_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    bases = [" ".join(f"w{rng.integers(1 << 40)}" for _ in range(300)) for _ in range(60)]
+    # Similarities from about 0.65 to 0.95, on both sides of 0.8.
+    texts = bases + [changed(rng, b, k) for k in (2, 4, 6, 7, 8, 10, 12) for b in bases[:40]]
+    expected = kept_by_hand(texts)
+    assert 60 < len(expected) < len(texts) - 60
+    assert kept_ids(spark, texts) == expected
+
+
 def test_near_unique_of_a_large_group(spark):
     rng = np.random.default_rng(5)
     base = " ".join(f"w{rng.integers(1 << 40)}" for _ in range(200))

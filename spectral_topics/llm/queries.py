@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectral_topics.llm import decontaminate, exact_dedup, language_id, mixing, simhash, suffix_dedup, token_counts, token_output, toxicity, warc
-from spectral_topics.llm.common import crc_bucket, table
+from spectral_topics.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    mixing,
+    periodic_runs,
+    sentence_pieces,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    token_output,
+    toxicity,
+    warc,
+)
+from spectral_topics.llm.common import crc_bucket, id_and_text, table
 
 END_ID = 2
 
@@ -99,6 +112,48 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_on_purpose(docs: DataFrame) -> DataFrame:
+    """``(id, text)`` of documents; in a tenth of them by hash, the words from some place on repeat with some period."""
+    h = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
+    word = F.lit("[^\\x20\\x09-\\x0D]+")
+    chosen = id_and_text(docs, "doc_id", "text").withColumn("h", h)
+    chosen = chosen.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", word, F.lit(0))))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    a = g % n
+    placed = chosen.withColumn("a", F.when(n > 0, a).cast("int"))
+    placed = placed.withColumn("p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    moved = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return placed.select("id", F.when(n > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeated_on_purpose(table(spark, sf_dir, "documents")), "id")
+    order = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    longest = F.array_max(order)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("longest", longest).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    found = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -110,6 +165,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 ORACLES: dict[str, str] = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectral_topics.llm import (
+    conversation_repair,
     decontaminate,
     exact_dedup,
     language_id,
@@ -143,6 +144,41 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text)`` with faults put in by hash; a null counts as one space."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    kind = F.crc32(key.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c).cast("string"), space) for c in ("role", "text"))
+    changed = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    return (
+        conversations.where(kind != 0)
+        .select(
+            "conv_id",
+            "turn",
+            F.when(kind == 4, "user").otherwise(role).alias("role"),
+            changed.alias("text"),
+            F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy"),
+        )
+        .drop("copy")
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    counts, pieces = conversation_repair.repair_conversations(damaged(conversations))
+    digests = conversation_repair.conversation_digests(pieces).withColumnRenamed("conv", "its_conv")
+    found = counts.join(digests, F.col("conv").eqNullSafe(F.col("its_conv")))
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = conversations.select("conv_id").distinct()
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id",
+        *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer("piece_bpe_32k.model")
     found = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model)
@@ -166,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 

@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ from spectral_topics.llm.common import arrow_map, file_bytes, id_and_text, slice
 
 MARKER = "▁"
 CHUNKS = re.compile(" *[^ ]+| +")
-#: Remembered chunks in each of two generations, and the longest chunk that is remembered.
-REMEMBERED = 200_000
+#: Chunks remembered from slice to slice besides those of the slice itself, and the longest that is remembered.
+REMEMBERED = 300_000
 LONGEST = 64
 #: Bytes of text whose chunks make one table.
 SLICE_BYTES = 1 << 20
@@ -54,26 +56,6 @@ def chunks_are_independent(model: bytes) -> bool:
     return plain and merges and not own and not crossing
 
 
-class Recent:
-    """Remembers values by key in two generations: the older one goes when the newer one is full."""
-
-    def __init__(self, limit: int) -> None:
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def get(self, key):
-        value = self.new.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.limit:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
-
-
 class Chunker:
     def __init__(self, model: bytes) -> None:
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
@@ -81,9 +63,10 @@ class Chunker:
         self.library = SentencePieceProcessor(model_proto=model)
         self.independent = chunks_are_independent(model)
         self.prefix = sentencepiece_model_pb2.ModelProto.FromString(model).normalizer_spec.add_dummy_prefix
-        self.known = Recent(REMEMBERED)
         # The library adds no marker to an empty text, so a lone marker is read off behind a letter.
-        self.known_marker = packed(self.segment(["a "])[0][len(self.segment(["a"])[0]) :])
+        alone = self.segment(["a "])[0][len(self.segment(["a"])[0]) :]
+        self.marker = {"" if self.prefix else " ": packed(alone)}
+        self.known = dict(self.marker)
 
     def segment(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, add_bos=False, add_eos=False, enable_sampling=False, num_threads=1)
@@ -100,30 +83,23 @@ class Chunker:
         return [c[1:] for c in CHUNKS.findall(" " + text)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit numbers."""
+        """Ids of each text as 32-bit numbers of the machine."""
         if not self.independent:
             return [packed(ids) for ids in self.segment(texts)]
         parts = [self.chunks(t) for t in texts]
-        table = dict.fromkeys(c for p in parts for c in p)
-        new = []
-        for chunk in table:
-            ids = self.known.get(chunk)
-            if ids is None:
-                new.append(chunk)
-            table[chunk] = ids
-        for chunk, ids in zip(new, self.segment(new), strict=True):
-            table[chunk] = packed(ids)
-            if len(chunk) <= LONGEST:
-                self.known.put(chunk, table[chunk])
-        if self.prefix and "" in table:
-            table[""] = self.known_marker
-        elif not self.prefix and " " in table:
-            table[" "] = self.known_marker
-        return [b"".join(map(table.__getitem__, p)) for p in parts]
+        distinct = set(chain.from_iterable(parts))
+        new = list(distinct.difference(self.known))
+        self.known.update(zip(new, map(packed, self.segment(new)), strict=True))
+        found = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if len(self.known) > REMEMBERED or any(len(c) > LONGEST for c in new):
+            # Chunks of the slice stay, so a full memory doesn't forget what is in use.
+            kept = self.known if len(self.known) <= REMEMBERED else distinct
+            self.known = self.marker | {c: self.known[c] for c in kept if len(c) <= LONGEST}
+        return found
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
+    return array("i", ids).tobytes()
 
 
 def chunker(model: bytes) -> Chunker:
@@ -143,7 +119,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for rows in slices(whole, "text", SLICE_BYTES):
                 found = encode([t.decode("utf-8", "replace") for t in text_bytes(rows.column("text"))])
                 ends = np.cumsum([0, *(len(f) // 4 for f in found)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 yield pa.RecordBatch.from_arrays([rows.column("id"), ids], names=["id", "ids"])
 
     return arrow_map(id_and_text(docs, id_col, text_col), encoded, "id long, ids array<int>")
@@ -158,7 +134,9 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = chunker(shared.value).library
         for rows in batches:
-            texts = [library.decode(ids) if ids else "" for ids in rows.column(ids_col).to_pylist()]
+            column = rows.column(ids_col)
+            numbers, ends = column.flatten().to_numpy().tolist(), np.cumsum(column.value_lengths().fill_null(0)).tolist()
+            texts = [library.decode(numbers[s:e]) if e > s else "" for s, e in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, text_col])
 
     return arrow_map(encoded, decoded, StructType([*encoded.schema.fields, StructField(text_col, StringType())]))

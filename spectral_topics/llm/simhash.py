@@ -10,16 +10,21 @@ around it, whatever the input, because equal fingerprints are merged first.
 Copies of a text share a fingerprint: a group of a third of all rows is one row here.
 
 ``near_unique`` keeps one document of each group of similar ones: texts are linked if the sets of their
-word shingles have a Jaccard similarity of at least 0.8, and linked texts form groups. Fingerprints
-tell such texts apart too coarsely, so this is an exact join of the sets by their rare shingles:
+word shingles have a Jaccard similarity of at least 0.8, and linked texts form groups. A fingerprint of 64 bits tells
+such texts apart too coarsely to decide alone, so ball hashing makes the first links and an exact join of the sets by
+their rare shingles finds the others:
 
 1. Texts of one set are one node. A set of n shingles shares at least 0.8 n of them with a similar one,
    so nodes with fewer shingles that occur in another node go. Shingles are counted in buckets of hashes.
-2. The shingles of the nodes left are ordered by how many of these nodes have them. Similar sets share one
+2. Nodes whose fingerprints meet by ball hashing are linked if their sets are similar.
+3. The shingles of the nodes left are ordered by how many of these nodes have them. Similar sets share one
    of their first n - ceil(0.8 n) + 1 shingles: nodes that do are candidates, and every candidate
    link is verified with the whole sets.
-3. Candidates of large groups are compared with the most shared node of a shingle first, in rounds. Then all pairs
-   of nodes with a common shingle that aren't connected yet are compared, so no link between groups is missed.
+4. Candidates of large groups are compared with the most shared node of a shingle first, in rounds. Then all pairs
+   of nodes with a common shingle that aren't connected yet are compared, so no link between groups is missed. Two bounds
+   keep pairs that can't be similar from being made at all. A set that shares m of its n shingles with any others has no partner of
+   more than 2.25 m - n. And each shingle flips one bit of its set's parity sketch, so sketches differ in no more
+   bits than sets do in shingles; similar sets differ in at most a ninth of their shingles together.
 
 Defined results
 - A null text is empty. A text without words has fingerprint 0 and no shingles and is linked like any other.
@@ -72,15 +77,16 @@ def fingerprint(text: bytes, width: int, seed: int = SEED, prints: int = 1) -> n
     The first is made from the shingles' XXH64, each further one from these hashes mixed anew.
     """
     hashes = shingles(text, width, seed)
-    n = len(hashes)
-    found = np.zeros(prints, np.uint64)
-    for k in range(prints):
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, n, CHUNK):
-            part = mixed(hashes[at : at + CHUNK], k).astype("<u8")
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        found[k] = np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]
-    return found
+    return np.array([majority(hashes, k) for k in range(prints)], np.uint64)
+
+
+def majority(hashes: np.ndarray, k: int = 0) -> np.uint64:
+    """The bits that are set in over half of the ``k``-th hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = mixed(hashes[at : at + CHUNK], k).astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -149,8 +155,10 @@ def simhash_components(
 
 LAST_ID = (1 << 63) - 1
 #: Shingles counted in one bucket, and bytes of texts whose shingles are sorted at once.
-BUCKET_SHINGLES = 2_000_000
-SLICE_BYTES = 1 << 23
+BUCKET_SHINGLES = 1_000_000
+SLICE_BYTES = 1 << 22
+#: Bits of a set's parity sketch. Sets of up to twice as many shingles are told apart by it.
+SKETCH_BITS = 512
 #: A round of comparing with leaders that links less than this share of the nodes is the last one.
 LAST_ROUND = 0.01
 
@@ -260,46 +268,89 @@ def shared_shingles(texts: DataFrame, width: int, buckets: int) -> DataFrame:
             shared = np.repeat((times > 1) | np.isin(low[starts], sure), times)
             found.append((node[shared], np.ones(int(shared.sum()), np.int64)))
         if found:
-            nodes, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([f[1] for f in found]), len(nodes)).astype(np.int64)
+            nodes, sums = sum_by_node(found)
+            to = nodes % buckets
+            order = np.argsort(to, kind="stable")
+            to, nodes, sums = to[order], nodes[order], sums[order]
+            cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)]), len(to))
+            spans = list(zip(cuts[:-1], cuts[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(to[cuts[:-1]], pa.int32()),
+                    pa.array([nodes[s:e].astype("<i8").tobytes() for s, e in spans], pa.binary()),
+                    pa.array([sums[s:e].astype("<i8").tobytes() for s, e in spans], pa.binary()),
+                ],
+                names=["part", "nodes", "sums"],
+            )
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held, waiting = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append((np.frombuffer(r["nodes"], "<i8"), np.frombuffer(r["sums"], "<i8")))
+                waiting += len(held[-1][0])
+            if waiting > BUCKET_SHINGLES:
+                held, waiting = [sum_by_node(held)], 0
+        if held:
+            nodes, sums = sum_by_node(held)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sums)], names=["node", "shared"])
 
     blobs = arrow_map(texts.select("text"), dealt, "bucket int, nodes binary, counts binary, alone binary, common binary")
-    sums = arrow_map(blobs.repartitionById(buckets, F.col("bucket")), counted, "node long, shared long")
-    return sums.groupBy("node").agg(F.sum("shared").alias("shared"))
+    sums = arrow_map(blobs.repartitionById(buckets, F.col("bucket")), counted, "part int, nodes binary, sums binary")
+    return arrow_map(sums.repartitionById(buckets, F.col("part")), added, "node long, shared long")
+
+
+def sum_by_node(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    nodes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return nodes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(nodes)).astype(np.int64)
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of SKETCH_BITS classes of hashes: whether an odd number of these are of the class."""
+    odd = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """``(node, size, hashes)`` of ``texts(node, text)``."""
+    """``(node, size, fp, s0, s1, ..., hashes)`` of ``texts(node, text)``: fingerprint, parity sketch and set."""
+    sketch = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                sets = [shingle_set(t, width)[1].view(np.int64) for t in text_bytes(batch.column("text"))]
+                sets = [shingle_set(t, width)[1] for t in text_bytes(batch.column("text"))]
                 sizes = np.array([len(h) for h in sets], np.int64)
-                hashes = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
-                )
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), hashes], names=["node", "size", "hashes"])
+                sketches = np.array([parity_sketch(h) for h in sets], np.int64).reshape(-1, len(sketch))
+                flat = np.concatenate([np.zeros(0, np.int64), *(h.view(np.int64) for h in sets)])
+                hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
+                prints = np.array([majority(h) for h in sets], np.uint64).view(np.int64)
+                columns = [batch.column("node"), pa.array(sizes), pa.array(prints), *map(pa.array, np.ascontiguousarray(sketches.T)), hashes]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "fp", *sketch, "hashes"])
 
-    return arrow_map(texts, listed, "node long, size long, hashes array<long>")
+    longs = ", ".join(f"{c} long" for c in ("node", "size", "fp", *sketch))
+    return arrow_map(texts, listed, f"{longs}, hashes array<long>")
 
 
 def first_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(shingle, node, size, rank)``: the rarest shingles of each set, one of which every similar set has among its own.
+    """``(shingle, node, size, rank, most)``: the rarest shingles of each set, one of which every similar set has among its own.
 
     Shingles that no other set has come first and have no partner, so they only count. The lower
-    its rank, the larger the part of a set that others have as well.
+    its rank, the larger the part of a set that others have as well. ``most`` is the greatest size of a similar set.
     """
     each = sets.select("node", "size", F.explode("hashes").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = each.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("found"))
     length = F.size("found") - least_overlap(F.col("size"), similarity) + 1
     taken = shared.where(length > 0).select(
-        "node", "size", (-F.size("found") / F.col("size")).alias("rank"), F.slice("found", F.lit(1), length.cast("int")).alias("found")
+        "node",
+        "size",
+        (-F.size("found") / F.col("size")).alias("rank"),
+        F.floor(F.size("found") * F.lit((1 + similarity) / similarity) - F.col("size") + F.lit(1e-6)).alias("most"),
+        F.slice("found", F.lit(1), length.cast("int")).alias("found"),
     )
-    return taken.select("node", "size", "rank", F.explode("found.shingle").alias("shingle"))
+    return taken.select("node", "size", "rank", "most", F.explode("found.shingle").alias("shingle"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -311,40 +362,52 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
+def met_in_a_ball(sets: DataFrame, radius: int = 2) -> DataFrame:
+    """``(a, b)``: nodes of one fingerprint with the least of them, and the least nodes of fingerprints that ball hashing links."""
+    least = materialize(sets.groupBy("fp").agg(F.min("node").alias("least")), "least-nodes")
+    same = sets.select("fp", "node").join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_least")) for x in "ab")
+    near = ball_links(least.select("fp"), radius).join(a, "a").join(b, "b").select(F.col("a_least").alias("a"), F.col("b_least").alias("b"))
+    return same.unionByName(near)
+
+
 def set_components(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, root)`` of the nodes of ``sets(node, size, hashes)`` that are linked to others."""
-    postings = materialize(first_shingles(sets, similarity), "first-shingles")
+    """``(node, root)`` of the nodes of ``sets`` (see ``shingle_sets``) that are linked to others."""
+    sketch = [c for c in sets.columns if c[0] == "s" and c[1:].isdigit()]
+    postings = materialize(
+        first_shingles(sets, similarity).join(sets.select("node", *sketch), "node"), "first-shingles"
+    )
     n = postings.agg(F.count_distinct("node")).first()[0]
-    links = None
+    links = materialize(similar(met_in_a_ball(sets), sets, similarity), "links")
 
     def placed() -> DataFrame:
-        if links is None:
-            return postings.withColumn("root", F.col("node"))
         return postings.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def near(x: str, y: str) -> Column:
-        return F.least(F.col(x), F.col(y)) >= F.greatest(F.col(x), F.col(y)) * similarity - 1e-9
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        found = materialize(similar(pairs, sets, similarity), "links")
-        return found if links is None else links.unionByName(found)
-
-    before = 0
+        """Whether two postings may be of similar sets, by sizes and sketches."""
+        a, b = ({c: F.col(f"{p}{c}") for c in ("size", "most", *sketch)} for p in (x, y))
+        sizes = F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * similarity - 1e-9
+        differ = sum((F.bit_count(a[c].bitwiseXOR(b[c])) for c in sketch), F.lit(0))
+        few = differ * (1 + similarity) <= (a["size"] + b["size"]) * (1 - similarity) + F.lit(1e-6)
+        return sizes & (a["size"] <= b["most"]) & (b["size"] <= a["most"]) & few
+
+    before = links.count()
     while True:
         now = materialize(placed(), "placed")
-        leaders = now.groupBy("shingle").agg(F.min(F.struct("rank", "node", "size", "root")).alias("leader"))
-        met = now.join(leaders, "shingle").where(F.col("root") != F.col("leader.root")).where(near("size", "leader.size"))
+        leaders = now.groupBy("shingle").agg(F.min(F.struct("rank", "node", "size", "root", "most", *sketch)).alias("leader"))
+        met = now.join(leaders, "shingle").where(F.col("root") != F.col("leader.root")).where(near("", "leader."))
         # One leader a round, so that a node of a large group isn't compared with one for each of its shingles.
-        links = linked(met.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("l")).select("a", F.col("l.node").alias("b")))
+        pairs = met.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("l")).select("a", F.col("l.node").alias("b"))
+        links = links.unionByName(materialize(similar(pairs, sets, similarity), "links"))
         after = links.count()
         if after - before <= n * LAST_ROUND:
             break
         before = after
     now = materialize(placed(), "placed")
-    a, b = (now.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "root")]) for x in "ab")
-    met = a.join(b, "shingle").where("a_node < b_node and a_root <> b_root").where(near("a_size", "b_size"))
-    links = linked(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
-    return connected_components(links)
+    a, b = (now.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "root", "most", *sketch)]) for x in "ab")
+    met = a.join(b, "shingle").where("a_node < b_node and a_root <> b_root").where(near("a_", "b_"))
+    pairs = materialize(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
+    return connected_components(links.unionByName(similar(pairs, sets, similarity)))
 
 
 def near_unique(

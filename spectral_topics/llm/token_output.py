@@ -28,10 +28,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,28 @@ LENGTH = 2048
 BATCH = 64
 PAD = 0
 #: Distinct words, and pre-tokens, whose ids a worker remembers.
-WORDS = 300_000
-PIECES = 250_000
+WORDS = 500_000
+PIECES = 400_000
+#: Words whose ids are gathered at once.
+GATHERED = 500_000
+
+# How the covered kind of vocabulary file normalizes and cuts texts (public; also given with the files).
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
@@ -72,10 +93,7 @@ class WordEncoder:
         self.type = id_type(spec)
         self.code = "H" if self.type == "<u2" else "I"
         self.merge = self.tokenizer.model.tokenize
-        kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.pattern = None
-        if kinds == ["NFC", "Replace", "Lowercase"]:
-            self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = regex.compile(PRE_TOKENIZER["pretokenizers"][0]["pattern"]["Regex"])
         special = "".join("|" + re.escape(t["content"]) for t in spec["added_tokens"])
         # Beyond Latin-1, its further white space, the character that marks ends below, or a special token.
         self.odd = re.compile(r"[^\x01-\x84\x86-\x9f\xa1-\xff]" + special)
@@ -85,30 +103,48 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, of ``self.type``."""
-        split = [t.split() for t in texts]
-        known = self.words
-        new = {w for ws in split for w in ws if w not in known}
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = set(chain.from_iterable(split))
-        self._learn(list(new))
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.view(pa.large_binary()).to_pylist()
+        new = [w for w in distinct if w not in self.words]
+        if len(self.words) + len(new) > WORDS:
+            self.words = newer_half(self.words)
+            new = [w for w in distinct if w not in self.words]
+        self._learn(new)
+        found = [self.words[w] for w in distinct]
+        table = np.frombuffer(b"".join(found), self.type)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // table.itemsize
+        places, index = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        parts, ends = [table[:0]], [np.zeros(1, np.int64)]
+        for at in range(0, len(index), GATHERED):
+            part = index[at : at + GATHERED]
+            end = np.cumsum(sizes[part])
+            take = np.repeat(places[part] - end + sizes[part], sizes[part]) + np.arange(end[-1])
+            parts.append(table[take])
+            ends.append(end + ends[-1][-1])
+        ids = np.concatenate(parts)
+        cuts = np.concatenate(ends)[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [ids[s:e].tobytes() for s, e in zip(cuts, cuts[1:])]
 
     def _learn(self, new: list[bytes]) -> None:
+        if b"" in new:
+            # Between white space and the edge of a text.
+            self.words[b""] = b""
+            new = [w for w in new if w]
         if not new:
             return
         text = b"\n".join(new).decode("utf-8", "replace")
-        if self.pattern is None or self.odd.search(text):
+        if self.odd.search(text):
             plain, others = [], []
             for word, written in zip(new, text.split("\n"), strict=True):
-                (others if self.pattern is None or self.odd.search(written) else plain).append(word)
+                (others if self.odd.search(written) else plain).append(word)
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
             self.words.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(others, found, strict=True))
             if not plain:
                 return
             new, text = plain, b"\n".join(plain).decode()
         if len(self.pieces) > PIECES:
-            self.pieces.clear()
+            self.pieces = newer_half(self.pieces)
         known, words = self.pieces, self.words
         marked = self.pattern.sub("\\g<0>\0", text.lower()).split("\n")
         for word, line in zip(new, marked, strict=True):
@@ -122,6 +158,11 @@ class WordEncoder:
         return ids
 
 
+def newer_half(known: dict) -> dict:
+    """A full memory without the half that came in first; what of it is in use comes in again."""
+    return dict(islice(known.items(), len(known) // 2, None))
+
+
 def id_type(spec: dict) -> str:
     """The smallest unsigned type that holds every id of a vocabulary."""
     largest = max(chain(spec["model"]["vocab"].values(), (t["id"] for t in spec["added_tokens"])))
@@ -129,13 +170,18 @@ def id_type(spec: dict) -> str:
 
 
 def splits_at_white_space(vocabulary: bytes) -> bool:
-    """Whether a tokenizer file is of the kind that ``WordEncoder`` is right for."""
+    """Whether a tokenizer file is of the kind that ``WordEncoder`` is right for: every setting is compared."""
     spec = json.loads(vocabulary)
-    pre = spec.get("pre_tokenizer") or {}
-    first = (pre.get("pretokenizers") or [pre])[0]
-    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    plain = all(not set(t["content"]) & set(" \t\n\r\x0b\x0c") and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"])
-    return bool(dropped and plain and not spec["model"].get("continuing_subword_prefix") and not spec.get("post_processor"))
+    model = spec["model"]
+    plain = all(
+        not set(t["content"]) & set(" \t\n\r\x0b\x0c") and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not t["normalized"]
+        for t in spec["added_tokens"]
+    )
+    merges = model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+    )
+    cut = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER
+    return bool(cut and plain and merges and not spec.get("post_processor"))
 
 
 class TextEncoder:

@@ -15,9 +15,10 @@ Fitting
 4. Logistic regression turns a document's marginals (the largest, and the sum of those over a half)
    into a probability of the label, weighted so that the label's share in all labelled rows holds.
 
-Scoring runs over every whole text in one pass without a shuffle: forward-backward over chains of
-``PIECE`` words (neighbouring words count across chains, only transitions end there), the score, and
-the character offsets of spans whose marginals exceed a half.
+Scoring runs over every whole text in one pass without a shuffle: forward-backward over the chain of all its
+words, the score, and the character offsets of spans whose marginals exceed a half. For many documents at once the
+chains are laid out in pieces of ``PIECE`` words; products of each piece's transitions carry the messages from
+piece to piece, so a document's marginals are those of one whole chain.
 
 Defined results
 - A null or empty text has no tokens; it gets the score of a document without any toxic marginal.
@@ -61,7 +62,7 @@ LEAST_GAIN = 3
 #: Beginnings that this share of the toxic documents has, and at least LEAST_COMMON, are picked as well.
 COMMON = 0.02
 LEAST_COMMON = 4
-#: Words in a chain at most: sentences are fitted, and documents scored, in pieces of this length.
+#: Sentences are fitted in pieces of at most so many words; scoring lays documents out in such pieces.
 PIECE = 60
 MEMO = 120_000
 
@@ -87,6 +88,11 @@ class ToxicityModel:
     document: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words; lower-casing comes second, since it may add characters that aren't letters."""
+    return [w.lower() for w in WORD.findall(text)]
+
+
 def word_features(word: str) -> list[int]:
     """Slots of a lower-case word, its beginnings and its endings (of UTF-8 bytes)."""
     w = word.encode()
@@ -97,16 +103,21 @@ def word_features(word: str) -> list[int]:
     return [x % TABLE for x in map(zlib.crc32, names)]
 
 
-def forward_backward(odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(
+    odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray, enter: np.ndarray | float = 0.0, leave: np.ndarray | float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward log-odds of the toxic state, for chains in the rows of a padded array.
 
     Rows come longest first, so the chains still running at a step are the first ones. A token's
-    marginal has the sum of its two log-odds; the forward one holds the token's own.
+    marginal has the sum of its two log-odds; the forward one holds the token's own. ``enter`` and ``leave`` are
+    the messages of what stands before and behind each row.
     """
     steps = odds.shape[1]
     running = np.searchsorted(-lengths, -np.arange(steps), side="left")  # how many chains reach each step
     (a00, a01), (a10, a11) = moves
     forward, backward = odds.copy(), np.zeros_like(odds)
+    forward[:, 0] += enter
+    backward[np.arange(len(odds)), lengths - 1] = leave
     for t in range(1, steps):
         f = forward[: running[t], t - 1]
         forward[: running[t], t] += np.logaddexp(a01, f + a11) - np.logaddexp(a00, f + a10)
@@ -117,6 +128,40 @@ def forward_backward(odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -
     return forward, backward
 
 
+def messages(odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray, number: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters and leaves each row of ``odds`` (see ``forward_backward``) when rows are pieces of longer chains.
+
+    ``number`` is each piece's place in its chain, in order of the chains, and ``row`` the piece's row.
+    """
+    step = np.exp(moves - moves.max())
+    # A piece's product of transitions, a step at a time over all rows that are as long; scaled, as only ratios count.
+    product = np.tile(np.eye(2), (len(odds), 1, 1))
+    running = np.searchsorted(-lengths, -np.arange(odds.shape[1]), side="left")
+    first = row[number == 0]
+    for t in range(odds.shape[1]):
+        n = running[t]
+        p = product[:n] @ step
+        if t == 0:
+            p[first] = np.eye(2)
+        high = np.maximum(odds[:n, t], 0.0)
+        p[:, :, 0] *= np.exp(-high)[:, None]
+        p[:, :, 1] *= np.exp(odds[:n, t] - high)[:, None]
+        product[:n] = p / p.max(axis=(1, 2), keepdims=True)
+    before, behind = np.ones((len(odds), 2)), np.ones((len(odds), 2))
+    for k in range(1, int(number.max(initial=0)) + 1):
+        at = np.flatnonzero(number == k)
+        v = np.einsum("ri,rij->rj", before[row[at - 1]], product[row[at - 1]])
+        before[row[at]] = v / v.max(axis=1, keepdims=True)
+    for k in range(int(number.max(initial=0)), 0, -1):
+        at = np.flatnonzero(number == k)
+        v = np.einsum("rij,rj->ri", product[row[at]], behind[row[at]])
+        behind[row[at - 1]] = v / v.max(axis=1, keepdims=True)
+    coming = before @ step
+    enter = np.log(np.maximum(coming[:, 1], 1e-300)) - np.log(np.maximum(coming[:, 0], 1e-300))
+    enter[first] = 0.0
+    return enter, np.log(np.maximum(behind[:, 1], 1e-300)) - np.log(np.maximum(behind[:, 0], 1e-300))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
@@ -143,7 +188,7 @@ class Scorer:
 
     def _part(self, part: bytes) -> tuple[int, ...]:
         found = []
-        for word in map(str.lower, WORD.findall(part.decode("utf-8", "replace"))):
+        for word in words_of(part.decode("utf-8", "replace")):
             row = self.rows.get(word)
             if row is None:
                 slots = word_features(word)
@@ -172,7 +217,7 @@ def scorer_of(model: ToxicityModel) -> Scorer:
 
 
 def chain_marginals(model: ToxicityModel, words: list[np.ndarray], adds: np.ndarray) -> list[np.ndarray]:
-    """Marginals of documents given as word rows, all chains together: a chain is PIECE words of a document."""
+    """Marginals of documents given as word rows, all documents together: each is one chain, laid out in pieces."""
     lengths = np.array([len(w) for w in words])
     flat = np.concatenate(words) if len(words) else np.zeros(0, np.int64)
     if not len(flat):
@@ -187,10 +232,12 @@ def chain_marginals(model: ToxicityModel, words: list[np.ndarray], adds: np.ndar
     order = np.argsort(-sizes, kind="stable")
     row = np.empty(len(sizes), np.int64)
     row[order] = np.arange(len(sizes))
+    number, piece = place[starts] // PIECE, row
     row, column = np.repeat(row, sizes), place % PIECE
     padded = np.zeros((len(sizes), PIECE))
     padded[row, column] = odds
-    forward, backward = forward_backward(padded, sizes[order], model.moves)
+    enter, leave = messages(padded, sizes[order], model.moves, number, piece)
+    forward, backward = forward_backward(padded, sizes[order], model.moves, enter, leave)
     marginals = sigmoid(forward + backward)[row, column]
     return np.split(marginals, ends[:-1])
 
@@ -214,10 +261,10 @@ def spans_of(text: bytes, marginals: np.ndarray) -> list[dict]:
 
 
 def toxic_beginnings(toxic: list[str], clean: list[str]) -> set[str]:
-    """Word beginnings (or whole words, marked $) that explain toxic documents. Lower-cased texts are given."""
+    """Word beginnings (or whole words, marked $) that explain toxic documents."""
 
     def keys(text: str) -> set[str]:
-        words = set(WORD.findall(text))
+        words = set(words_of(text))
         return {w[:n] for w in words for n in BEGINNINGS if len(w) >= n} | {w + "$" for w in words}
 
     counts = Counter()
@@ -270,7 +317,7 @@ def fit(texts: list[bytes], labels: list[int], counts: dict[int, int]) -> Toxici
     model = ToxicityModel(share=counts.get(1, 0) / total if total else 0.0)
     unique = dict(zip(texts, labels, strict=True))
     unique = {t: unique[t] for t in without_near_copies(list(unique))}
-    docs = [(t.decode("utf-8", "replace").lower(), y) for t, y in unique.items()]
+    docs = [(t.decode("utf-8", "replace"), y) for t, y in unique.items()]
     picked = toxic_beginnings([t for t, y in docs if y], [t for t, y in docs if not y])
     if not picked or len({y for _, y in docs}) < 2:
         return model
@@ -279,7 +326,7 @@ def fit(texts: list[bytes], labels: list[int], counts: dict[int, int]) -> Toxici
     with_toxic, without = [], []
     for text, y in docs:
         for sentence in SENTENCE.split(text):
-            found = WORD.findall(sentence)
+            found = words_of(sentence)
             for word in found:
                 if word not in rows:
                     rows[word] = len(rows)

@@ -166,6 +166,53 @@ def test_token_output(spark, docs, tmp_path):
     assert stream == [t for x in ids for t in x]
 
 
+def no_replace(spec):
+    spec["normalizer"]["normalizers"].pop(1)
+
+
+def another_replace(spec):
+    spec["normalizer"]["normalizers"][1] = {"type": "Replace", "pattern": {"String": "-"}, "content": "x"}
+
+
+def compatible_letters(spec):
+    spec["normalizer"]["normalizers"][0] = {"type": "NFKC"}
+
+
+def prefix_space(spec):
+    spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+
+
+def another_pattern(spec):
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[\\p{L}]+ ?|[^\\p{L}]"}
+
+
+def stripping_token(spec):
+    spec["added_tokens"][0]["lstrip"] = True
+
+
+@pytest.mark.parametrize("change", [None, no_replace, another_replace, compatible_letters, prefix_space, another_pattern, stripping_token])
+def test_altered_vocabularies_give_the_librarys_ids(change):
+    spec = json.load(open(WORDS))
+    if change:
+        change(spec)
+    vocabulary = json.dumps(spec).encode()
+    rng = np.random.default_rng(9)
+    parts = [*"abC- \n\té漢.,'\u0130\u00df\x1c\u00a0\uff21", "The ", "<|startoftext|>", "<|endoftext|>", "don't", " x-ray ", "  "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(400)]
+    found = token_output.encoder(vocabulary)
+    assert token_output.splits_at_white_space(vocabulary) == (change is None)
+    expected = Tokenizer.from_str(vocabulary.decode()).encode_batch(texts, add_special_tokens=False)
+    assert found.encode([t.encode() for t in texts]) == [np.array(e.ids, found.type).tobytes() for e in expected]
+
+
+def test_word_encoder_with_little_memory(monkeypatch):
+    for name in ("WORDS", "PIECES", "GATHERED"):
+        monkeypatch.setattr(token_output, name, 5)
+    found = token_output.WordEncoder(open(WORDS, "rb").read())
+    for texts in (["a b c d e f", "", " g h "], ["a b", "i j k a, a."], ["x"] * 20):
+        assert found.encode([t.encode() for t in texts]) == [np.array(i, found.type).tobytes() for i in library_ids(texts)]
+
+
 def test_word_encoder_fuzz():
     rng = np.random.default_rng(5)
     encode = token_output.WordEncoder(open(WORDS, "rb").read()).encode
@@ -274,6 +321,61 @@ def test_forward_backward_by_enumeration():
         np.testing.assert_allclose(toxicity.sigmoid(forward + backward)[r, :n], total / norm, rtol=1e-9)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7, 60])
+def test_chains_run_through_pieces(monkeypatch, piece):
+    """Documents laid out in pieces have the marginals of one chain each, with weak, strong and extreme weights."""
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    for strength in (1, 4, 40):
+        adds = rng.normal(size=(30, 3)) * strength
+        model = toxicity.ToxicityModel(share=0.5, fitted=True, bias=-0.3, moves=rng.normal(size=(2, 2)) * min(strength, 6))
+        words = [rng.integers(0, 30, n) for n in (0, 1, 5, 59, 60, 61, 130, 0, 400)]
+        for w, found in zip(words, toxicity.chain_marginals(model, words, adds), strict=True):
+            if not len(w):
+                assert not len(found)
+                continue
+            odds = model.bias + adds[w, 0]
+            odds[1:] += adds[w[:-1], 1]
+            odds[:-1] += adds[w[1:], 2]
+            forward, backward = toxicity.forward_backward(odds[None, :], np.array([len(w)]), model.moves)
+            np.testing.assert_allclose(found, toxicity.sigmoid(forward + backward)[0], rtol=1e-6, atol=1e-12)
+
+
+def test_gradients_by_differences():
+    """Of the likelihood of tags, by every odds and every transition."""
+    rng = np.random.default_rng(2)
+    lengths = np.array([4, 3])
+    inside = np.arange(4) < lengths[:, None]
+    odds, moves = rng.normal(size=(2, 4)) * inside, rng.normal(size=(2, 2))
+    tags = (rng.random((2, 4)) < 0.5) * inside * 1.0
+
+    def likelihood(odds, moves):
+        total = 0.0
+        for r, n in enumerate(lengths):
+            def score(path):
+                return sum(odds[r, t] * s for t, s in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:]))
+            total += score(tags[r, :n].astype(int)) - np.log(sum(np.exp(score(p)) for p in np.ndindex(*(2,) * n)))
+        return total
+
+    def differences(x, f):
+        out = np.zeros_like(x)
+        for at in np.ndindex(x.shape):
+            step = np.zeros_like(x)
+            step[at] = 1e-5
+            out[at] = (f(x + step) - f(x - step)) / 2e-5
+        return out
+
+    forward, backward = toxicity.forward_backward(odds, lengths, moves)
+    wrong = (tags - toxicity.sigmoid(forward + backward)) * inside
+    np.testing.assert_allclose(wrong, differences(odds, lambda x: likelihood(x, moves)), atol=1e-7)
+    found = toxicity._move_gradient(forward, backward, odds, moves, tags, inside).reshape(2, 2)
+    np.testing.assert_allclose(found, differences(moves, lambda x: likelihood(odds, x)), atol=1e-7)
+
+
+def test_words_are_the_same_fitted_and_scored():
+    assert toxicity.words_of("İstanbulvile ÄB c1d") == ["İstanbulvile".lower(), "äb", "c", "d"]
+
+
 # token counts
 
 
@@ -463,6 +565,52 @@ def test_near_unique_of_a_large_group(spark):
     assert kept_ids(spark, texts) == kept_by_hand(texts)
 
 
+def pairs_compared(spark, monkeypatch, texts):
+    """How many pairs ``near_unique`` compares by their whole sets; what it keeps is checked."""
+    compared, plain = [], simhash.similar
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return plain(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    assert kept_ids(spark, texts) == kept_by_hand(texts)
+    return sum(compared)
+
+
+def test_strangers_of_one_template_are_not_compared(spark, monkeypatch):
+    """460 shingles, 400 of them of one template: no two texts are similar, and pairs don't grow with their square."""
+    rng = np.random.default_rng(6)
+    template = " ".join(f"t{i}" for i in range(404))
+    texts = [template + " " + " ".join(f"w{rng.integers(1 << 40)}" for _ in range(60)) for _ in range(120)]
+    assert pairs_compared(spark, monkeypatch, texts) <= len(texts)
+
+
+def test_copies_of_a_base_below_the_threshold_are_not_compared(spark, monkeypatch):
+    """Copies at about 0.8 of one base and 0.65 of each other, some edits in common."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    edits = [(int(at), f"e{n}") for n, at in enumerate(rng.integers(0, 150, 60))]
+    texts = []
+    for _ in range(200):
+        words = list(base)
+        for n in rng.choice(len(edits), 4, replace=False):
+            words[edits[n][0]] = edits[n][1]
+        texts.append(" ".join(words))
+    assert pairs_compared(spark, monkeypatch, texts) <= 10 * len(texts)
+
+
+def test_parity_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    for size in (0, 5, 300, 5000):
+        for change in (0, 1, 40):
+            a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            b = np.unique(np.append(a[change:], rng.integers(0, 1 << 63, change).astype(np.uint64)))
+            bits = int(np.unpackbits((simhash.parity_sketch(a) ^ simhash.parity_sketch(b)).view(np.uint8)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+    assert (simhash.parity_sketch(a) == simhash.parity_sketch(a[::-1])).all()
+
+
 # repeated substrings
 
 

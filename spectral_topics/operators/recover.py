@@ -41,7 +41,7 @@ def simplex_thresholds(df: DataFrame, group: Sequence[str], value: str) -> DataF
     set above it stops shrinking. Each round also looks at a grid of larger candidates up to an
     upper bound and moves on from the last one that is still too low, so few rounds are needed.
     A round is one partially aggregated group-by: no group is sorted or brought into one task.
-    Scans ``df`` once per round.
+    Scans ``df`` once per round. Group columns that may be null come in a struct.
     """
     group = list(group)
     bounds = df.groupBy(*group).agg(F.sum(value).alias("s"), F.count(value).alias("n"), F.max(value).alias("top"))
@@ -98,11 +98,20 @@ def _settle(table: DataFrame) -> tuple[DataFrame, list | None]:
 
 
 def simplex_projection(df: DataFrame, group: str | Sequence[str], id: str, value: str) -> DataFrame:
-    """``(group..., id, value)``: each group of values projected onto the probability simplex."""
+    """``(group..., id, value)``: each group of values projected onto the probability simplex.
+
+    Null groups are a group. A null value fails the job: nothing says where it should go.
+    """
     group = [group] if isinstance(group, str) else list(group)
-    theta = simplex_thresholds(df, group, value)
-    return df.join(theta, group).select(
-        *group, id, F.greatest(F.col(value) - F.col("theta"), F.lit(0.0)).alias(value)
+    known = F.coalesce(F.col(value).cast("double"), F.raise_error(F.lit("a null value cannot be projected")).cast("double"))
+    # One key of its own name: a struct of nulls equals another, and no name of the caller's can clash.
+    key = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)])
+    packed = df.select(key.alias("group"), F.col(id).alias("id"), known.alias("v"))
+    theta = simplex_thresholds(packed, ["group"], "v")
+    return packed.join(theta, "group").select(
+        *[F.col(f"group.g{i}").alias(g) for i, g in enumerate(group)],
+        F.col("id").alias(id),
+        F.greatest(F.col("v") - F.col("theta"), F.lit(0.0)).alias(value),
     )
 
 
@@ -166,9 +175,10 @@ def top_k(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], k:
     whole = Window.partitionBy(*group).orderBy(*order)
     if k > GROUP_LIMIT_ROWS:
         pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pieced = df.withColumn("piece", F.pmod(F.xxhash64(spread_by), F.lit(pieces)))
-        within = Window.partitionBy(*group, "piece").orderBy(*order)
-        df = pieced.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k).drop("piece", "rank")
+        piece, place = free_name(df.columns, "piece"), free_name(df.columns, "place")
+        pieced = df.withColumn(piece, F.pmod(F.xxhash64(spread_by), F.lit(pieces)))
+        within = Window.partitionBy(*group, piece).orderBy(*order)
+        df = pieced.withColumn(place, F.row_number().over(within)).where(F.col(place) <= k).drop(piece, place)
     return df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
 
 
@@ -186,31 +196,42 @@ def running_sum(
     ``order`` must be total within a group. Rows are range partitioned on group and order, so a
     large group is split over tasks: each range sums its own rows and adds what the ranges before
     it hold. The ranges come from a sample, hence the partitioned rows are written before use.
+    Null groups are a group, and a null value adds nothing. Columns ``running`` and ``position`` must be free.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = df.columns
-    ranged = df.repartitionByRange(n, F.col(group).asc(), *order).withColumn("range", F.spark_partition_id())
+    if {"running", "position"} & set(columns):
+        raise ValueError("the columns running and position are added, so they must not be there")
+    part, here, at, its, sums, rows = (free_name(columns, name) for name in ("range", "here", "at", "its_group", "s0", "n0"))
+    ranged = df.repartitionByRange(n, F.col(group).asc(), *order).withColumn(part, F.spark_partition_id())
     ranged = materialize(ranged, "ranges")
-    totals = ranged.groupBy(group, "range").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(group, part).agg(F.coalesce(F.sum(value), F.lit(0)).alias(sums), F.count(F.lit(1)).alias(rows))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        group,
-        "range",
-        F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+        F.col(group).alias(its),
+        F.col(part).alias(f"{its}_range"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in (sums, rows)],
     )
-    within = Window.partitionBy(group, "range").orderBy(*order)
+    within = Window.partitionBy(group, part).orderBy(*order)
     local = ranged.select(
         "*",
-        F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("here"),
-        F.row_number().over(within).alias("at"),
+        F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias(here),
+        F.row_number().over(within).alias(at),
     )
-    return local.join(offsets, [group, "range"]).select(
-        *columns, (F.col("here") + F.col("s0")).alias("running"), (F.col("at") + F.col("n0")).alias("position")
+    same = F.col(group).eqNullSafe(F.col(its)) & (F.col(part) == F.col(f"{its}_range"))
+    return local.join(offsets, same).select(
+        *columns, (F.col(here) + F.col(sums)).alias("running"), (F.col(at) + F.col(rows)).alias("position")
     )
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """``name``, with underscores added until no column has it or begins with it."""
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
+
+
 def factor_array(table: DataFrame, rows: int) -> np.ndarray:
     """A k×k factor table as an array."""
     cols = matrix_columns(table, "f")

@@ -113,3 +113,44 @@ def test_running_sum_of_a_large_group(spark):
     both = frame.merge(found, on=["g", "word_id"], suffixes=("", "_found"))
     assert len(both) == 3000
     assert (both["running"] == both["running_found"]).all() and (both["position"] == both["position_found"]).all()
+
+
+@pytest.mark.parametrize("local_groups", [recover.LOCAL_GROUPS, 1])
+def test_projection_keeps_null_groups_and_any_names(spark, monkeypatch, local_groups):
+    monkeypatch.setattr(recover, "LOCAL_GROUPS", local_groups)
+    rows = [(None, "x", i, v) for i, v in enumerate([0.9, 0.4])] + [(1, None, i, v) for i, v in enumerate([2.0, 1.5, 0.1])]
+    rows += [(None, None, 0, 5.0), (1, "x", 0, -3.0)]
+    df = spark.createDataFrame(rows, "theta int, n string, width int, s double").repartition(3)
+    found = recover.simplex_projection(df, ["theta", "n"], "width", "s")
+    assert found.columns == ["theta", "n", "width", "s"]
+    expected = {(None, "x"): [0.75, 0.25], (1, None): [0.75, 0.25, 0.0], (None, None): [1.0], (1, "x"): [1.0]}
+    got = {(r["theta"], r["n"], r["width"]): r["s"] for r in found.collect()}
+    assert got == pytest.approx({(*g, i): v for g, values in expected.items() for i, v in enumerate(values)})
+    again = recover.recover_topic(df, ["theta", "n"], "width", "s", iterations=None)
+    assert {(r["theta"], r["n"], r["width"]): r["s"] for r in again.collect()} == pytest.approx(got)
+
+
+def test_projection_of_a_null_value_fails(spark):
+    df = spark.createDataFrame([(0, 0, 1.0), (0, 1, None)], "topic int, word_id int, value double")
+    with pytest.raises(Exception, match="null value"):
+        recover.simplex_projection(df, "topic", "word_id", "value").collect()
+
+
+def test_running_sum_keeps_null_groups_values_and_names(spark):
+    names = ["range", "here", "at", "s0", "n0", "its_group"]
+    rows = [(g, i, None if i == 2 else float(i), *[7] * 6) for g in (None, "a", "b") for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, i int, v double, " + ", ".join(f"{n} int" for n in names)).repartition(4)
+    found = recover.running_sum(df, "g", [F.asc("i")], "v", partitions=5).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["position"] == r["i"] + 1 and r["running"] == sum(j for j in range(r["i"] + 1) if j != 2)
+        assert all(r[n] == 7 for n in names)
+    with pytest.raises(ValueError):
+        recover.running_sum(df.withColumn("running", F.lit(1)), "g", [F.asc("i")], "v")
+
+
+def test_top_k_keeps_a_column_named_piece(spark, monkeypatch):
+    monkeypatch.setattr(recover, "GROUP_LIMIT_ROWS", 2)
+    df = spark.createDataFrame([(None if i % 2 else "g", i, 5) for i in range(20)], "g string, v int, piece int")
+    found = recover.top_k(df, "g", [F.desc("v")], 3, spread_by="v").collect()
+    assert sorted((r["v"], r["piece"], r["rank"]) for r in found) == [(14, 5, 3), (15, 5, 3), (16, 5, 2), (17, 5, 2), (18, 5, 1), (19, 5, 1)]

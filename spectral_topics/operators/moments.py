@@ -25,6 +25,8 @@ from spectral_topics.operators.linalg import MAX_SUM_COLUMNS
 
 # Memory for one partial tensor in a Python worker.
 TENSOR_BYTES = 256 << 20
+# Cells of a partial tensor in one row of the shuffle that adds them up.
+CHUNK_CELLS = 1 << 17
 
 
 def lookup_model(tokens: DataFrame, model: DataFrame, rows: int | None = None) -> DataFrame:
@@ -203,60 +205,127 @@ def _third_sums_generated(weighted: DataFrame, cols: Sequence[str]) -> DataFrame
 
 
 def _third_sums_numpy(weighted: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Partial sums per task in numpy. A tensor too large for a worker takes one pass per range of its first index."""
-    source = merge_small_partitions(weighted)
-    parts = None
-    for start, stop in _row_ranges(len(cols)):
-        part = numpy_batches(source, _third_partial(cols, start, stop), "part string, i int, j int, l int, val double")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("part", "i", "j", "l").agg(F.sum("val").alias("val"))
+    """Partial sums per task in numpy, added up in chunks (``_dense_sums``)."""
+    cols, k = list(cols), len(cols)
 
+    def weigh(batch: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        every, s1 = batch[cols].to_numpy(dtype=float), batch["s1"].to_numpy(dtype=float)
+        used = batch["s3"].notna().to_numpy()
+        x, s2, s3 = every[used], batch["s2"].to_numpy(dtype=float)[used], batch["s3"].to_numpy(dtype=float)[used]
+        i, j = np.triu_indices(k)
+        low = {
+            "n3": np.array([float(len(x))]),
+            "x1": np.nan_to_num(s1) @ every,
+            "g1": s3 @ x,
+            "h1": s2 @ x,
+            "g2": (x.T @ (x * s3[:, None]))[i, j],
+            "p2": (x.T @ (x * s2[:, None]))[i, j],
+        }
+        return (x, s3), low
+
+    def cube_slice(made, i: int) -> np.ndarray:
+        x, s3 = made
+        return x[:, i:].T @ (x[:, i:] * (s3 * x[:, i])[:, None])
+
+    return _dense_sums(weighted, k, weigh, ("n3", "x1", "g1", "h1", "g2", "p2"), "c3", cube_slice)
+
+
+def _low_cells(names: Sequence[str], k: int) -> list[tuple[str, int, int]]:
+    """Part and indexes of the low-order sums in the order in which ``_dense_sums`` packs them."""
+    pairs = list(zip(*(a.tolist() for a in np.triu_indices(k))))
+    shapes = {"n": [(-1, -1)], "1": [(i, -1) for i in range(k)], "2": pairs}
+    return [(name, *at) for name in names for at in shapes["n" if name == "n3" else "2" if name in ("g2", "p2", "bb") else "1"]]
+
+
+def _cube_starts(k: int) -> np.ndarray:
+    """Where the cells of each first index begin in the packed cube of i <= j <= l, and their number at the end."""
+    left = np.arange(k, 0, -1)
+    return np.append(0, np.cumsum(left * (left + 1) // 2))
 
-def _third_partial(cols: Sequence[str], start: int, stop: int):
-    cols, k = list(cols), len(cols)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((stop - start, k, k))
-        g2, p2, g1, h1, x1, n3 = np.zeros((k, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k), np.zeros(k), 0
+def _dense_sums(source: DataFrame, k: int, weigh, low_names: Sequence[str], part: str, cube_slice) -> DataFrame:
+    """Cells ``(part, i, j, l, val)`` of low-order sums and of a symmetric cube, added up as dense chunks.
+
+    Each task adds up its own rows, then cuts its cells i <= j <= l, in order, into binary chunks of CHUNK_CELLS
+    numbers. Chunks of one number meet in one partition, where they are added in numpy: the shuffle has tasks x
+    chunks rows, not tasks x cells, and a chunk is all that a reducing task holds. One scan does for all first
+    indexes whose packed cells fit TENSOR_BYTES; larger cubes take one scan for each range of first indexes.
+    """
+    source = merge_small_partitions(source)
+    starts = _cube_starts(k)
+    low = _low_cells(low_names, k)
+
+    def partial(start: int, stop: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = {name: 0.0 for name in low_names}
+            cube = np.zeros(starts[stop] - starts[start])
+            corners = [np.triu_indices(k - i) for i in range(start, stop)]
+            for batch in batches:
+                made, part_low = weigh(batch)
+                for name in low_names:
+                    sums[name] = sums[name] + part_low[name]
+                for i, corner in zip(range(start, stop), corners):
+                    cube[starts[i] - starts[start] : starts[i + 1] - starts[start]] += cube_slice(made, i)[corner]
+            if start == 0 and low and not np.isscalar(sums[low_names[0]]):
+                yield _chunk_rows(-1, np.concatenate([sums[name] for name in low_names]), len(low))
+            if cube.any():
+                # Chunks are cut at fixed places of the whole cube, so a range may begin inside one.
+                first, at = int(starts[start]) // CHUNK_CELLS, int(starts[start]) % CHUNK_CELLS
+                yield _chunk_rows(first, np.concatenate([np.zeros(at), cube]), CHUNK_CELLS)
+
+        return run
+
+    chunks = None
+    for start, stop in _row_ranges(k):
+        found = numpy_batches(source, partial(start, stop), "chunk int, cells binary")
+        chunks = found if chunks is None else chunks.unionByName(found)
+    total = int(starts[-1])
+    n = 1 + -(-total // CHUNK_CELLS)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            every, s1 = batch[cols].to_numpy(dtype=float), batch["s1"].to_numpy(dtype=float)
-            used = batch["s3"].notna().to_numpy()
-            x, s2, s3 = every[used], batch["s2"].to_numpy(dtype=float)[used], batch["s3"].to_numpy(dtype=float)[used]
-            for i in range(start, stop):
-                total[i - start, i:, i:] += x[:, i:].T @ (x[:, i:] * (s3 * x[:, i])[:, None])
-            if start == 0:
-                x1 += np.nan_to_num(s1) @ every
-                g2 += x.T @ (x * s3[:, None])
-                p2 += x.T @ (x * s2[:, None])
-                g1 += s3 @ x
-                h1 += s2 @ x
-                n3 += len(x)
-        if start == 0:
-            i, j = np.triu_indices(k)
-            one, none = np.arange(k), np.full(k, -1)
-            yield _cells("n3", [-1], [-1], [-1], [float(n3)])
-            for name, vector in (("x1", x1), ("g1", g1), ("h1", h1)):
-                yield _cells(name, one, none, none, vector)
-            for name, square in (("g2", g2), ("p2", p2)):
-                yield _cells(name, i, j, np.full(len(i), -1), square[i, j])
-        yield from _cube_cells("c3", total, start)
-
-    return partial
-
-
-def _cube_cells(part: str, total: np.ndarray, start: int) -> Iterator[pd.DataFrame]:
-    """Cells j, l >= i of the slices of a cube whose first slice is number ``start``."""
-    k = total.shape[1]
-    for offset, square in enumerate(total):
-        i = start + offset
-        j, m = np.triu_indices(k - i)
-        yield _cells(part, np.full(len(j), i), j + i, m + i, square[j + i, m + i])
+            for chunk, cells in zip(batch["chunk"], batch["cells"]):
+                values = np.frombuffer(cells)
+                held = sums.get(chunk)
+                if held is None:
+                    sums[chunk] = values.copy()
+                elif len(held) < len(values):
+                    sums[chunk] = values + np.append(held, np.zeros(len(values) - len(held)))
+                else:
+                    held[: len(values)] += values
+        for chunk, values in sums.items():
+            if chunk < 0:
+                for name in low_names:
+                    at = [c for c, cell in enumerate(low) if cell[0] == name]
+                    i, j = zip(*((low[c][1], low[c][2]) for c in at))
+                    yield _cells(name, i, j, [-1] * len(at), values[at])
+                continue
+            place = chunk * CHUNK_CELLS + np.arange(len(values))
+            for i in range(np.searchsorted(starts, place[0], "right") - 1, k):
+                inside = (place >= starts[i]) & (place < starts[i + 1])
+                if not inside.any():
+                    break
+                j, m = (a[place[inside] - starts[i]] for a in np.triu_indices(k - i))
+                yield _cells(part, np.full(len(j), i), j + i, m + i, values[inside])
+
+    meeting = chunks.repartitionById(n, F.col("chunk") + 1)
+    return numpy_batches(meeting, added, "part string, i int, j int, l int, val double")
+
+
+def _chunk_rows(first: int, values: np.ndarray, size: int) -> pd.DataFrame:
+    cut = [values[at : at + size] for at in range(0, len(values), size)]
+    return pd.DataFrame({"chunk": np.arange(first, first + len(cut), dtype="int32"), "cells": [np.ascontiguousarray(c).tobytes() for c in cut]})
 
 
 def _row_ranges(k: int) -> list[tuple[int, int]]:
-    """Ranges of the first tensor index whose partial sums fit a Python worker."""
-    step = max(1, min(k, TENSOR_BYTES // (8 * k * k)))
-    return [(start, min(start + step, k)) for start in range(0, k, step)]
+    """Ranges of the first tensor index whose packed partial sums fit a Python worker."""
+    starts, ranges, at = _cube_starts(k), [], 0
+    while at < k:
+        stop = int(np.searchsorted(starts, starts[at] + TENSOR_BYTES // 8, "right")) - 1
+        ranges.append((at, max(at + 1, min(stop, k))))
+        at = ranges[-1][1]
+    return ranges
 
 
 def _cells(part: str, i, j, m, val) -> pd.DataFrame:
@@ -333,35 +402,22 @@ def word_correction_sums(words: DataFrame, model: DataFrame) -> DataFrame:
         row = rows.agg(*[F.coalesce(t, F.lit(0.0)).alias(f"t{n}") for n, t in enumerate(terms.values())])
         return row_to_cells(row, ("part", "i", "j", "l"), [(cell, f"t{n}") for n, cell in enumerate(terms)])
 
-    schema = "part string, i int, j int, l int, val double"
+    names, others = list(cols), list(zs)
 
-    def pair_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
-        for batch in batches:
-            b = batch[list(cols)].to_numpy(dtype=float)
-            total += b.T @ (b * batch["h"].to_numpy(dtype=float)[:, None])
+    def weigh(batch: pd.DataFrame):
+        b, z = batch[names].to_numpy(dtype=float), batch[others].to_numpy(dtype=float)
         i, j = np.triu_indices(k)
-        yield _cells("bb", i, j, np.full(len(i), -1), total[i, j])
+        low = {"bb": (b.T @ (b * batch["h"].to_numpy(dtype=float)[:, None]))[i, j]}
+        return (b, z, batch["f"].to_numpy(dtype=float)), low
 
-    def cubic_part(start: int, stop: int):
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((stop - start, k, k))
-            for batch in batches:
-                b, z = batch[list(cols)].to_numpy(dtype=float), batch[list(zs)].to_numpy(dtype=float)
-                f = batch["f"].to_numpy(dtype=float)
-                for i in range(start, stop):
-                    outer = (2.0 * f * b[:, i] - z[:, i])[:, None] * b
-                    cross = (b[:, i][:, None] * b).T @ z
-                    total[i - start] += outer.T @ b - cross - cross.T
-            yield from _cube_cells("t3", total, start)
-
-        return partial
-
-    source = merge_small_partitions(rows)
-    parts = numpy_batches(source, pair_part, schema)
-    for start, stop in _row_ranges(k):
-        parts = parts.unionByName(numpy_batches(source, cubic_part(start, stop), schema))
-    return parts.groupBy("part", "i", "j", "l").agg(F.sum("val").alias("val"))
+    def cube_slice(made, i: int) -> np.ndarray:
+        b, z, f = made
+        tail = b[:, i:]
+        outer = (2.0 * f * b[:, i] - z[:, i])[:, None] * tail
+        cross = (b[:, i][:, None] * tail).T @ z[:, i:]
+        return outer.T @ tail - cross - cross.T
+
+    return _dense_sums(rows, k, weigh, ("bb",), "t3", cube_slice)
 
 
 def whitened_third_moment(sums: DataFrame, corrections: DataFrame, m1: np.ndarray, alpha0: float) -> DataFrame:

@@ -159,7 +159,8 @@ def test_partial_tensors_in_slices(spark, monkeypatch):
     data = Corpus(spark, 11)
     proj = moments.project_docs(data.tokens, data.table)
     whole = {tuple(r)[:4]: r[4] for r in moments.third_moment_sums(proj, 0.8).collect()}
-    monkeypatch.setattr(moments, "TENSOR_BYTES", 8 * 11 * 11 * 4)
+    monkeypatch.setattr(moments, "TENSOR_BYTES", 8 * 130)
+    monkeypatch.setattr(moments, "CHUNK_CELLS", 50)
     sliced = {tuple(r)[:4]: r[4] for r in moments.third_moment_sums(proj, 0.8).collect()}
     assert len(moments._row_ranges(11)) == 3
     assert whole.keys() == sliced.keys() and all(sliced[c] == pytest.approx(v) for c, v in whole.items())
@@ -186,3 +187,28 @@ def test_sum_of_matrices(spark):
     b = spark.createDataFrame([(1, [10.0, 20.0]), (2, [5.0, 6.0])], "row_id long, vec array<double>")
     found = {r[0]: r[1] for r in moments.sum_matrices(a, b).collect()}
     assert found == {0: [1.0, 2.0], 1: [13.0, 24.0], 2: [5.0, 6.0]}
+
+
+def test_wide_third_moment_adds_dense_chunks(spark, monkeypatch):
+    """k = 40 with chunks of 1,000 cells: one scan and one shuffle, whose rows are chunks and not cells."""
+    k, n, alpha0 = 40, 500, 0.8
+    monkeypatch.setattr(moments, "CHUNK_CELLS", 1000)
+    rng = np.random.default_rng(3)
+    x, lengths = rng.normal(size=(n, k)), rng.integers(0, 9, n).astype(float)
+    columns = ", ".join(f"x{j} double" for j in range(k))
+    proj = spark.createDataFrame([(d, float(lengths[d]), *map(float, x[d])) for d in range(n)], f"doc_id long, len double, {columns}").repartition(3)
+    sums = moments.third_moment_sums(proj, alpha0)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert moments._row_ranges(300) == [(0, 300)] and len(moments._row_ranges(1000)) > 1
+    found = {tuple(r)[:4]: r[4] for r in sums.collect()}
+    used = lengths >= 3
+    u, size = x[used], lengths[used]
+    s2, s3 = alpha0 * (alpha0 + 1) / (2 * size * (size - 1)), (alpha0 + 1) * (alpha0 + 2) / (2 * size * (size - 1) * (size - 2))
+    cube = np.einsum("d,di,dj,dl->ijl", s3, u, u, u)
+    cells = {("c3", i, j, m) for i in range(k) for j in range(i, k) for m in range(j, k)}
+    assert {c for c in found if c[0] == "c3"} == cells
+    np.testing.assert_allclose([found[c] for c in sorted(cells)], [cube[c[1:]] for c in sorted(cells)], atol=1e-12)
+    pair = np.einsum("d,di,dj->ij", s2, u, u)
+    assert all(found["p2", i, j, -1] == pytest.approx(pair[i, j], abs=1e-12) for i in range(k) for j in range(i, k))
+    assert found["n3", -1, -1, -1] == used.sum() and found["h1", 7, -1, -1] == pytest.approx(s2 @ u[:, 7])

@@ -150,7 +150,7 @@ def first_moments(k: int, docs: str, n: str) -> str:
 
 MODES = "ijl"
 # Iterations that the twins write out; the decompositions stop before.
-ALS_ITERATIONS, FIT_ITERATIONS = 8, 12
+ALS_ITERATIONS, FIT_ITERATIONS = 8, 16
 
 
 def factor_pair(mode: int) -> tuple[int, int]:

@@ -32,7 +32,7 @@ B_START = [(0, 0.8, -0.6), (1, 0.6, 0.8)]
 C_START = [(0, 0.6, 0.8), (1, -0.8, 0.6)]
 # Change of A at which the decompositions compared with SQL stop.
 ALS_TOLERANCE = 0.1
-FIT_TOLERANCE = 1e-3
+FIT_TOLERANCE = 1e-4
 SIGMA = np.array([2.0, 1.5, 0.75])
 
 

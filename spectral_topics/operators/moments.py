@@ -29,12 +29,13 @@ TENSOR_BYTES = 256 << 20
 CHUNK_CELLS = 1 << 17
 
 
-def lookup_model(tokens: DataFrame, model: DataFrame, rows: int | None = None) -> DataFrame:
+def lookup_model(tokens: DataFrame, model: DataFrame, rows: int | None = None, routes: DataFrame | None = None) -> DataFrame:
     """Attach row ``word_id`` of the model (columns o0, o1, ...) to every token, all its rows and columns kept.
 
     A model within the broadcast limit is broadcast and the tokens do not move. A larger one is
     fetched by the blocks of blocked tokens, and joined by a shuffle with others, rows of hot words
-    spread. ``rows`` is its row count if known. A word without a model row fails the job.
+    spread. ``rows`` is its row count if known. ``routes`` are the ``word_routes`` of blocked tokens, for callers that
+    look up several models. A word without a model row fails the job.
     """
     cols = matrix_columns(model, "o")
     model = model.select("word_id", *cols)
@@ -42,7 +43,7 @@ def lookup_model(tokens: DataFrame, model: DataFrame, rows: int | None = None) -
     if fits_broadcast(tokens.sparkSession, rows, len(cols)):
         found = tokens.join(F.broadcast(model), "word_id", "left")
     elif "block" in tokens.columns:
-        found = _gather_model(tokens, model, cols)
+        found = _gather_model(tokens, model, cols, routes)
     else:
         spread_by = F.struct(*[c for c in tokens.columns if c != "word_id"])
         found = skew_safe_join(tokens, model, "word_id", rows, len(cols), spread_by, how="left")
@@ -50,16 +51,29 @@ def lookup_model(tokens: DataFrame, model: DataFrame, rows: int | None = None) -
     return found.select(*tokens.columns, F.coalesce("o0", missing.cast("double")).alias("o0"), *cols[1:])
 
 
-def _gather_model(tokens: DataFrame, model: DataFrame, cols: Sequence[str]) -> DataFrame:
+def word_routes(tokens: DataFrame) -> DataFrame:
+    """``(word_id, blocks)``: the blocks of blocked tokens that use each word, ascending.
+
+    Partitioned by word. Persist it when several models are looked up: each then goes through one shuffle by word
+    and one to the blocks, and nothing is shuffled, sorted or made distinct on the side of the tokens.
+    """
+    used = tokens.select("block", "word_id").distinct()
+    return used.groupBy("word_id").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+
+
+def _gather_model(tokens: DataFrame, model: DataFrame, cols: Sequence[str], routes: DataFrame | None) -> DataFrame:
     """Bring each model row once to every block that uses the word.
 
-    Tokens stay in their blocks: only the words of a block go out and their model rows come
-    back, one per block and word however often the word occurs. A word is asked for at most
+    Tokens stay in their blocks: only the words of a block go out (or have gone, with ``routes``) and their model rows
+    come back, one per block and word however often the word occurs. A word is asked for at most
     once per block, so no join key is hot.
     """
-    needed = tokens.select("block", "word_id").distinct()
-    fetched = needed.join(model, "word_id", "left").repartitionById(block_count(tokens), "block")
-    return tokens.join(fetched.select("block", "word_id", *cols), ["block", "word_id"], "left")
+    if routes is None:
+        needed = tokens.select("block", "word_id").distinct().join(model, "word_id", "left")
+    else:
+        needed = routes.join(model, "word_id").withColumn("block", F.explode("blocks"))
+    fetched = needed.select("block", "word_id", *cols).repartitionById(block_count(tokens), "block")
+    return tokens.join(fetched, ["block", "word_id"], "left")
 
 
 def _projection_sums(cols: Sequence[str]) -> dict:
@@ -67,7 +81,9 @@ def _projection_sums(cols: Sequence[str]) -> dict:
     return {"len": F.sum("cnt"), **sums}
 
 
-def pair_moment_sketch(tokens: DataFrame, model: DataFrame, rows: int | None = None) -> DataFrame:
+def pair_moment_sketch(
+    tokens: DataFrame, model: DataFrame, rows: int | None = None, routes: DataFrame | None = None
+) -> DataFrame:
     """``(word_id, mu_sum, y0, ...)`` for every word of a document of two words or more.
 
     y_w = sum over documents of c/(len(len-1)) (x - model_w), x being the projected document,
@@ -84,7 +100,7 @@ def pair_moment_sketch(tokens: DataFrame, model: DataFrame, rows: int | None = N
         )
 
     used = join_document_sums(
-        tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows), shape=weigh
+        tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows, routes), shape=weigh
     )
     by_word = used.groupBy("word_id").agg(
         F.sum(F.col("cnt") / F.col("len")).alias("mu_sum"),
@@ -139,7 +155,11 @@ def mean_frequency(tokens: DataFrame, n_docs: int, min_len: float = 2) -> DataFr
 
 
 def project_docs(
-    tokens: DataFrame, model: DataFrame, divisors: np.ndarray | None = None, rows: int | None = None
+    tokens: DataFrame,
+    model: DataFrame,
+    divisors: np.ndarray | None = None,
+    rows: int | None = None,
+    routes: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, len, x0, ...)``: x = sum of cnt * model row, optionally divided by column.
 
@@ -148,7 +168,7 @@ def project_docs(
     cols = matrix_columns(model, "o")
     if divisors is not None:
         model = model.select("word_id", *[F.expr(f"{c} / {literal(s)}").alias(c) for c, s in zip(cols, divisors)])
-    return document_sums(tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows))
+    return document_sums(tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows, routes))
 
 
 def first_moment(proj: DataFrame, n_docs: int) -> DataFrame:
@@ -359,7 +379,9 @@ def third_moment(sums: DataFrame, m1: np.ndarray, alpha0: float) -> DataFrame:
     return _finish(table, value, n3, alpha0)
 
 
-def word_corrections(tokens: DataFrame, model: DataFrame, alpha0: float, rows: int | None = None) -> DataFrame:
+def word_corrections(
+    tokens: DataFrame, model: DataFrame, alpha0: float, rows: int | None = None, routes: DataFrame | None = None
+) -> DataFrame:
     """``(word_id, f, h, z0, ...)``: per word the sums of s3 c, s2 c and s3 c x over documents of three words or more."""
     cols = matrix_columns(model, "o")
     xs = named("x", len(cols))
@@ -371,7 +393,7 @@ def word_corrections(tokens: DataFrame, model: DataFrame, alpha0: float, rows: i
         )
 
     used = join_document_sums(
-        tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows), shape=weigh
+        tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows, routes), shape=weigh
     )
     return used.groupBy("word_id").agg(
         F.sum(F.col("cnt") * F.col("s3")).alias("f"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectral_topics.functions.columns import columns_to_cells, matrix_columns, named
+from spectral_topics.functions.skew import fits_broadcast
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.corpus import block_tokens, check_word_ids, count_documents
 from spectral_topics.operators.linalg import gaussian_matrix, orthonormalize, ridged, spectral_factor
@@ -24,6 +25,7 @@ from spectral_topics.operators.moments import (
     whitened_third_moment,
     word_correction_sums,
     word_corrections,
+    word_routes,
 )
 from spectral_topics.operators.recover import dirichlet_prior, factor_array, recover_topics, unwhiten
 from spectral_topics.operators.tensor import cp_als
@@ -59,13 +61,13 @@ class TopicModel:
 
 
 def corrected_sketch(
-    tokens: DataFrame, model: DataFrame, alpha0: float, n_docs: int, vocab_size: int
+    tokens: DataFrame, model: DataFrame, alpha0: float, n_docs: int, vocab_size: int, routes: DataFrame | None = None
 ) -> DataFrame:
     """One pass over the corpus: ``(word_id, y0, ...)``, the corrected pair moment times the model.
 
     Words without a usable document have no row, which stands for a zero row.
     """
-    sketch = materialize(pair_moment_sketch(tokens, model, rows=vocab_size), "sketch")
+    sketch = materialize(pair_moment_sketch(tokens, model, rows=vocab_size, routes=routes), "sketch")
     return correct_pair_moment(sketch, model, alpha0, n_docs).drop("mu")
 
 
@@ -78,6 +80,7 @@ def whiten(
     alpha0: float,
     seed: int = SEED,
     start: DataFrame | None = None,
+    routes: DataFrame | None = None,
 ) -> tuple[DataFrame, np.ndarray]:
     """Two-pass randomized range finder: ``(word_id, o0, ...)`` with k columns, and sigma.
 
@@ -90,10 +93,10 @@ def whiten(
     if len(matrix_columns(start, "o")) != k_prime:
         raise ValueError(f"the start matrix must have {k_prime} columns")
     start = materialize(start, "start")
-    first = corrected_sketch(tokens, start, alpha0, n_docs, vocab_size)
+    first = corrected_sketch(tokens, start, alpha0, n_docs, vocab_size, routes)
     basis = orthonormalize(first, "y").toDF("word_id", *named("o", k_prime))
     basis = materialize(every_word(basis, vocab_size), "basis")
-    second = corrected_sketch(tokens, basis, alpha0, n_docs, vocab_size)
+    second = corrected_sketch(tokens, basis, alpha0, n_docs, vocab_size, routes)
     model, sigma = spectral_factor(second, "y", k)
     return materialize(every_word(model, vocab_size), "model"), sigma
 
@@ -106,6 +109,7 @@ def project_and_contract(
     n_docs: int,
     vocab_size: int,
     variant: str = "reference",
+    routes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The third-moment tensor ``(i, j, l, val)`` and the projection matrix it was taken with.
 
@@ -122,12 +126,12 @@ def project_and_contract(
     if variant == "whitened":
         scaled = materialize(scaled, "whitener")
     # Stored: the sums may read it once for each range of the tensor.
-    proj = materialize(project_docs(tokens, scaled, rows=vocab_size), "projected")
+    proj = materialize(project_docs(tokens, scaled, rows=vocab_size, routes=routes), "projected")
     sums = materialize(third_moment_sums(proj, alpha0), "sums")
     m1 = first_moment_of_sums(sums, len(cols), n_docs)
     if variant == "reference":
         return third_moment(sums, m1, alpha0), model
-    words = materialize(word_corrections(tokens, scaled, alpha0, rows=vocab_size), "words")
+    words = materialize(word_corrections(tokens, scaled, alpha0, rows=vocab_size, routes=routes), "words")
     return whitened_third_moment(sums, word_correction_sums(words, scaled), m1, alpha0), scaled
 
 
@@ -163,9 +167,13 @@ def fit(
     corpus = block_tokens(check_word_ids(tokens, vocab_size), partitions)
     # Sorted once here, the joins of every pass need neither shuffle nor sort of the tokens.
     corpus = corpus.sortWithinPartitions("block", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    routes = None
+    if not fits_broadcast(spark, vocab_size, k_prime):
+        # Every pass fetches a model by block: which blocks need which word is found out once.
+        routes = word_routes(corpus).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model, sigma = whiten(corpus, n_docs, vocab_size, k, k_prime, alpha0, seed, start)
-        tensor, projection = project_and_contract(corpus, model, sigma, alpha0, n_docs, vocab_size, variant)
+        model, sigma = whiten(corpus, n_docs, vocab_size, k, k_prime, alpha0, seed, start, routes)
+        tensor, projection = project_and_contract(corpus, model, sigma, alpha0, n_docs, vocab_size, variant, routes)
         cp = cp_als(
             tensor, k, tol, max_iter, rho, start=als_start, symmetric=True, shape=(k, k, k), hard_cap=hard_cap
         )
@@ -173,6 +181,8 @@ def fit(
         factors = materialize(factors, "factors")
     finally:
         corpus.unpersist()
+        if routes is not None:
+            routes.unpersist()
     weights = [(t, float(v)) for t, v in enumerate(cp.lambdas)]
     alpha = dirichlet_prior(spark.createDataFrame(weights, "topic int, lambda double"), alpha0)
     topics = recover_topics(factors, iterations)

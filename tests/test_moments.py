@@ -113,6 +113,41 @@ def test_every_layout_gives_the_same_moments(spark, layout):
     assert all(raw.get(w, 0.0) == pytest.approx(v, abs=1e-12) for w, v in enumerate(expected))
 
 
+def moved_caches(df):
+    """How many persisted tables ``df`` reads, and how many of them it shuffled before a join or sum, as it ran."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0].splitlines()
+    read = moved = 0
+    for at, line in enumerate(lines):
+        if "TableCacheQueryStage" in line:
+            last = max(i for i in range(at) if "Join" in lines[i] or "Aggregate" in lines[i])
+            read += 1
+            moved += any("Exchange" in between for between in lines[last:at])
+    return read, moved
+
+
+@pytest.mark.parametrize("hot", [None, 100])
+def test_routes_give_the_same_without_moving_tokens(spark, no_broadcast, hot):
+    """With routes kept, a pass shuffles only the model, its rows to the blocks, and the sums per word."""
+    data = Corpus(spark, 3)
+    tokens = corpus.block_tokens(data.tokens, min_hot_rows=hot).persist()
+    routes = moments.word_routes(tokens).persist()
+    assert {r["word_id"]: r["blocks"] for r in routes.collect()} == {
+        w: sorted({r["block"] for r in tokens.where(tokens["word_id"] == w).collect()}) for w in {r["word_id"] for r in tokens.collect()}
+    }
+    y, _ = pair_sketch(data.c, data.model)
+    sketch = moments.pair_moment_sketch(tokens, data.table, rows=data.d, routes=routes)
+    np.testing.assert_allclose(matrix(sketch, "y", rows=data.d), y, atol=1e-12)
+    x = matrix(moments.project_docs(tokens, data.table, routes=routes), "x", "doc_id", data.n)
+    np.testing.assert_allclose(x, data.c @ data.model, atol=1e-10)
+    if hot is None:
+        found = moments.project_docs(tokens, data.table, rows=data.d, routes=routes)
+        read, moved = moved_caches(found)
+        assert read >= 2 and moved == 0
+    routes.unpersist()
+    tokens.unpersist()
+
+
 def test_alpha0_zero_still_divides_by_documents(spark):
     data = Corpus(spark, 2)
     found = moments.correct_pair_moment(moments.pair_moment_sketch(data.tokens, data.table), data.table, 0.0, data.n)

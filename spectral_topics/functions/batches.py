@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -15,10 +16,22 @@ def numpy_batches(
 
     More threads than cores slow each other down, and a thread pool in a forked worker can hang.
     """
+    _one_thread(df)
+    return df.mapInPandas(function, schema)
+
+
+def arrow_batches(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """``mapInArrow`` with one BLAS thread per task."""
+    _one_thread(df)
+    return df.mapInArrow(function, schema)
+
+
+def _one_thread(df: DataFrame) -> None:
     environment = df.sparkSession.sparkContext.environment
     for name in ("OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "OMP_NUM_THREADS"):
         environment.setdefault(name, "1")
-    return df.mapInPandas(function, schema)
 
 
 def merge_small_partitions(df: DataFrame) -> DataFrame:

@@ -103,9 +103,12 @@ def join_document_sums(
     sums: Mapping[str, Column],
     enrich: Callable[[DataFrame], DataFrame] | None = None,
     shape: Callable[[DataFrame], DataFrame] | None = None,
+    onto: DataFrame | None = None,
 ) -> DataFrame:
     """Attach per-document sums to every token of the document.
 
+    ``onto`` are the blocked tokens with more columns, if those are wanted in the result.
+
     ``shape`` filters or rewrites the per-document rows before the join. Sums of spread
     documents (fewer than blocks) are broadcast to the blocks that hold their tokens if they fit.
     """
@@ -123,7 +126,7 @@ def join_document_sums(
         )
     if shape:
         per_doc = shape(per_doc)
-    return blocked.join(per_doc, ["block", "doc_id"])
+    return (blocked if onto is None else onto).join(per_doc, ["block", "doc_id"])
 
 
 def doc_stats(docs: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectral_topics.functions.batches import merge_small_partitions, numpy_batches
 from spectral_topics.functions.columns import CONSTANT_CELLS, constants, literal, matrix_columns, named, row_to_cells
+from spectral_topics.functions.segments import SPLIT, sum_by_key, sum_sorted, vec_cells, words_of_documents, words_of_vectors
 from spectral_topics.functions.skew import fits_broadcast, skew_safe_join
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.corpus import (
@@ -25,30 +26,36 @@ from spectral_topics.operators.linalg import MAX_SUM_COLUMNS
 
 # Memory for one partial tensor in a Python worker.
 TENSOR_BYTES = 256 << 20
+# Wider models are carried as one array and added up in numpy (functions/segments.py).
+MAX_MODEL_COLUMNS = 100
 # Cells of a partial tensor in one row of the shuffle that adds them up.
 CHUNK_CELLS = 1 << 17
 
 
-def lookup_model(tokens: DataFrame, model: DataFrame, rows: int | None = None, routes: DataFrame | None = None) -> DataFrame:
+def lookup_model(
+    tokens: DataFrame, model: DataFrame, rows: int | None = None, routes: DataFrame | None = None, width: int | None = None
+) -> DataFrame:
     """Attach row ``word_id`` of the model (columns o0, o1, ...) to every token, all its rows and columns kept.
 
     A model within the broadcast limit is broadcast and the tokens do not move. A larger one is
     fetched by the blocks of blocked tokens, and joined by a shuffle with others, rows of hot words
     spread. ``rows`` is its row count if known. ``routes`` are the ``word_routes`` of blocked tokens, for callers that
-    look up several models. A word without a model row fails the job.
+    look up several models. ``width`` says how many numbers a model row has if o0 is an array of them all.
+    A word without a model row fails the job.
     """
     cols = matrix_columns(model, "o")
+    width = width or len(cols)
     model = model.select("word_id", *cols)
     rows = model.count() if rows is None else rows
-    if fits_broadcast(tokens.sparkSession, rows, len(cols)):
+    if fits_broadcast(tokens.sparkSession, rows, width):
         found = tokens.join(F.broadcast(model), "word_id", "left")
     elif "block" in tokens.columns:
         found = _gather_model(tokens, model, cols, routes)
     else:
         spread_by = F.struct(*[c for c in tokens.columns if c != "word_id"])
-        found = skew_safe_join(tokens, model, "word_id", rows, len(cols), spread_by, how="left")
+        found = skew_safe_join(tokens, model, "word_id", rows, width, spread_by, how="left")
     missing = F.raise_error(F.concat(F.lit("no row in the model for word id "), F.coalesce(F.col("word_id").cast("string"), F.lit("null"))))
-    return found.select(*tokens.columns, F.coalesce("o0", missing.cast("double")).alias("o0"), *cols[1:])
+    return found.select(*tokens.columns, F.coalesce("o0", missing.cast(model.schema["o0"].dataType)).alias("o0"), *cols[1:])
 
 
 def word_routes(tokens: DataFrame) -> DataFrame:
@@ -91,6 +98,15 @@ def pair_moment_sketch(
     The word's own model row is subtracted after the group-by, once per word.
     """
     cols = matrix_columns(model, "o")
+    if len(cols) > MAX_MODEL_COLUMNS:
+        pair = pair_weight(F.col("len"))
+        weights = {"mu_sum": F.when(F.col("len") >= 2, 1.0 / F.col("len")), "own": pair}
+        summed = _wide_word_sums(tokens, model, weights, pair, rows, routes)
+        return summed.join(model.select("word_id", *cols), "word_id").select(
+            "word_id",
+            "mu_sum",
+            *[(x - F.col("own") * F.col(c)).alias(f"y{j}") for j, (x, c) in enumerate(zip(vec_cells(len(cols)), cols))],
+        )
     xs = named("x", len(cols))
 
     def weigh(per_doc: DataFrame) -> DataFrame:
@@ -114,6 +130,44 @@ def pair_moment_sketch(
     )
 
 
+def _packed(model: DataFrame) -> DataFrame:
+    """``(word_id, o0)``, o0 being the whole model row as an array."""
+    return model.select("word_id", F.array(*matrix_columns(model, "o")).alias("o0"))
+
+
+def _wide_word_sums(
+    tokens: DataFrame, model: DataFrame, weights: dict, scale: Column, rows: int | None, routes: DataFrame | None
+) -> DataFrame:
+    """``(word_id, weights..., vec)`` per word: sums of cnt * weight, and of cnt * scale * x with the document's x.
+
+    Weights are functions of the document's ``len``, null where a document doesn't count. Tokens pass once:
+    a document's x is summed, and handed to its words, while its tokens stream by. Only documents that are spread over
+    blocks are summed first and joined back.
+    """
+    width, names = len(matrix_columns(model, "o")), list(weights)
+    cells = [f"w{i}" for i in range(len(names))]
+
+    def weigh(per_doc: DataFrame) -> DataFrame:
+        given = [w.alias(c) for w, c in zip(weights.values(), cells)]
+        return per_doc.select("block", "doc_id", "n", *given, scale.alias("scale"))
+
+    blocked = block_tokens(tokens)
+    packed = _packed(model)
+    rows = packed.count() if rows is None else rows
+    found = lookup_model(blocked, packed, rows, routes, width).withColumnRenamed("o0", "vec")
+    # The join by document comes last: it leaves the tokens of a document together and in order.
+    weighed = join_document_sums(blocked, {"len": F.sum("cnt"), "n": F.count(F.lit(1))}, shape=weigh, onto=found)
+    whole = weighed.where(~F.col("spread")) if "spread" in blocked.columns else weighed
+    summed = words_of_documents(whole.sortWithinPartitions("block", "doc_id"), [*cells, "scale"], names, width)
+    if "spread" in blocked.columns:
+        totals = sum_by_key(found.where("spread"), "doc_id", [], width, weight="cnt")
+        if fits_broadcast(tokens.sparkSession, blocked.schema["spread"].metadata["documents"], width):
+            totals = F.broadcast(totals)
+        split = weighed.where("spread").drop("vec").join(totals, "doc_id")
+        summed = summed.unionByName(words_of_vectors(split, [*cells, "scale"], names, width))
+    return sum_by_key(summed, "word_id", names, width, summed=True)
+
+
 def correct_pair_moment(sketch: DataFrame, model: DataFrame, alpha0: float, n_docs: int) -> DataFrame:
     """``(word_id, mu, y0, ...)``: the Dirichlet-corrected sketch.
 
@@ -168,9 +222,32 @@ def project_docs(
     cols = matrix_columns(model, "o")
     if divisors is not None:
         model = model.select("word_id", *[F.expr(f"{c} / {literal(s)}").alias(c) for c, s in zip(cols, divisors)])
+    if len(cols) > MAX_MODEL_COLUMNS:
+        return _wide_document_sums(tokens, model, rows, routes)
     return document_sums(tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows, routes))
 
 
+def _wide_document_sums(tokens: DataFrame, model: DataFrame, rows: int | None, routes: DataFrame | None) -> DataFrame:
+    """Blocked documents are summed where they are; others, and those spread over blocks, within partitions first."""
+    width = len(matrix_columns(model, "o"))
+    packed = _packed(model)
+    rows = packed.count() if rows is None else rows
+    found = lookup_model(tokens, packed, rows, routes, width).withColumnRenamed("o0", "vec")
+    found = found.withColumn("len", F.col("cnt").cast("double"))
+    if "block" not in tokens.columns:
+        summed = sum_by_key(found, "doc_id", ["len"], width, weight="cnt")
+    else:
+        # The join by document leaves its tokens together; that all n of them are is checked on the sums.
+        counted = join_document_sums(tokens, {"n": F.count(F.lit(1)).cast("double")}, onto=found.withColumn("one", F.lit(1.0)))
+        whole = counted.where(~F.col("spread")) if "spread" in tokens.columns else counted
+        summed = sum_sorted(whole.sortWithinPartitions("block", "doc_id"), "doc_id", ["len", "one", "n"], width, weight="cnt")
+        together = F.when(F.col("one") * F.col("one") == F.col("n"), F.col("len")).otherwise(F.raise_error(F.lit(SPLIT)))
+        summed = summed.select("doc_id", together.alias("len"), "vec")
+        if "spread" in tokens.columns:
+            summed = summed.unionByName(sum_by_key(found.where("spread"), "doc_id", ["len"], width, weight="cnt"))
+    return summed.select("doc_id", "len", *[x.alias(f"x{j}") for j, x in enumerate(vec_cells(width))])
+
+
 def first_moment(proj: DataFrame, n_docs: int) -> DataFrame:
     """``(i, val)``: mean of x/len over all documents; a document of length 0 counts as a zero vector."""
     cols = matrix_columns(proj, "x")
@@ -384,6 +461,10 @@ def word_corrections(
 ) -> DataFrame:
     """``(word_id, f, h, z0, ...)``: per word the sums of s3 c, s2 c and s3 c x over documents of three words or more."""
     cols = matrix_columns(model, "o")
+    if len(cols) > MAX_MODEL_COLUMNS:
+        s2, s3 = dirichlet_weights(F.col("len"), alpha0)
+        summed = _wide_word_sums(tokens, model, {"f": s3, "h": s2}, s3, rows, routes)
+        return summed.select("word_id", "f", "h", *[z.alias(f"z{j}") for j, z in enumerate(vec_cells(len(cols)))])
     xs = named("x", len(cols))
 
     def weigh(per_doc: DataFrame) -> DataFrame:

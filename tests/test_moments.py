@@ -2,10 +2,12 @@ import itertools
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import corrected, counts, matrix, pair_sketch, projected_tensor, word_corrected_tensor
 from pyspark.errors import PySparkException
 
+from spectral_topics.functions import segments
 from spectral_topics.operators import corpus, linalg, moments
 
 TOKENS = [(1, 0, 2.0), (1, 1, 1.0), (2, 1, 2.0), (2, 2, 2.0), (3, 0, 1.0), (5, 0, 1.0), (5, 2, 1.0)]
@@ -247,3 +249,60 @@ def test_wide_third_moment_adds_dense_chunks(spark, monkeypatch):
     pair = np.einsum("d,di,dj->ij", s2, u, u)
     assert all(found["p2", i, j, -1] == pytest.approx(pair[i, j], abs=1e-12) for i in range(k) for j in range(i, k))
     assert found["n3", -1, -1, -1] == used.sum() and found["h1", 7, -1, -1] == pytest.approx(s2 @ u[:, 7])
+
+
+def test_wide_models_give_the_same_as_narrow_ones(spark, layout, monkeypatch):
+    """Sums as numpy segments, in every layout; with pieces of ten rows documents cross pieces and sums are sent on early."""
+    data = Corpus(spark, 4)
+    narrow = [
+        matrix(f(layout(data.tokens)), prefix, key)
+        for f, prefix, key in (
+            (lambda t: moments.pair_moment_sketch(t, data.table), "y", "word_id"),
+            (lambda t: moments.word_corrections(t, data.table, 0.8), "z", "word_id"),
+            (lambda t: moments.project_docs(t, data.table), "x", "doc_id"),
+        )
+    ]
+    scalars = sorted(tuple(r) for r in moments.word_corrections(layout(data.tokens), data.table, 0.8).select("word_id", "f", "h").collect())
+    monkeypatch.setattr(moments, "MAX_MODEL_COLUMNS", 3)
+    monkeypatch.setattr(segments, "PIECE_CELLS", 40)
+    monkeypatch.setattr(segments, "HELD_CELLS", 80)
+    tokens = layout(data.tokens)
+    sketch = moments.pair_moment_sketch(tokens, data.table)
+    plan = sketch._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    np.testing.assert_allclose(matrix(sketch, "y"), narrow[0], atol=1e-12)
+    mu = pair_sketch(data.c, data.model)[1]
+    assert all(r["mu_sum"] == pytest.approx(mu[r["word_id"]], abs=1e-12) for r in sketch.collect())
+    corrections = moments.word_corrections(tokens, data.table, 0.8)
+    np.testing.assert_allclose(matrix(corrections, "z"), narrow[1], atol=1e-12)
+    np.testing.assert_allclose(np.array(sorted(tuple(r) for r in corrections.select("word_id", "f", "h").collect())), np.array(scalars), atol=1e-12)
+    projected = moments.project_docs(tokens, data.table)
+    np.testing.assert_allclose(matrix(projected, "x", "doc_id"), narrow[2], atol=1e-10)
+    lengths = data.c.sum(axis=1)
+    assert all(r["len"] == lengths[r["doc_id"]] for r in projected.collect())
+
+
+def test_wide_models_refuse_unknown_words_and_take_empty_tables(spark, mini, monkeypatch):
+    monkeypatch.setattr(moments, "MAX_MODEL_COLUMNS", 1)
+    tokens, model = mini
+    for bad in (model.where("word_id < 2"), model.where("word_id > 0")):
+        with pytest.raises(PySparkException, match="no row in the model"):
+            moments.pair_moment_sketch(tokens, bad).collect()
+        with pytest.raises(PySparkException, match="no row in the model"):
+            moments.project_docs(tokens, bad).collect()
+    none = tokens.where("doc_id > 99")
+    assert moments.pair_moment_sketch(none, model).collect() == [] and moments.project_docs(none, model).collect() == []
+
+
+def test_documents_that_were_torn_apart_fail(spark):
+    rows = [(d, 2, w, 1.0, 1.0, 1.0, [1.0, 2.0]) for w in range(2) for d in range(3)]
+    tokens = spark.createDataFrame(rows, "doc_id long, n long, word_id long, cnt double, w0 double, scale double, vec array<double>").coalesce(1)
+    with pytest.raises(PySparkException, match="not together"):
+        segments.words_of_documents(tokens, ["w0", "scale"], ["s"], 2).collect()
+    found = segments.words_of_documents(tokens.sortWithinPartitions("doc_id"), ["w0", "scale"], ["s"], 2)
+    assert {r["word_id"]: (r["s"], r["vec"]) for r in found.collect()} == {w: (3.0, [6.0, 12.0]) for w in range(2)}
+
+
+def test_stretches_of_keys():
+    assert segments._heads(pa.array([None, None, 1, 1, None, 2])).tolist() == [0, 2, 4, 5]
+    assert segments._heads(pa.array(["a"])).tolist() == [0]

@@ -16,7 +16,7 @@ def numpy_batches(
 
     More threads than cores slow each other down, and a thread pool in a forked worker can hang.
     """
-    _one_thread(df)
+    one_thread(df)
     return df.mapInPandas(function, schema)
 
 
@@ -24,11 +24,12 @@ def arrow_batches(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` with one BLAS thread per task."""
-    _one_thread(df)
+    one_thread(df)
     return df.mapInArrow(function, schema)
 
 
-def _one_thread(df: DataFrame) -> None:
+def one_thread(df: DataFrame) -> None:
+    """One BLAS thread in Python workers."""
     environment = df.sparkSession.sparkContext.environment
     for name in ("OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "OMP_NUM_THREADS"):
         environment.setdefault(name, "1")

@@ -1,7 +1,7 @@
 """CP decomposition of an order-3 tensor stored as cells ``(i, j, l, val)``.
 
 Factors are tall matrices ``(idx, f0, f1, ...)``. ``cp_als`` keeps factors of small modes as
-driver arrays and those of long modes as tables in shared storage.
+driver arrays and those of long modes as tables in shared storage, next to three layouts of the tensor (fibres.py).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from spectral_topics.functions.columns import matrix_columns, named
 from spectral_topics.functions.dense import one_blas_thread
 from spectral_topics.functions.skew import skew_safe_join
 from spectral_topics.functions.storage import materialize
+from spectral_topics.operators.fibres import MODES, Fibres, merged_cells
 from spectral_topics.operators.linalg import (
     INDEPENDENT,
     gaussian_matrix,
@@ -30,7 +31,6 @@ from spectral_topics.operators.linalg import (
     require_nonzero,
 )
 
-MODES = ("i", "j", "l")
 # Singular values below this are treated as zero in the pseudo-inverse (fixed value).
 PINV_TOLERANCE = 1e-6
 # Factors up to this many cells are kept on the driver between updates.
@@ -284,6 +284,7 @@ def cp_als(
     one_blas_thread()
     spark = tensor.sparkSession
     tensor = materialize(tensor.select("i", "j", "l", "val"), "tensor").persist()
+    layouts: list[Fibres] = []
     try:
         shape = _checked_shape(tensor, shape)
         if rank > min(shape[1:]):
@@ -295,6 +296,10 @@ def cp_als(
             _start(spark, b_start, shape[1], rank, seed, local),
             _start(spark, c_start, shape[2], rank, seed + 1, local),
         ]
+        if not local:
+            cells = materialize(merged_cells(tensor), "cells")
+            layouts += [Fibres(cells, mode) for mode in range(3)]
+            tensor.unpersist()
         empty_a = LocalFactor(spark, np.zeros((shape[0], rank))) if local else None
         lambdas, previous, converged, n_iter = np.zeros(rank), None, False, 0
         limit = max_iter if max_iter > 0 else hard_cap
@@ -304,11 +309,11 @@ def cp_als(
                 converged = True
                 break
             previous = factors[0] or empty_a
-            factors[0], lambdas = _updated(tensor, factors, 0, rho, shape, empty_a)
+            factors[0], lambdas = _updated(tensor, layouts, factors, 0, rho, shape, empty_a)
             if n_iter == limit:
                 break
             for mode in (1, 2):
-                factors[mode] = _updated(tensor, factors, mode, rho, shape, factors[mode])[0].orthonormal()
+                factors[mode] = _updated(tensor, layouts, factors, mode, rho, shape, factors[mode])[0].orthonormal()
         if not converged and max_iter <= 0:
             warnings.warn(f"stopped after {n_iter} iterations without convergence", stacklevel=2)
         a, b, c = (f.table for f in factors)
@@ -321,6 +326,8 @@ def cp_als(
         return CPResult(a, b, c, lambdas, n_iter, converged)
     finally:
         tensor.unpersist()
+        for layout in layouts:
+            layout.close()
 
 
 def _checked_shape(tensor: DataFrame, shape: tuple[int, int, int] | None) -> tuple[int, int, int]:
@@ -340,14 +347,14 @@ def require_independent(diagonal: np.ndarray, norms: np.ndarray) -> None:
         raise ValueError(f"the {len(diagonal)} columns are linearly dependent; use a smaller rank")
 
 
-def _updated(tensor, factors, mode, rho, shape, holder):
-    """One normalised factor update; ``holder`` says where the result is kept."""
+def _updated(tensor, layouts, factors, mode, rho, shape, holder):
+    """One normalised factor update; ``holder`` says where the result is kept, ``layouts`` serve factors in tables."""
     first, second = other_modes(mode)
     weights = update_matrix(factors[first].gram(), factors[second].gram(), rho)
     fixed = [None if m == mode else f for m, f in enumerate(factors)]
     if isinstance(fixed[first], LocalFactor):
         sums = mttkrp_arrays(tensor, [f and f.values for f in fixed], mode, shape[mode])
     else:
-        sums = mttkrp(tensor, [f and f.table for f in fixed], mode, shape)
+        sums = layouts[mode].mttkrp([f and f.table for f in fixed])
     holder = holder or TableFactor(factors[first].table, shape[mode])
     return holder.updated(sums, weights).normalized()

@@ -4,6 +4,7 @@ from brute import matrix
 from pyspark.errors import PySparkException
 
 from spectral_topics.functions import skew
+from spectral_topics.operators import fibres
 from spectral_topics.operators import tensor as T
 
 
@@ -151,3 +152,60 @@ def test_slices(spark):
     np.testing.assert_array_equal(matrix(merged, "f", "idx"), f)
     with pytest.raises(PySparkException, match="more than one slice"):
         T.merge_slices(whole, whole.where("idx = 3")).collect()
+
+
+@pytest.fixture
+def skewed(spark):
+    """Two modes of a million indexes; index 7 of the first holds a third of the cells, pair (7, 3) a sixth; repeated cells."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    i, j, l = rng.integers(0, 1_000_000, n), rng.integers(0, 1_000_000, n), rng.integers(0, 50, n)
+    i[: n // 3], j[: n // 6] = 7, 3
+    rows = [(*map(int, at), float(v)) for *at, v in zip(i, j, l, rng.normal(size=n))]
+    table = spark.createDataFrame(rows, "i int, j int, l int, val double")
+    frames = [
+        spark.range(size).selectExpr("cast(id as int) AS idx", *[f"sin(id * {1.3 + r} + {m}) AS f{r}" for r in range(2)])
+        for m, size in enumerate((1_000_000, 1_000_000, 50))
+    ]
+    return rows, table, frames
+
+
+@pytest.mark.parametrize("mode", [0, 1, 2])
+def test_fibres_of_long_modes(spark, skewed, mode, monkeypatch):
+    """Equal to the sums cell by cell, hot indexes spread; cells are not shuffled once they are laid out."""
+    rows, table, frames = skewed
+    monkeypatch.setattr(fibres, "FIBRE_SPAN", 1 << 12)
+    monkeypatch.setattr(fibres, "PIECE_CELLS", 64)
+    cells = fibres.merged_cells(table)
+    layout = fibres.Fibres(cells, mode, min_hot_rows=100)
+    found = layout.mttkrp(frames)
+    expected = {}
+    others = [m for m in range(3) if m != mode]
+    for *at, val in rows:
+        value = val * np.prod([[np.sin(at[m] * (1.3 + r) + m) for r in range(2)] for m in others], axis=0)
+        expected[at[mode]] = expected.get(at[mode], 0.0) + value
+    got = {r["idx"]: (r["f0"], r["f1"]) for r in found.collect()}
+    assert got.keys() == expected.keys()
+    assert all(np.allclose(got[x], expected[x], atol=1e-10) for x in got)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    start = next(n for n, line in enumerate(lines) if "CoGroups" in line)
+    above = lines[start : next(n for n, line in enumerate(lines) if n > start and "TableCache" in line)]
+    assert not any("Exchange" in line for line in above)
+    sizes = layout.table.selectExpr("block", "size(b) AS n").groupBy("block").sum("n").collect()
+    assert max(r[1] for r in sizes) < 0.6 * len(rows)
+    layout.close()
+
+
+def test_fibres_need_every_factor_row(spark, problem):
+    values, factors = problem
+    layout = fibres.Fibres(fibres.merged_cells(cells(spark, values)), 0)
+    frames = [factor(spark, f) for f in factors]
+    np.testing.assert_allclose(matrix(layout.mttkrp(frames), "f", "idx"), mttkrp(values, factors, 0), atol=1e-12)
+    for short, name in ((1, "j"), (2, "l")):
+        lacking = [f.where("idx != 2") if m == short else f for m, f in enumerate(frames)]
+        with pytest.raises(PySparkException, match=f"no factor row for {name} = 2"):
+            layout.mttkrp(lacking).collect()
+    layout.close()
+    none = fibres.Fibres(fibres.merged_cells(cells(spark, values).where("i > 99")), 0)
+    assert none.mttkrp(frames).collect() == []
+    none.close()

@@ -9,6 +9,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from spectral_topics.functions.storage import Scratch
 from spectral_topics.plans.model import SEED, VARIANTS, fit
 from spectral_topics.sources.text import read_bow_text
 
@@ -28,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--hard_cap", type=int, help="bound on iterations until convergence; reaching it is an error")
     p.add_argument("--seed", type=int, default=SEED)
     p.add_argument("--variant", choices=VARIANTS, default="reference")
+    p.add_argument("--run", help="name of the run: started again under it, a fit that broke off goes on from its last finished table")
     p.add_argument("--mode", choices=("failfast", "permissive"), default="failfast")
     return p
 
@@ -35,23 +37,24 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("spectral_topics").getOrCreate()
-    docs, tokens = read_bow_text(spark, args.input, args.mode)
-    model = fit(
-        docs,
-        tokens,
-        k=args.k,
-        k_prime=args.kprime,
-        alpha0=args.alpha0,
-        vocab_size=args.d,
-        rho=args.rho,
-        tol=args.tolerance,
-        max_iter=args.max_iterations,
-        partitions=args.partitions,
-        seed=args.seed,
-        variant=args.variant,
-        hard_cap=args.hard_cap,
-    )
-    model.write_text(args.output)
+    with Scratch(spark, args.run):
+        docs, tokens = read_bow_text(spark, args.input, args.mode)
+        model = fit(
+            docs,
+            tokens,
+            k=args.k,
+            k_prime=args.kprime,
+            alpha0=args.alpha0,
+            vocab_size=args.d,
+            rho=args.rho,
+            tol=args.tolerance,
+            max_iter=args.max_iterations,
+            partitions=args.partitions,
+            seed=args.seed,
+            variant=args.variant,
+            hard_cap=args.hard_cap,
+        )
+        model.write_text(args.output)
     if not model.converged and args.max_iterations <= 0:
         raise SystemExit(f"no convergence after {model.n_iter} iterations; the model written is that of the last one")
 

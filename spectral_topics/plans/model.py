@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spectral_topics.functions.columns import columns_to_cells, matrix_columns, named
 from spectral_topics.functions.skew import fits_broadcast
-from spectral_topics.functions.storage import materialize
+from spectral_topics.functions.storage import current_run, materialize
 from spectral_topics.operators.corpus import block_tokens, check_word_ids, count_documents
 from spectral_topics.operators.linalg import gaussian_matrix, orthonormalize, ridged, spectral_factor
 from spectral_topics.operators.moments import (
@@ -159,11 +159,22 @@ def fit(
     repeated document ids. ``hard_cap`` bounds a decomposition that would run until it converges.
     ``start`` and ``als_start`` replace the seeded random starts. ``iterations`` is the number of
     ADMM rounds in recovery (None: exact projection).
+
+    Inside a ``Scratch`` of a name a fit that broke off goes on from its last finished table; one of other settings,
+    documents or tokens raises. Use the model inside it.
     """
     spark = tokens.sparkSession
     n_docs = count_documents(docs)
     if vocab_size is None:
         vocab_size = int(tokens.agg(F.max("word_id")).first()[0]) + 1
+    if run := current_run():
+        # Equal whatever the order of the tokens, and exact.
+        digest = tokens.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("doc_id", "word_id", "cnt")), F.sum(F.xxhash64("doc_id", "word_id", "cnt").cast("decimal(38,0)"))).first()
+        run.expect({
+            "k": k, "k_prime": k_prime, "alpha0": alpha0, "vocab_size": vocab_size, "rho": rho, "tol": tol, "max_iter": max_iter,
+            "seed": seed, "variant": variant, "iterations": iterations, "hard_cap": hard_cap, "started": [start is not None, als_start is not None],
+            "n_docs": n_docs, "tokens": [str(v) for v in digest],
+        })
     corpus = block_tokens(check_word_ids(tokens, vocab_size), partitions)
     # Sorted once here, the joins of every pass need neither shuffle nor sort of the tokens.
     corpus = corpus.sortWithinPartitions("block", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)

@@ -8,7 +8,9 @@ from test_tensor import factor, gram_schmidt, reference_als
 
 from spectral_topics import fit
 from spectral_topics.__main__ import main
+from spectral_topics.functions.storage import Scratch, materialize, shared_folder
 from spectral_topics.operators.corpus import block_tokens, doc_terms
+from spectral_topics.plans import model as plans
 from spectral_topics.plans.model import whiten
 
 
@@ -152,3 +154,46 @@ def test_command_line(spark, data, tmp_path):
 def test_merged_tokens_equal_raw_tokens(spark, data):
     _, tokens, rows, _ = data
     assert doc_terms(tokens).count() == len(rows)
+
+
+def test_a_broken_fit_goes_on(spark, monkeypatch):
+    """Lost after whitening: the second attempt reads what was finished, gives the same model, and leaves no table."""
+    rows, _ = lda(300, 12, (0.5, 0.3), seed=4)
+    docs = spark.range(300).withColumnRenamed("id", "doc_id")
+    tokens = spark.createDataFrame(rows, "doc_id long, word_id long, cnt double")
+    settings = {"k": 2, "k_prime": 3, "alpha0": 0.8, "vocab_size": 12, "max_iter": 3}
+    expected = dense(fit(docs, tokens, **settings).beta, 12, 2)
+
+    def lost(*_):
+        raise ConnectionError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plans, "third_moment_sums", lost)
+        with pytest.raises(ConnectionError), Scratch(spark, "broken") as first:
+            fit(docs, tokens, **settings)
+    assert first.stored == 6 and first.reused == 0
+    with pytest.raises(ValueError, match="other settings"), Scratch(spark, "broken"):
+        fit(docs, tokens, **(settings | {"alpha0": 0.9}))
+    with pytest.raises(ValueError, match="other settings"), Scratch(spark, "broken"):
+        fit(docs, tokens.union(tokens.limit(1)), **settings)
+    with Scratch(spark, "broken") as second:
+        found = dense(fit(docs, tokens.repartition(3), **settings).beta, 12, 2)
+    assert second.reused == 6 and second.stored > 6
+    np.testing.assert_allclose(found, expected, atol=1e-9)
+    path, files = second._at(shared_folder(spark))
+    assert not [s for s in files.listStatus(path) if "run-broken" in s.getPath().getName()]
+
+
+def test_an_unfinished_table_is_computed_again(spark):
+    table = spark.range(5)
+    with pytest.raises(KeyError), Scratch(spark, "half") as run:
+        materialize(table, "numbers")
+        marker, files = run._at(f"{run.folder}/0001-numbers/_SUCCESS")
+        files.delete(marker, False)
+        raise KeyError
+    with Scratch(spark, "half") as again:
+        assert materialize(table, "numbers").count() == 5 and again.reused == 0
+        with pytest.raises(RuntimeError, match="open already"), Scratch(spark):
+            pass
+        assert materialize(table, "numbers").count() == 5 and again.stored == 2
+    assert materialize(table, "numbers").count() == 5

@@ -14,6 +14,10 @@ kernel against all landmarks is one matrix product, and the regression another;
 between them, the landmarks and weights are multiplied once beforehand, and each batch takes a
 single product with a table of SLOTS rows and a column for each language.
 
+A text of more than ``SCORED`` characters is cut into even pieces of at most that many, each with the n-grams that begin in
+it, and its regression values are the mean of theirs. The presences of a whole long text would fill all slots, in
+any language; those of a piece can't.
+
 Defined results
 - A null text, or one without a letter, is ``und`` with score 0; so is everything if nothing could be learned.
 - Labels that are null teach nothing. Ties between languages go to the first by name.
@@ -23,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 import functools
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,6 +53,8 @@ RIDGE = 1e-3
 BATCH = 64
 #: Characters hashed at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
+#: Characters of a text, or a piece of it, that are scored as one row.
+SCORED = 8192
 #: Turns differences of regression values into odds.
 SHARPNESS = 4.0
 UNDETERMINED = "und"
@@ -147,19 +154,36 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
     return LanguageModel(names, (landmarks.T @ (root @ solved)).astype(np.float32))
 
 
+def pieces_of(text: str) -> Iterator[str]:
+    """Even pieces that cover a text; each goes on into the next so that no n-gram is lost."""
+    count = max(1, -(-len(text) // SCORED))
+    edges = [len(text) * i // count for i in range(count + 1)]
+    for start, end in zip(edges, edges[1:]):
+        yield text[start : end + max(NGRAMS) - 1]
+
+
+def regression_values(model: LanguageModel, texts: list[str], presences: Presences) -> tuple[np.ndarray, np.ndarray]:
+    """A value for each text and language, and whether each text has a letter. Pieces without a letter don't count."""
+    values = np.zeros((len(texts), len(model.languages)))
+    counted = np.zeros(len(texts), np.int64)
+    pieces = ((i, piece) for i, text in enumerate(texts) for piece in pieces_of(text))
+    while batch := list(itertools.islice(pieces, BATCH)):
+        used, lettered = presences.fill([piece for _, piece in batch])
+        owner = np.array([i for i, _ in batch])
+        np.add.at(counted, owner, lettered)
+        if model.languages:
+            np.add.at(values, owner, (used @ model.table) / presences.norms(used)[:, None])
+    return values / np.maximum(counted, 1)[:, None], counted > 0
+
+
 def predict(model: LanguageModel, texts: list[str], presences: Presences) -> tuple[list[str], np.ndarray]:
-    found, scores = [], np.zeros(len(texts))
-    for at in range(0, len(texts), BATCH):
-        used, lettered = presences.fill(texts[at : at + BATCH])
-        if not model.languages:
-            found += [UNDETERMINED] * len(used)
-            continue
-        values = (used @ model.table) / presences.norms(used)[:, None]
-        best = values.argmax(axis=1)
-        odds = np.exp(SHARPNESS * (values - values.max(axis=1, keepdims=True)))
-        scores[at : at + len(used)] = np.where(lettered, 1.0 / odds.sum(axis=1), 0.0)
-        found += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
-    return found, scores
+    values, lettered = regression_values(model, texts, presences)
+    if not model.languages:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    best = values.argmax(axis=1)
+    odds = np.exp(SHARPNESS * (values - values.max(axis=1, keepdims=True)))
+    found = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
+    return found, np.where(lettered, 1.0 / odds.sum(axis=1), 0.0)
 
 
 def fit_languages(

@@ -419,6 +419,50 @@ def test_language(spark):
     assert found[1003]["lang_pred"] == "de" and all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def chinese(rng, lexicon, n):
+    """Words of two letters out of 3,000; languages differ in their words, not in their letters."""
+    return "".join(lexicon[i] for i in rng.integers(0, len(lexicon), n // 2))
+
+
+def test_language_of_very_long_texts():
+    """A million characters over thousands of letters fill every slot; the language is still found."""
+    rng = np.random.default_rng(8)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    lexicons = {name: ["".join(rng.choice(letters, 2)) for _ in range(4000)] for name in ("one", "two")}
+    labels = ["one", "two"] * 60
+    model = language_id.fit([chinese(rng, lexicons[x], 1500) for x in labels], labels)
+    presences = language_id.Presences()
+    for name in lexicons:
+        long = chinese(rng, lexicons[name], 1_000_000)
+        used, _ = presences.fill([long])
+        assert used.mean() > 0.9
+        found, scores = language_id.predict(model, [long, long[:900], "1" * 50_000 + long[:900], "1" * 50_000], presences)
+        assert found == [name, name, name, "und"] and scores[0] > 0.5 and scores[3] == 0.0
+
+
+def test_pieces_keep_every_n_gram():
+    for n in (0, 1, 5, 8192, 8193, 30_000):
+        text = "".join(chr(97 + i * i % 26) for i in range(n))
+        pieces = list(language_id.pieces_of(text))
+        assert max(map(len, pieces)) <= 8192 + 3
+        whole = {text[i : i + k] for k in (1, 2, 3, 4) for i in range(n - k + 1)}
+        assert {p[i : i + k] for p in pieces for k in (1, 2, 3, 4) for i in range(len(p) - k + 1)} == whole
+
+
+def test_language_regression_is_kernel_ridge(monkeypatch):
+    """With every text a landmark, the values are those of weighted kernel ridge regression on kernels of sets."""
+    rng = np.random.default_rng(2)
+    labels = ["a"] * 10 + ["b"] * 20 + ["c"] * 15
+    texts = ["".join(rng.choice(list("abcdefgh "), 80, p=np.roll([0.3, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05], ord(x)))) for x in labels]
+    grams = [frozenset(np.concatenate(list(language_id.slots_of(t)))) for t in texts]
+    among = np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in grams] for x in grams])
+    weight = np.array([1.0 / labels.count(x) for x in labels])
+    target = np.where(np.array(labels)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
+    expected = among @ np.linalg.solve(among + language_id.RIDGE * np.diag(1 / weight), target)
+    found, _ = language_id.regression_values(language_id.fit(texts, labels), texts, language_id.Presences())
+    np.testing.assert_allclose(found, expected, atol=1e-3)
+
+
 def test_language_without_labels(spark, docs):
     df = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.predict_languages(df, language_id.fit_languages(df)).collect()} == {"und"}

@@ -55,6 +55,8 @@ GROUP = 4 << 20
 #: memory as its bucket has text; with larger executors take larger buckets.
 BUCKET = 4 << 20
 SAMPLES = 32
+#: Bytes of text that are sampled, or not, together.
+STRETCH = 8192
 #: Suffixes of hot grams that a task spells out at once.
 HOT_BLOCK = 4096
 LEAST_ID = -(1 << 63)
@@ -109,10 +111,24 @@ def grams_of(records: Records, shape: Shape) -> np.ndarray:
     return np.ascontiguousarray(records.rows[:, shape.before : shape.before + shape.gram]).view(f"S{shape.gram}").ravel()
 
 
+def stretches(rows: DataFrame, shape: Shape, part: float) -> DataFrame:
+    """``(doc, tie, text)``: a share ``part`` of all stretches of STRETCH bytes, each with the bytes of all its strings."""
+    raw = F.col("text").cast("binary")
+    last = F.floor((F.length(raw) - shape.length) / STRETCH)
+    chosen = F.filter(
+        F.when(F.length(raw) >= shape.length, F.sequence(F.lit(0).cast("long"), last)),
+        lambda at: F.pmod(F.xxhash64("doc", "tie", at), F.lit(1_000_000)) < int(part * 1_000_000),
+    )
+    spread = rows.select("doc", "tie", "text", F.explode(chosen).alias("at"))
+    start = (F.col("at") * STRETCH + 1).cast("int")
+    return spread.select("doc", "tie", F.substring(raw, start, F.lit(STRETCH + shape.length - 1)).alias("text"))
+
+
 def splitters(rows: DataFrame, shape: Shape, buckets: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """``(bounds, hot)``: grams between buckets, and grams that would fill half a bucket.
 
-    About SAMPLES grams for each bucket come to the driver, from documents chosen by the hash of their ids.
+    About SAMPLES grams for each bucket come to the driver, from stretches of texts chosen by the hash of document and
+    place: a corpus of a few very long documents is sampled like one of many short ones.
     """
     wanted = SAMPLES * buckets
     expected = max(1.0, total * 2.0 / (shape.length - shape.gram + 2))
@@ -125,8 +141,7 @@ def splitters(rows: DataFrame, shape: Shape, buckets: int, total: int) -> tuple[
             grams = grams_of(kept, shape)[::step]
             yield pa.record_batch([pa.array([bytes(g) for g in grams], pa.binary())], names=["gram"])
 
-    chosen = rows.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(1_000_000)) < int(part * 1_000_000))
-    found = arrow_map(chosen, sample, "gram binary").toArrow().column("gram").to_pylist()
+    found = arrow_map(stretches(rows, shape, part), sample, "gram binary").toArrow().column("gram").to_pylist()
     grams = np.sort(np.array(found, f"S{shape.gram}"))
     if not len(grams):
         return grams, grams

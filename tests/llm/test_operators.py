@@ -697,6 +697,23 @@ def test_without_repeats(spark, monkeypatch, hot):
 SPLITTERS = suffix_dedup.splitters
 
 
+def test_few_very_long_documents_give_splitters(spark):
+    """Four texts of a megabyte, a share of a two-hundredth: stretches of all of them are sampled, and buckets get bounds."""
+    rng = np.random.default_rng(6)
+    texts = [rng.choice(list("abcdefghijklmnop "), 1_000_000).astype("<U1").tobytes().decode("utf-32-le") for _ in range(4)]
+    df = spark.createDataFrame([*enumerate([*texts, "", "x" * 99, None])], "doc_id long, text string")
+    rows, shape = suffix_dedup.prepared(df, "doc_id", "text"), suffix_dedup.Shape(100, 28)
+    found = suffix_dedup.stretches(rows, shape, 0.05).collect()
+    assert 10 <= len(found) <= 45 and {r["doc"] for r in found} == {0, 1, 2, 3}
+    assert all(bytes(r["text"]).decode() in texts[r["doc"]] and len(r["text"]) <= 8192 + 99 for r in found)
+    whole = suffix_dedup.stretches(rows, shape, 1.0).groupBy("doc").sum().collect()
+    assert len(whole) == 4
+    starts = sum(len(r["text"]) - 99 for r in suffix_dedup.stretches(rows, shape, 1.0).collect())
+    assert starts == sum(len(t) - 99 for t in texts)
+    bounds, hot = SPLITTERS(rows, shape, 64, 4_000_000)
+    assert len(bounds) == 63 and not len(hot)
+
+
 def test_long_texts_are_taken_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
     monkeypatch.setattr(suffix_dedup, "GROUP", 900)

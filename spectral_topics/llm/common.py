@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import time
 import uuid
@@ -130,16 +131,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are over.
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query inside as soon as it is over. For queries whose result is stored."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
-    It does so once the driver's JVM has collected their plans. The first collection ends what
-    Python still refers to; Spark's cleaner works beside us, so it gets a moment.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, forget, id_and_text, release_shuffles, text_bytes
+from spectral_topics.llm.common import arrow_map, forget, id_and_text, shuffles_deleted, text_bytes
 from spectral_topics.llm.suffix_sort import (
     Records,
     Shape,
@@ -234,7 +234,10 @@ def repeated_spans(
                 yield _span_batch(merge_spans(*repeated_strings(records, shape)))
 
     dealt = arrow_map(rows, deal, "bucket int, blob binary").repartitionById(buckets, "bucket")
-    return materialize(arrow_map(dealt.select("blob"), sort, "doc long, tie long, start long, end long"), "repeats")
+    found = arrow_map(dealt.select("blob"), sort, "doc long, tie long, start long, end long")
+    # The suffixes' shuffle is the largest there is: its files go before the texts' begins.
+    with shuffles_deleted(spark):
+        return materialize(found, "repeats")
 
 
 def _span_arrays(records: Records, which: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
@@ -249,8 +252,6 @@ def _span_batch(arrays: tuple[np.ndarray, ...]) -> pa.RecordBatch:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(id, n_bytes, spans, kept)``: for each row its size, the merged removed spans, and the bytes that stay."""
     spans = repeated_spans(docs, id_col, text_col, **options)
-    # The suffixes' shuffle is the largest there is, and over: its files go before the texts' begins.
-    release_shuffles(docs.sparkSession)
     listed = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = prepared(docs, id_col, text_col).join(listed, ["doc", "tie"], "left").select("id", "text", "spans")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import gc
-import time
 import uuid
 from collections.abc import Iterator
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectral_topics.functions.batches import merge_small_partitions, numpy_batches
+from spectral_topics.functions.blocks import document_totals, word_totals
 from spectral_topics.functions.columns import CONSTANT_CELLS, constants, literal, matrix_columns, named, row_to_cells
 from spectral_topics.functions.segments import SPLIT, sum_by_key, sum_sorted, vec_cells, words_of_documents, words_of_vectors
 from spectral_topics.functions.skew import fits_broadcast, skew_safe_join
@@ -28,6 +29,8 @@ from spectral_topics.operators.linalg import MAX_SUM_COLUMNS
 TENSOR_BYTES = 256 << 20
 # Wider models are carried as one array and added up in numpy (functions/segments.py).
 MAX_MODEL_COLUMNS = 100
+# Narrower models that are fetched by block are added up in numpy there (functions/blocks.py).
+MAX_BLOCK_COLUMNS = 32
 # Cells of a partial tensor in one row of the shuffle that adds them up.
 CHUNK_CELLS = 1 << 17
 
@@ -75,12 +78,34 @@ def _gather_model(tokens: DataFrame, model: DataFrame, cols: Sequence[str], rout
     come back, one per block and word however often the word occurs. A word is asked for at most
     once per block, so no join key is hot.
     """
+    return tokens.join(_fetched(tokens, model, cols, routes), ["block", "word_id"], "left")
+
+
+def _fetched(tokens: DataFrame, model: DataFrame, cols: Sequence[str], routes: DataFrame | None) -> DataFrame:
+    """``(block, word_id, cols...)``: the model rows of each block's words, partitioned as the blocks are."""
     if routes is None:
         needed = tokens.select("block", "word_id").distinct().join(model, "word_id", "left")
     else:
         needed = routes.join(model, "word_id").withColumn("block", F.explode("blocks"))
-    fetched = needed.select("block", "word_id", *cols).repartitionById(block_count(tokens), "block")
-    return tokens.join(fetched, ["block", "word_id"], "left")
+    return needed.select("block", "word_id", *cols).repartitionById(block_count(tokens), "block")
+
+
+def _block_models(
+    tokens: DataFrame, model: DataFrame, cols: Sequence[str], rows: int | None, routes: DataFrame | None
+) -> tuple[DataFrame, DataFrame] | None:
+    """Blocked tokens and the model rows of each block, if that is how sums are to be made.
+
+    None if the model can be broadcast, or is wide, or if documents are spread over blocks.
+    """
+    if len(cols) > MAX_BLOCK_COLUMNS:
+        return None
+    rows = model.count() if rows is None else rows
+    if fits_broadcast(tokens.sparkSession, rows, len(cols)):
+        return None
+    blocked = block_tokens(tokens)
+    if "spread" in blocked.columns:
+        return None
+    return blocked, _fetched(blocked, model.select("word_id", *cols), cols, routes)
 
 
 def _projection_sums(cols: Sequence[str]) -> dict:
@@ -115,14 +140,22 @@ def pair_moment_sketch(
             "block", "doc_id", "len", weight.alias("pair"), *[(F.col(x) * weight).alias(x) for x in xs]
         )
 
-    used = join_document_sums(
-        tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows, routes), shape=weigh
-    )
-    by_word = used.groupBy("word_id").agg(
-        F.sum(F.col("cnt") / F.col("len")).alias("mu_sum"),
-        F.sum(F.col("cnt") * F.col("pair")).alias("own"),
-        *[F.sum(F.col("cnt") * F.col(x)).alias(x) for x in xs],
-    )
+    if in_blocks := _block_models(tokens, model, cols, rows, routes):
+        def weights(length: np.ndarray) -> list[np.ndarray]:
+            pair = 1.0 / (length * (length - 1.0))
+            return [1.0 / length, pair, pair]
+
+        partial = word_totals(*in_blocks, cols, ("mu_sum", "own"), 2, weights)
+        by_word = partial.groupBy("word_id").agg(*[F.sum(c).alias(c) for c in ("mu_sum", "own", *xs)])
+    else:
+        used = join_document_sums(
+            tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows, routes), shape=weigh
+        )
+        by_word = used.groupBy("word_id").agg(
+            F.sum(F.col("cnt") / F.col("len")).alias("mu_sum"),
+            F.sum(F.col("cnt") * F.col("pair")).alias("own"),
+            *[F.sum(F.col("cnt") * F.col(x)).alias(x) for x in xs],
+        )
     return by_word.join(model.select("word_id", *cols), "word_id").select(
         "word_id",
         "mu_sum",
@@ -224,6 +257,8 @@ def project_docs(
         model = model.select("word_id", *[F.expr(f"{c} / {literal(s)}").alias(c) for c, s in zip(cols, divisors)])
     if len(cols) > MAX_MODEL_COLUMNS:
         return _wide_document_sums(tokens, model, rows, routes)
+    if "block" in tokens.columns and (in_blocks := _block_models(tokens, model, cols, rows, routes)):
+        return document_totals(*in_blocks, cols)
     return document_sums(tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows, routes))
 
 
@@ -473,6 +508,16 @@ def word_corrections(
             "block", "doc_id", s2.alias("s2"), s3.alias("s3"), *[(F.col(x) * s3).alias(x) for x in xs]
         )
 
+    if in_blocks := _block_models(tokens, model, cols, rows, routes):
+        def weights(length: np.ndarray) -> list[np.ndarray]:
+            pairs = length * (length - 1.0)
+            s3 = (alpha0 + 1.0) * (alpha0 + 2.0) / (2.0 * pairs * (length - 2.0))
+            return [s3, alpha0 * (alpha0 + 1.0) / (2.0 * pairs), s3]
+
+        partial = word_totals(*in_blocks, cols, ("f", "h"), 3, weights)
+        zs = [F.sum(x).alias(f"z{j}") for j, x in enumerate(xs)]
+        return partial.groupBy("word_id").agg(F.sum("f").alias("f"), F.sum("h").alias("h"), *zs)
+
     used = join_document_sums(
         tokens, _projection_sums(cols), enrich=lambda t: lookup_model(t, model, rows, routes), shape=weigh
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,6 +62,29 @@ class TopicModel:
         write_matrix_text(self.topics, f"{output}.beta", prefix="p", key="word_id")
 
 
+@contextmanager
+def held_blocks(
+    tokens: DataFrame, vocab_size: int, width: int, partitions: int | None = None
+) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """Blocked tokens and, for models of ``width`` columns beyond the broadcast limit, their ``word_routes``.
+
+    Both are kept while the block runs; what is computed from them must be stored inside. Every pass reads the tokens more
+    than once, and fetches model rows by block.
+    """
+    # Sorted once here, the joins of every pass need neither shuffle nor sort of the tokens.
+    corpus = block_tokens(tokens, partitions).sortWithinPartitions("block", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    routes = None
+    if not fits_broadcast(tokens.sparkSession, vocab_size, width):
+        # Which blocks need which word is found out once.
+        routes = word_routes(corpus).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield corpus, routes
+    finally:
+        corpus.unpersist()
+        if routes is not None:
+            routes.unpersist()
+
+
 def corrected_sketch(
     tokens: DataFrame, model: DataFrame, alpha0: float, n_docs: int, vocab_size: int, routes: DataFrame | None = None
 ) -> DataFrame:
@@ -175,14 +200,7 @@ def fit(
             "seed": seed, "variant": variant, "iterations": iterations, "hard_cap": hard_cap, "started": [start is not None, als_start is not None],
             "n_docs": n_docs, "tokens": [str(v) for v in digest],
         })
-    corpus = block_tokens(check_word_ids(tokens, vocab_size), partitions)
-    # Sorted once here, the joins of every pass need neither shuffle nor sort of the tokens.
-    corpus = corpus.sortWithinPartitions("block", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-    routes = None
-    if not fits_broadcast(spark, vocab_size, k_prime):
-        # Every pass fetches a model by block: which blocks need which word is found out once.
-        routes = word_routes(corpus).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held_blocks(check_word_ids(tokens, vocab_size), vocab_size, k_prime, partitions) as (corpus, routes):
         model, sigma = whiten(corpus, n_docs, vocab_size, k, k_prime, alpha0, seed, start, routes)
         tensor, projection = project_and_contract(corpus, model, sigma, alpha0, n_docs, vocab_size, variant, routes)
         cp = cp_als(
@@ -190,10 +208,6 @@ def fit(
         )
         factors = unwhiten(projection, factor_array(cp.a, k), cp.lambdas)
         factors = materialize(factors, "factors")
-    finally:
-        corpus.unpersist()
-        if routes is not None:
-            routes.unpersist()
     weights = [(t, float(v)) for t, v in enumerate(cp.lambdas)]
     alpha = dirichlet_prior(spark.createDataFrame(weights, "topic int, lambda double"), alpha0)
     topics = recover_topics(factors, iterations)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.recover import running_sum
+from spectral_topics.operators.words import numbered_slices, slices
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,15 +45,18 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """``tokens(doc_id, word_id, cnt)`` of the documents' words, and ``vocabulary(word_id)``.
 
     A word's id is its place among all distinct words in byte order, numbered over ranges. Both are
-    written once, since every moment query reads its tokens more than once.
+    written once, since every moment query reads its tokens more than once. Texts are taken in slices (``slices``), so
+    the numbering joins each slice's spellings, not each document's words, and a frequent word is no hot key.
     """
-    words = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")
-    )
-    counted = words.groupBy("doc_id", F.lower("word").alias("word")).agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    counted = materialize(counted, "text-words")
-    numbered = materialize(numbered_values(counted, "word", "word_id"), "vocabulary")
-    tokens = materialize(counted.join(numbered, "word").select("doc_id", "word_id", "cnt"), "text-tokens")
+    texts = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = texts.select("doc_id", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("words"))
+    sliced = materialize(slices(found), "text-words")
+    spelled = sliced.where("spellings IS NOT NULL").select("slice", F.posexplode("spellings").alias("code", "word"))
+    spelled = spelled.withColumn("word", F.lower("word"))
+    numbered = materialize(numbered_values(spelled, "word", "word_id"), "vocabulary")
+    # New names, as both sides of the cogroup come from one table.
+    ids = spelled.join(numbered, "word").select(F.col("slice").alias("slice"), F.col("code").alias("code"), "word_id")
+    tokens = materialize(numbered_slices(sliced.where("spellings IS NULL"), ids), "text-tokens")
     return tokens, numbered.select("word_id")
 
 

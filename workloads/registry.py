@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spectral_topics.functions.columns import columns_to_cells, matrix_columns
 from spectral_topics.functions.storage import materialize, scratch_path
 from spectral_topics.operators import corpus, linalg, moments, recover, tensor
-from spectral_topics.plans.model import fit, project_and_contract, whiten
+from spectral_topics.plans.model import fit, held_blocks, project_and_contract, whiten
 from spectral_topics.sources import text
 from workloads.corpora import (
     order_docs,
@@ -267,9 +267,9 @@ def spectral_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = text_docs(spark, sf_dir).count()
     tokens, vocabulary = text_corpus(spark, sf_dir)
-    tokens = corpus.block_tokens(tokens).sortWithinPartitions("block", "doc_id").persist()
-    model, sigma = whiten(tokens, n, vocabulary.count(), 2, 2, ALPHA0, start=text_model(vocabulary, 2))
-    tokens.unpersist()
+    d = vocabulary.count()
+    with held_blocks(tokens, d, 2) as (blocks, routes):
+        model, sigma = whiten(blocks, n, d, 2, 2, ALPHA0, start=text_model(vocabulary, 2), routes=routes)
     out = model.select("*", *[F.lit(float(s)).alias(f"s{j}") for j, s in enumerate(sigma)])
     return rounded_columns(out, 8, "o", "s")
 

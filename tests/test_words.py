@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spectral_topics.operators import corpus, moments
 from spectral_topics.operators.words import numbered_slices, slices
+from workloads import registry
 
 TEXTS = {1: "The cat and the Cat", 2: None, 3: "", 4: "and and the İdea", 5: "cat", 6: "THE the The dog", 7: "dog dog dog dog dog"}
 
@@ -65,3 +66,21 @@ def test_blocks_are_summed_without_sorting_or_joining_tokens(spark, no_broadcast
         assert all(tuple(got[w]) == pytest.approx(tuple(expected[w]), abs=1e-12) for w in got)
     routes.unpersist()
     blocks.unpersist()
+
+
+def test_queries_with_several_passes_keep_their_blocks(spark, no_broadcast, monkeypatch):
+    """Before, spectral_factor and third_moment_word_corrected blocked their tokens anew for every reading."""
+    seen = []
+
+    def spied(function):
+        def call(tokens, *args, **kw):
+            seen.append((tokens.storageLevel.useMemory, kw["routes"] is not None))
+            return function(tokens, *args, **kw)
+
+        return call
+
+    monkeypatch.setattr(registry.moments, "pair_moment_sketch", spied(registry.moments.pair_moment_sketch))
+    monkeypatch.setattr(registry, "project_and_contract", spied(registry.project_and_contract))
+    assert not registry.text_sketch(spark, "/root/testdata/sf0.001").isEmpty()
+    assert registry.third_moment_word_corrected(spark, "/root/testdata/sf0.001").count() == 8
+    assert seen == [(True, True)] * 2

@@ -194,10 +194,12 @@ def third_moment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def third_moment_word_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = corpus.block_tokens(corpus.doc_terms(order_lines(spark, sf_dir)))
+    tokens = corpus.doc_terms(order_lines(spark, sf_dir))
     n = order_docs(spark, sf_dir).count()
     model = part_model(spark, sf_dir, 2)
-    found, _ = project_and_contract(tokens, model, np.array([1.25, 0.5]), ALPHA0, n, model.count(), variant="whitened")
+    d = model.count()
+    with held_blocks(tokens, d, 2) as (blocks, routes):
+        found, _ = project_and_contract(blocks, model, np.array([1.25, 0.5]), ALPHA0, n, d, variant="whitened", routes=routes)
     return found.select("i", "j", "l", rounded("val", 10))
 
 

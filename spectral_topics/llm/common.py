@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -106,6 +107,14 @@ def forget() -> None:
     worker_memory(None, lambda: None)
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system; allocators keep it otherwise, for as long as the driver lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     run_lean(df)
     return df.mapInArrow(function, schema)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectral_topics.llm.common import arrow_map, crc_bucket, hash_share, id_and_text, quoted, text_bytes, worker_memory
+from spectral_topics.llm.common import arrow_map, crc_bucket, give_back, hash_share, id_and_text, quoted, text_bytes, worker_memory
 
 #: At most this many labelled documents of each label are fitted, each of at most so many bytes.
 PER_CLASS = 1500
@@ -461,7 +461,12 @@ def fit_toxicity(
         )
         texts += text_bytes(rows.column("text").combine_chunks())
         tags += [y] * rows.num_rows
-    return fit(texts, tags, counts)
+        del rows
+    model = fit(texts, tags, counts)
+    # The sample and what was made of it would stay with the driver's process during all later steps.
+    del texts, tags
+    give_back()
+    return model
 
 
 def _score(model: ToxicityModel, scorer: Scorer, texts: list[bytes]) -> tuple[list[float], list[np.ndarray]]:

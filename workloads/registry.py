@@ -256,7 +256,9 @@ def text_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = text_docs(spark, sf_dir).count()
     tokens, vocabulary = text_corpus(spark, sf_dir)
     model = text_model(vocabulary, 2)
-    sketch = materialize(moments.pair_moment_sketch(tokens, model, rows=vocabulary.count()), "sketch")
+    d = vocabulary.count()
+    with held_blocks(tokens, d, 2) as (blocks, routes):
+        sketch = materialize(moments.pair_moment_sketch(blocks, model, rows=d, routes=routes), "sketch")
     return materialize(moments.correct_pair_moment(sketch, model, ALPHA0, n), "corrected")
 
 

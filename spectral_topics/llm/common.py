@@ -94,10 +94,10 @@ _kept: dict = {}
 
 
 def worker_memory(key, make):
-    """What a Python worker keeps from task to task, one thing at a time: another key drops what was kept."""
+    """What a Python worker keeps from task to task, one thing at a time: another key drops what was kept, and its memory goes back."""
     if key not in _kept:
         _kept.clear()
-        gc.collect()
+        give_back()
         _kept[key] = make()
     return _kept[key]
 
@@ -108,7 +108,7 @@ def forget() -> None:
 
 
 def give_back() -> None:
-    """Return freed memory of this process to the system; allocators keep it otherwise, for as long as the driver lives."""
+    """Return freed memory of this process to the system; allocators keep it otherwise, for as long as it lives."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # glibc only

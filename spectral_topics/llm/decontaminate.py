@@ -168,29 +168,40 @@ def mark_contamination(
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """``docs`` with three more columns called ``names``: number of words, hit spans in words, items that occur."""
-    place = docs.columns.index(text_col)
-    width = len(docs.columns)
     if set(names) & set(docs.columns):
         raise ValueError(f"the documents have columns of the names {names} already")
     schema = ", ".join([f"`{names[0]}` long", f"`{names[1]}` {HITS_SQL}", f"`{names[2]}` array<string>"])
-    out = docs
-    for k, chunk in enumerate(benchmark_chunks(benchmark, item_col, item_text_col, chunk_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases(chunk, window))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, later=k > 0) -> Iterator[pa.RecordBatch]:
-            forget()
-            for rows in shards(batches, place, shard_bytes):
-                spans, items, counts = search_shard(text_bytes(rows.column(place)), shared.value)
-                if later:
-                    old = [[(h["start"], h["end"]) for h in x] for x in rows.column(width + 1).to_pylist()]
-                    spans = [merged(a, b) for a, b in zip(old, spans, strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(rows.column(width + 2).to_pylist(), items, strict=True)]
-                hits = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], HITS)
-                columns = [*rows.columns[:width], pa.array(counts, pa.int64()), hits, pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names[:width], *names])
-
-        out = arrow_map(out, search, _with(docs, schema))
-    return out
+
+    def marked(rows: pa.RecordBatch, counts: list, spans: list, items: list) -> pa.RecordBatch:
+        hits = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], HITS)
+        columns = [*rows.columns, pa.array(counts, pa.int64()), hits, pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names, *names])
+
+    chunks = benchmark_chunks(benchmark, item_col, item_text_col, chunk_bytes)
+    return _searched(docs, chunks, text_col, window, shard_bytes, marked, _with(docs, schema))
+
+
+def _searched(docs: DataFrame, chunks: Iterator[list[tuple[str, bytes]]], text_col: str, window: int, shard_bytes: int, made, schema) -> DataFrame:
+    """What ``made`` gives for each shard of rows, its texts' numbers of words, their hit spans, and the items that occur.
+
+    One Python step, however many chunks: each step of a stage has a worker process of its own for every task, and
+    idle ones stay and take part in all later work, with a memory of remembered words each.
+    """
+    place = docs.columns.index(text_col)
+    shared = [docs.sparkSession.sparkContext.broadcast(phrases(chunk, window)) for chunk in chunks]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for rows in shards(batches, place, shard_bytes):
+            texts = text_bytes(rows.column(place))
+            spans, items, counts = search_shard(texts, shared[0].value)
+            for chunk in shared[1:]:
+                more, others, _ = search_shard(texts, chunk.value)
+                spans = [merged(a, b) for a, b in zip(spans, more, strict=True)]
+                items = [sorted({*a, *b}) for a, b in zip(items, others, strict=True)]
+            yield made(rows, counts, spans, items)
+
+    return arrow_map(docs, search, schema)
 
 
 def _with(docs: DataFrame, more: str):
@@ -225,27 +236,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.drop("text")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def remove_contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    chunk_bytes: int = CHUNK_BYTES,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
     """``docs`` with the hit spans cut out of the text; rows of which no word is left are dropped, if they had a hit."""
-    names = ("n_words", "hits", "items")
-    while set(names) & set(docs.columns):
-        names = tuple("_" + n for n in names)
-    place, width = docs.columns.index(text_col), len(docs.columns)
-    marked = mark_contamination(docs, benchmark, text_col, names=names, **options)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts = rows.column(place).to_pylist()
-            stay = np.ones(rows.num_rows, bool)
-            for i in np.flatnonzero(np.diff(rows.column(width + 1).offsets.to_numpy()) > 0).tolist():
-                spans = [(h["start"], h["end"]) for h in rows.column(width + 1)[i].as_py()]
-                stay[i] = sum(b - a for a, b in spans) < rows.column(width)[i].as_py()
-                texts[i] = without_spans(texts[i].encode(), spans).decode("utf-8", "replace")
-            columns = list(rows.columns[:width])
-            columns[place] = pa.array(texts, rows.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names[:width]).filter(pa.array(stay))
-
-    return arrow_map(marked, cut, docs.schema)
+    place = docs.columns.index(text_col)
+
+    def cut(rows: pa.RecordBatch, counts: list, spans: list, items: list) -> pa.RecordBatch:
+        texts = rows.column(place).to_pylist()
+        stay = np.ones(rows.num_rows, bool)
+        for i, found in enumerate(spans):
+            if found:
+                stay[i] = sum(b - a for a, b in found) < counts[i]
+                texts[i] = without_spans(texts[i].encode(), found).decode("utf-8", "replace")
+        columns = list(rows.columns)
+        columns[place] = pa.array(texts, rows.schema.field(place).type)
+        return pa.RecordBatch.from_arrays(columns, names=rows.schema.names).filter(pa.array(stay))
+
+    chunks = benchmark_chunks(benchmark, item_col, item_text_col, chunk_bytes)
+    return _searched(docs, chunks, text_col, window, shard_bytes, cut, docs.schema)
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -3,8 +3,9 @@
 from pathlib import Path
 
 import pyarrow as pa
+import pytest
 
-from spectral_topics.llm import common, toxicity
+from spectral_topics.llm import common, decontaminate, toxicity
 
 
 def resident_mb():
@@ -30,3 +31,24 @@ def test_a_fit_gives_its_memory_back(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "give_back", lambda: called.append(True))
     toxicity.fit_toxicity(docs, labels)
     assert called
+
+
+@pytest.mark.parametrize("chunk_bytes", [decontaminate.CHUNK_BYTES, 20])
+def test_cutting_passages_takes_one_python_worker(spark, plain, chunk_bytes):
+    """Each Python step of a stage has worker processes of its own, which stay and hold memory in later stages."""
+    bench = spark.createDataFrame([("a", "quick brown fox jumps"), ("b", "two spaces"), ("c", "no id at all")], "item_id string, text string")
+    docs = plain.where("doc_id IS NULL OR doc_id NOT IN (6, 11)")
+    cut = decontaminate.remove_contamination(docs, bench, chunk_bytes=chunk_bytes)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    at_once = decontaminate.remove_contamination(docs, bench)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, at_once.collect()))
+    assert cut.count() < docs.count()
+
+
+def test_what_a_worker_kept_goes_back_to_the_system(monkeypatch):
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda: called.append(True))
+    monkeypatch.setattr(common, "_kept", {})
+    for key in ("a", "a", "b", "b"):
+        assert common.worker_memory(key, lambda key=key: [key]) == [key]
+    assert called == [True, True]

@@ -12,15 +12,45 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Words of the texts that are taken together; a single text of more is a slice of its own.
 SLICE_WORDS = 4_000_000
+#: Which bytes of an ASCII text are letters.
+LETTERS = np.array([chr(b).isalpha() for b in range(128)] + [False] * 128)
+
+
+def text_words(text: str = "text") -> tuple[Column, Column]:
+    """``words`` and ``plain`` for ``slices``: runs of letters, found by Spark, or the whole of an ASCII text, to be cut there."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    found = F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
+    return F.when(~ascii_only, found).alias("words"), F.when(ascii_only, F.col(text)).alias("plain")
+
+
+def runs_of_letters(texts: pa.Array) -> pa.ListArray:
+    """The runs of letters of each ASCII text; a null has none."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letter = LETTERS[data]
+    # A run begins at a letter behind another character or at the start of a text, and ends likewise.
+    cut = np.zeros(len(data) + 1, bool)
+    cut[ends] = True
+    outside = np.concatenate(([True], ~letter, [True]))
+    first = np.flatnonzero(letter & (outside[:-2] | cut[:-1]))
+    last = np.flatnonzero(letter & (outside[2:] | cut[1:]))
+    places = np.append(0, np.cumsum(last + 1 - first)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(places), pa.py_buffer(data[letter]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, ends).astype(np.int32)), words)
 
 
 def slices(docs: DataFrame, size: int = SLICE_WORDS) -> DataFrame:
     """``docs(doc_id, words)`` in slices of neighbours: ``(slice, doc_id, codes, cnts, spellings)``.
 
+    A column ``plain`` may hold ASCII texts of rows without words (``text_words``); their words are found here.
+
     A document has the codes of its distinct words, ascending, and how often each occurs. One more row per slice, without
     a document, has the slice's spellings; a code is a place in them.
     """
@@ -28,6 +58,10 @@ def slices(docs: DataFrame, size: int = SLICE_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number, held, words = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
+            if "plain" in batch.schema.names:
+                given = batch.column("words")
+                every = pc.coalesce(given, runs_of_letters(batch.column("plain")).cast(given.type))
+                batch = pa.record_batch([batch.column("doc_id"), every], names=["doc_id", "words"])
             lengths = pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False)
             ends, start = np.cumsum(lengths), 0
             for i in range(batch.num_rows):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectral_topics.operators import corpus, moments
-from spectral_topics.operators.words import numbered_slices, slices
+from spectral_topics.operators.words import numbered_slices, slices, text_words
 from workloads import registry
 
 TEXTS = {1: "The cat and the Cat", 2: None, 3: "", 4: "and and the İdea", 5: "cat", 6: "THE the The dog", 7: "dog dog dog dog dog"}
@@ -84,3 +84,15 @@ def test_queries_with_several_passes_keep_their_blocks(spark, no_broadcast, monk
     assert not registry.text_sketch(spark, "/root/testdata/sf0.001").isEmpty()
     assert registry.third_moment_word_corrected(spark, "/root/testdata/sf0.001").count() == 8
     assert seen == [(True, True)] * 2
+
+
+def test_ascii_texts_are_cut_outside_spark(spark):
+    """Texts that touch, begin or end with letters, nulls, empty ones, others: the words of Spark's own expression."""
+    texts = ["ab cd", "ef", "gh-ij9k", None, "", " ", "\x00Z[a`{z@A", "\u00e9t\u00e9 na\u00efve a", "\u00aa\u00b5 \u4e2d\u6587x", "one", "one two one", "..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    by_spark = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("words"))
+    found = docs.select("doc_id", *text_words())
+    assert [r["doc_id"] for r in found.where("words IS NOT NULL").collect()] == [7, 8]
+    for size in (1, 4, 100):
+        assert sorted(map(str, slices(found, size).collect())) == sorted(map(str, slices(by_spark, size).collect()))
+    assert by_spark.selectExpr("sum(size(words))").first()[0] > 15

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spectral_topics.functions.storage import materialize
 from spectral_topics.operators.recover import running_sum
-from spectral_topics.operators.words import numbered_slices, slices
+from spectral_topics.operators.words import numbered_slices, slices, text_words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +49,7 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     the numbering joins each slice's spellings, not each document's words, and a frequent word is no hot key.
     """
     texts = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = texts.select("doc_id", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("words"))
+    found = texts.select("doc_id", *text_words())
     sliced = materialize(slices(found), "text-words")
     spelled = sliced.where("spellings IS NOT NULL").select("slice", F.posexplode("spellings").alias("code", "word"))
     spelled = spelled.withColumn("word", F.lower("word"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spectral_topics.functions.storage import materialize
 from spectral_topics.llm import decontaminate, mixing, simhash, token_output, toxicity
-from spectral_topics.llm.common import table
+from spectral_topics.llm.common import shuffles_deleted, table
 from spectral_topics.llm.queries import END_ID, tokenizer
 
 
@@ -54,7 +54,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        found = stage(spark, docs, sf_dir)
+        with shuffles_deleted(spark):
+            docs = materialize(found, f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

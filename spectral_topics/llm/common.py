@@ -71,6 +71,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread_
     )
 
 
+#: Bits that ``maybe_among`` hashes keys to: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` without most of those whose key isn't in ``keys``, and with all whose key is.
+
+    Put before a join, it spares the shuffle of rows that find no partner. Keys are hashed to the bits of a
+    broadcast bitmap; with far more keys than bits few rows go. For keys without nulls.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    marks = keys.select(F.bitmap_bucket_number(place).alias("__part"), F.bitmap_bit_position(place).alias("__at"))
+    bitmap = marks.groupBy("__part").agg(F.bitmap_construct_agg("__at").alias("__bitmap"))
+    placed = rows.withColumn("__part", F.bitmap_bucket_number(place)).withColumn("__at", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.substr("__bitmap", (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = placed.join(F.broadcast(bitmap), "__part").where(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1)
+    return found.select(*[quoted(c) for c in rows.columns])
+
+
 #: Rows sent to a Python worker at a time; Spark's own default suits rows of numbers rather than texts.
 BATCH_ROWS = 1000
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"

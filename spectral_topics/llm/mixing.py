@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import quoted
+from spectral_topics.llm.common import quoted, shuffles_deleted
 
 ONE = 1 << 32
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,15 +123,14 @@ def mix_copies(
     weights: Sequence[float] = (5, 2, 1),
     max_repeats: int = 3,
     seed: int = 7,
-    keep: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
-    """``(id, source, size, source_size, target, copies)`` for each document; with ``keep`` also ``row``, the whole row."""
+    """``(id, source, size, source_size, target, copies)`` for each document; with ``keyed`` also ``row_key`` of its row."""
     columns = [quoted(id_col).alias("id"), quoted(source_col).cast("string").alias("source"), word_count(quoted(text_col)).alias("size")]
-    if keep:
-        columns.append(F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
-    sized = docs.select(*columns)
-    sizes = sized.select("source", "size") if keep else (sized := materialize(sized, "sizes"))
-    targets = source_targets(sizes, weights, max_repeats)
+    if keyed:
+        columns.append(row_key(id_col, text_col, source_col).alias("row_key"))
+    sized = materialize(docs.select(*columns), "sizes")
+    targets = source_targets(sized.select("source", "size"), weights, max_repeats)
     few = materialize(targets, "targets")
     # Sources may be many: the join is left to the planner, and a source's rows need no common task.
     tagged = sized.join(few.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
@@ -139,8 +138,29 @@ def mix_copies(
     return systematic_copies(tagged.withColumn("expected", expected), seed).drop("expected")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as many times as it is taken."""
-    taken = mix_copies(docs, keep=True, **options)
-    repeats = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")
-    return taken.where("copies > 0").select("row", repeats).select("row.*")
+def row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    """Two hashes of what decides a row's copies; which of the columns are null counts too."""
+    columns = [quoted(c) for c in (id_col, source_col, text_col)]
+    nulls = [c.isNull() for c in columns]
+    return F.struct(F.xxhash64(*nulls, *columns).alias("a"), F.xxhash64(F.lit(1), *columns[::-1]).alias("b"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as many times as it is taken.
+
+    Ranges and sums are made of sizes and keys alone. Whole rows are shuffled once, to meet their copies by key, and
+    aren't stored on the way. Rows of one key are interchangeable: they share its copies, to one more or less.
+    """
+    names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
+    taken = mix_copies(docs, keyed=True, **names, **options)
+    shared = taken.groupBy(F.col("row_key.a").alias("a"), F.col("row_key.b").alias("b")).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")
+    )
+    with shuffles_deleted(docs.sparkSession):
+        wanted = materialize(shared.where("copies > 0"), "copies")
+    key = row_key(**names)
+    rows = docs.select(key["a"].alias("a"), key["b"].alias("b"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.lit(1)))
+    copies = F.expr("copies div n + if(place <= copies % n, 1, 0)")
+    met = rows.join(wanted, ["a", "b"]).withColumn("place", place).withColumn("here", copies).where("here > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("here"))).alias("__copy")).select("row.*")

@@ -46,7 +46,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, forget, id_and_text, join_groups, quoted, slices, text_bytes
+from spectral_topics.llm.common import arrow_map, forget, id_and_text, join_groups, maybe_among, quoted, shuffles_deleted, slices, text_bytes
 from spectral_topics.llm.components import connected_components
 
 SEED = 42
@@ -410,13 +410,8 @@ def set_components(sets: DataFrame, similarity: float) -> DataFrame:
     return connected_components(links.unionByName(similar(pairs, sets, similarity)))
 
 
-def near_unique(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """One row of each group of similar texts: that of the smallest id (null ids last), all columns as they are."""
-    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    key = [F.coalesce(quoted(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("tie")]
-    texts = docs.select(*key, text.alias("text"))
+def kept_documents(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(doc, tie)`` of the first of each group of similar ``texts(doc, tie, text)``."""
     named = materialize(set_nodes(texts, width), "shingle-sets")
     distinct = materialize(
         named.groupBy("node").agg(F.first("size").alias("size"), F.min(F.struct("doc", "tie")).alias("first")), "distinct-sets"
@@ -425,11 +420,25 @@ def near_unique(
     shared = shared_shingles(texts, width, buckets)
     enough = distinct.join(shared, "node").where(F.col("shared") >= least_overlap(F.col("size"), similarity))
     left = materialize(enough.select("node", "first.doc", "first.tie"), "nodes-left")
+    # Few texts are left as a rule; the others needn't be shuffled for the join.
+    few = maybe_among(texts, left, ["doc", "tie"])
     # A repeated row has its twin's key, and the same set.
-    sets = materialize(shingle_sets(texts.join(left, ["doc", "tie"]).select("node", "text"), width).dropDuplicates(["node"]), "sets-left")
+    sets = materialize(shingle_sets(few.join(left, ["doc", "tie"]).select("node", "text"), width).dropDuplicates(["node"]), "sets-left")
     roots = set_components(sets, similarity)
     nodes = distinct.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = materialize(nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept-documents")
+    return materialize(nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept-documents")
+
+
+def near_unique(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """One row of each group of similar texts: that of the smallest id (null ids last), all columns as they are."""
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    key = [F.coalesce(quoted(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("tie")]
+    texts = docs.select(*key, text.alias("text"))
+    # What is shuffled for one stored table would lie on disk beside the shuffles of all later ones.
+    with shuffles_deleted(docs.sparkSession):
+        kept = kept_documents(texts, width, similarity)
     # One of the rows of a key stays.
     copy = F.row_number().over(Window.partitionBy("doc", "tie").orderBy(F.lit(1)))
     rows = docs.select(*key, F.struct(*[quoted(c) for c in docs.columns]).alias("row"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectral_topics.functions.storage import materialize
-from spectral_topics.llm.common import arrow_map, file_bytes, filesystem, id_and_text, new_folder, text_bytes, worker_memory
+from spectral_topics.llm.common import arrow_map, file_bytes, filesystem, id_and_text, new_folder, shuffles_deleted, text_bytes, worker_memory
 from spectral_topics.llm.token_counts import printable_bytes
 
 #: Ids in a sequence, sequences in a record batch.
@@ -346,7 +346,8 @@ def write_tokens(
             yield pa.record_batch(columns, names=["shard", "path", "n_docs", "n_tokens"])
 
     ordered = id_and_text(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
-    return materialize(arrow_map(ordered, write, MANIFEST), "token-manifest")
+    with shuffles_deleted(docs.sparkSession):
+        return materialize(arrow_map(ordered, write, MANIFEST), "token-manifest")
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:

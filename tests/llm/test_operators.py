@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spectral_topics.llm import (
+    common,
     components,
     decontaminate,
     exact_dedup,
@@ -124,6 +125,34 @@ def test_mix_comes_near_its_targets(spark):
     assert mixed == Counter({r["id"]: r["copies"] for r in copies if r["copies"]})
 
 
+def test_mixing_stores_no_texts(spark, docs, monkeypatch):
+    """Ranges are made of sizes and keys; the rows themselves are shuffled once, to the result."""
+    stored, plain = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, label: stored.append(df.columns) or plain(df, label))
+    found = mixing.mix(docs)
+    assert stored and not any({"row", "text"} & set(columns) for columns in stored)
+    data = [(d, t, s) for d, t, _, s in DOCUMENTS]
+    copies = Counter(map(tuple, found.select("doc_id", "text", "source").collect()))
+    expected = Counter()
+    for r in mixing.mix_copies(docs, keyed=True).collect():
+        expected[r["id"], r["source"], r["size"]] += r["copies"]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by_key = Counter()
+    for (d, t, s), n in copies.items():
+        assert (d, t, s) in data
+        by_key[d, s, size(t)] += n
+    assert by_key == +expected
+
+
+def test_mix_deals_a_key_s_copies_to_its_rows(spark):
+    """Twenty equal rows and one other: targets are met by rows of one key too, each within its bounds."""
+    df = spark.createDataFrame([(1, "a b", "s", i) for i in range(20)] + [(2, "c d e", "t", 20)], "doc_id long, text string, source string, n int")
+    copies = mixing.mix_copies(df).where("id = 1").agg(F.sum("copies"), F.min("copies"), F.max("copies")).first()
+    mixed = Counter(r["n"] for r in mixing.mix(df).where("doc_id = 1").collect())
+    assert sum(mixed.values()) == copies[0]
+    assert all(copies[1] <= mixed[i] <= copies[2] for i in range(20))
+
+
 def test_mix_keeps_columns(docs):
     assert mixing.mix(docs).columns == docs.columns
 
@@ -577,6 +606,28 @@ def kept_ids(spark, texts):
     return sorted(r["doc_id"] for r in simhash.near_unique(df).collect())
 
 
+def test_near_unique_leaves_no_shuffle_files(spark, docs, monkeypatch):
+    """Each stored table's shuffle goes with it; else all of them lie on disk together until the driver collects garbage."""
+    setting, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before, plain = spark.conf.get(setting), simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: seen.append(spark.conf.get(setting)) or plain(df, label))
+    kept = simhash.near_unique(docs)
+    assert seen and set(seen) == {"true"} and spark.conf.get(setting) == before
+    assert kept.count() > 0
+
+
+def test_few_rows_without_a_partner_are_left(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc"), F.hash("id").cast("long").alias("tie"), F.lit("x").alias("text"))
+    keys = rows.where("doc % 100 = 7").select("doc", "tie")
+    left = common.maybe_among(rows, keys, ["doc", "tie"])
+    found = {r["doc"] for r in left.collect()}
+    assert left.columns == rows.columns and found >= {r["doc"] for r in keys.collect()}
+    assert len(found) < 250
+    # Three bits for all keys: whatever is hashed to them stays.
+    assert {r["doc"] for r in common.maybe_among(rows, keys, ["doc", "tie"], bits=3).collect()} >= {r["doc"] for r in keys.collect()}
+    assert common.maybe_among(rows, keys.limit(0), ["doc", "tie"]).count() == 0
+
+
 def test_near_unique_of_templated_texts(spark):
     rng = np.random.default_rng(3)
     template = " ".join(f"t{i}" for i in range(200))

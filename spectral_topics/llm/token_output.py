@@ -105,7 +105,8 @@ class WordEncoder:
         """Little-endian ids of each text, of ``self.type``."""
         words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.view(pa.large_binary()).to_pylist()
+        # By numpy: to_pylist makes a scalar of Arrow's for each word on the way.
+        distinct = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in self.words]
         if len(self.words) + len(new) > WORDS:
             self.words = newer_half(self.words)
